@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .fm_dedup import op2_fm_dedup
+from .packing import op4_pack
 from .suffix_dedup import op3_suffix_dedup
+from .token_counts import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_fm_dedup": op2_fm_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_pack": op4_pack,
 }
 
 ORACLES: dict[str, str] = {}
