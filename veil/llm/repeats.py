@@ -32,6 +32,8 @@ _SLICE = "m long, key long, start long, runs int, content binary"
 _FLAG = "key long, start long, runs long"
 
 REPEAT, INDEX = 0, 1
+#: Stands for the content of a super-window that is known to repeat.
+SETTLED = np.iinfo(np.int64).min
 
 
 def word_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -63,16 +65,37 @@ def word_symbols(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return W.mix((total[b] - total[a]) * down[a] + (b - a).astype(u))
 
 
-def _anchors(unit: str, size: int, gram: int):
+def _anchors(unit: str, size: int, gram: int, first_too: bool):
+    """Super-windows of each batch of documents, those that repeat one of their batch set apart.
+
+    Of equal super-windows in a batch only the first goes to the shuffle by minimizer; the others are
+    known repeats (content SETTLED), dealt by their document, so that no frequent content piles up.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             data, starts, ends = flat(batch.column("text"))
+            found = []
             for which, symbols, s, e, shift in _pieces(unit, data, starts, ends, size):
                 doc, start, runs, m, h = W.super_windows(symbols, s, e, size, gram)
-                if len(doc):
-                    pos = W.pack(start + shift[doc], runs)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m, h, keys[which[doc]], pos)], ["m", "h", "key", "pos"])
+                found.append((m, h, keys[which[doc]], W.pack(start + shift[doc], runs)))
+            if not found:
+                continue
+            m, h, key, pos = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((pos, key, h, m))
+            m, h, key, pos = m[order], h[order], key[order], pos[order]
+            again = np.append(False, (m[1:] == m[:-1]) & (h[1:] == h[:-1]))[: len(m)]
+            settled = again.copy()
+            if first_too:
+                settled[:-1] |= again[1:]
+            columns = [
+                np.concatenate([m[~again], W.mix(key[settled].view(np.uint64)).view(np.int64)]),
+                np.concatenate([h[~again], np.full(settled.sum(), SETTLED)]),
+                np.concatenate([key[~again], key[settled]]),
+                np.concatenate([pos[~again], pos[settled]]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["m", "h", "key", "pos"])
 
     return run
 
@@ -127,6 +150,10 @@ def _groups(first_too: bool):
 
         for batch in batches:
             m, h, key, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "h", "key", "pos"))
+            known = h == SETTLED
+            if known.any():
+                yield out(m[known], key[known], pos[known], REPEAT)
+                m, h, key, pos = m[~known], h[~known], key[~known], pos[~known]
             if not len(m):
                 continue
             new_m = np.append(last_m is None or m[0] != last_m, m[1:] != m[:-1])
@@ -265,7 +292,7 @@ def spans(key: np.ndarray, place: np.ndarray):
 def repeats(docs: DataFrame, unit: str, size: int, gram: int, first_too: bool, index: Callable, large: Callable) -> DataFrame:
     """docs (key, doc_id, text as binary) with a column ``spans``: arrays (start, runs) of repeated windows, or null."""
     n = parts(docs.sparkSession)
-    anchors = docs.select("key", "text").mapInArrow(_anchors(unit, size, gram), _ANCHOR)
+    anchors = docs.select("key", "text").mapInArrow(_anchors(unit, size, gram, first_too), _ANCHOR)
     found = cut(anchors.repartition(n, "m").sortWithinPartitions("m", "h", "key", "pos").mapInArrow(_groups(first_too), _FOUND))
     wanted = found.where(F.col("kind") == INDEX).groupBy("key").agg(F.collect_list(F.struct("m", "pos")).alias("wanted"))
     # both joins below read the documents by one exchange
