@@ -56,6 +56,11 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """keyed(docs) with all columns of docs, whatever their names, in the struct ``row``."""
+    return keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, starts and ends of a binary or string column without copying each value."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .windows import mix
@@ -224,14 +225,23 @@ def _predict(model: Model, switch: float, with_spans: bool):
 
 
 def language_spans(docs: DataFrame, model: Model, keep: list[str], switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
-    """The columns ``keep`` of docs, lang_pred, score and spans (lang, first word, word after the last)."""
+    """The columns ``keep`` of docs (not ``text``), lang_pred, score and spans (lang, first word, word after the last)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select(*keep, text.alias("text")) if "text" not in keep else docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
-    schema += ", lang_pred string, score double" + (", spans array<struct<lang: string, start: bigint, stop: bigint>>" if with_spans else "")
+    base = docs.select(*keep, text.alias("text"))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    if with_spans:
+        schema.add("spans", "array<struct<lang: string, start: bigint, stop: bigint>>")
     return base.mapInArrow(_predict(model, switch, with_spans), schema)
 
 
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Documents whose language is known with a score of ``least``; learned from all that have a lang."""
+    model = fit(docs.select("text", "lang"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = language_spans(rows, model, ["row"], with_spans=False)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 

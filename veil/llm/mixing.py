@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, keyed_rows, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2.0
@@ -84,10 +84,10 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limi
     )
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size), written once: the texts are read only here."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size, *more), written once: the texts are read only here."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *more))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = "mix") -> DataFrame:
@@ -96,6 +96,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = "mix") -> DataFrame:
+    """docs with each row as often as the mix takes it."""
+    base = keyed_rows(docs)
+    with_source = base.select("key", "doc_id", "text", F.col("row")["source"].alias("source"), "row")
+    taken = copies(sized(with_source, "key"), weights, share, limit, seed).where("copies > 0").select("key", "copies")
+    return base.join(taken, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import cut, flat, keyed, parts, table
+from .common import cut, flat, keyed, keyed_rows, parts, table
 from .components import components
 from .repeats import _whole, word_bounds, word_symbols
 
@@ -191,10 +191,20 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, similarity: float = SIMILARITY
     class_key: least key of the documents linked with it through any chain of links; copy_key: least
     key with the same set; n_links: other sets of at least that Jaccard similarity.
     """
-    spark = docs.sparkSession
-    n = parts(spark)
+    return join_keyed(keyed(docs), gram, similarity, recall, rows)
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The document with the least key of every class."""
+    base = keyed_rows(docs)
+    kept = join_keyed(base).where("key = class_key").select("key")
+    return base.join(kept, "key", "left_semi").select("row.*")
+
+
+def join_keyed(keyed_docs: DataFrame, gram: int = GRAM, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    n = parts(keyed_docs.sparkSession)
     bands = bands_for(recall, similarity, rows)
-    base = keyed(docs).select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = keyed_docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = cut(base.mapInArrow(partial(_signatures, gram, rows, bands), "key long, doc_id long, n long, d1 long, d2 long, bands array<long>"))
     copies = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("copy_key"))
     firsts = signed.join(copies.select(F.col("copy_key").alias("key")), "key", "left_semi").select("key", "bands")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from . import chat_format, mixing
+from .chat_format import op10_chat_format
+from .edit_embedding import op7_edit_embedding
 from .fm_dedup import op2_fm_dedup
+from .language_id import op9_language_id
+from .mixing import op8_mix
+from .ngram_join import op5_ngram_join
 from .packing import op4_pack
+from .quality_rules import op6_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op1_token_counts
 
@@ -12,6 +19,15 @@ QUERIES = {
     "op2_fm_dedup": op2_fm_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pack": op4_pack,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_edit_embedding": op7_edit_embedding,
+    "op8_mix": op8_mix,
+    "op9_language_id": op9_language_id,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_mix": mixing.ORACLE_SQL,
+    "op10_chat_format": chat_format.ORACLE_SQL,
+}

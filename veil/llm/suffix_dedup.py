@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, keyed, ranges_to_mask, table
+from .common import flat, keyed, keyed_rows, ranges_to_mask, table
 from .repeats import repeats, spans
 from .suffix import first_windows, first_windows_external
 
@@ -108,18 +108,31 @@ def _apply(size: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """The counts and digest of RESULT per document; with_text adds its key and the kept text.
+def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """The counts and digest of RESULT per document."""
+    return dedup_keyed(keyed(docs), size, gram)
+
+
+def dedup_keyed(keyed_docs: DataFrame, size: int = SIZE, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """suffix_dedup of documents that have a key; with_text adds key and kept text.
 
     A cut inside a UTF-8 sequence leaves bytes that are not text: the digest has them, ``kept`` drops them.
     """
     if size < 16:
         raise ValueError("windows of under 16 bytes repeat everywhere")
-    base = keyed(docs).select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = keyed_docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = repeats(base, "byte", size, gram, False, _index(size), _large(size))
     schema = f"key long, {RESULT}, kept string" if with_text else RESULT
     return found.mapInArrow(_apply(size, with_text), schema)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated strings cut from text, and n_chars, where it is there, of what is left."""
+    base = keyed_rows(docs)
+    kept = dedup_keyed(base, with_text=True).select("key", "kept")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return base.select("key", "row").join(kept, "key").select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
