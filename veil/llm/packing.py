@@ -13,6 +13,7 @@ are packed once each; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -43,11 +44,51 @@ def tokenizer_path(path: str | None = None) -> str:
     return str(path)
 
 
+# Latin letters between ASCII punctuation; an apostrophe may begin a suffix and < a special token, so they are out.
+_PUNCTUATION = r"[!\"#$%&()*+,\-./:;=?@\[\]^_`{|}~]*"
+_PARTS = re.compile(f"({_PUNCTUATION})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_PUNCTUATION})")
+
+
+class WordIds:
+    """Ids of distinct words, many to one call: words are set apart by a mark that is a token by itself."""
+
+    MARK = "\x01"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self._ids([self.MARK])[0]
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """A word of letters between punctuation is three parts that the tokenizer never joins: parts are looked up once."""
+        texts = [w.decode() for w in words]
+        split = [m.groups() if (m := _PARTS.fullmatch(t)) else None for t in texts]
+        parts = [(p[0], p[1].lower(), p[2]) if p else (t,) for p, t in zip(split, texts, strict=True)]
+        if len(self.known) > KEEP:
+            self.known = {"": b""}
+        fresh = list({p for word in parts for p in word}.difference(self.known))
+        self.known.update(zip(fresh, self._look_up(fresh), strict=True))
+        return [b"".join(map(self.known.__getitem__, word)) for word in parts]
+
+    def _look_up(self, texts: list[str]) -> list[bytes]:
+        if len(self.mark) == 1 and texts and not any(self.MARK in t for t in texts):
+            ids = np.array(self._ids([f" {self.MARK} ".join(texts)])[0], "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0])
+            if len(cuts) == len(texts) - 1:
+                raw = ids.tobytes()
+                begin, end = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+                return [raw[a:b] for a, b in zip(begin, end, strict=True)]
+        return [np.array(ids, "<u4").tobytes() for ids in self._ids(texts)]
+
+
 def _tokenise(path: str, window: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
+    word_ids = WordIds(path)
     known: dict[bytes, bytes] = {}
     held = 0
     end = np.array([end_id], "<u4").tobytes()
@@ -58,11 +99,10 @@ def _tokenise(path: str, window: int, end_id: int, batches: Iterator[pa.RecordBa
             if len(known) > KEEP or held > KEEP_BYTES:
                 known, held = {}, 0
             fresh = list(set().union(*split).difference(known))
-            for a in range(0, len(fresh), 4096):
-                some = fresh[a : a + 4096]
-                for word, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    known[word] = ids = np.array(e.ids, "<u4").tobytes()
-                    held += len(ids)
+            for a in range(0, len(fresh), 2048):
+                found = word_ids(fresh[a : a + 2048])
+                known.update(zip(fresh[a : a + 2048], found, strict=True))
+                held += sum(map(len, found))
             out: list[tuple] = []
             for doc_id, words in zip(rows.column("doc_id").to_pylist(), split, strict=True):
                 ids = b"".join(map(known.__getitem__, words)) + end

@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query (spark, sf_dir) -> DataFrame, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+for _module in ("values", "texts", "detection", "joins", "reports", "incremental", "pages"):
+    import_module(f"veil.plans.{_module}")
