@@ -206,7 +206,7 @@ def join_keyed(keyed_docs: DataFrame, gram: int = GRAM, similarity: float = SIMI
     bands = bands_for(recall, similarity, rows)
     base = keyed_docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = cut(base.mapInArrow(partial(_signatures, gram, rows, bands), "key long, doc_id long, n long, d1 long, d2 long, bands array<long>"))
-    copies = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("copy_key"))
+    copies = cut(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("copy_key")))
     firsts = signed.join(copies.select(F.col("copy_key").alias("key")), "key", "left_semi").select("key", "bands")
     banded = cut(firsts.select("key", F.posexplode("bands").alias("band", "bucket")))
     # buckets with the same members as one of an earlier band bring nothing new
