@@ -25,6 +25,11 @@ AUTOCOMPLETE = {"cc-number": "card", "cc-csc": "card", "bday": "dob", "bday-day"
 NAMING_ATTRIBUTES = ["name", "id", "placeholder", "aria-label", "title", "data-label"]
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, f"[{WS}]+", " "))
 
@@ -50,8 +55,14 @@ def normalize_label_words(s: Column) -> Column:
 
 def label_kinds(s: Column) -> Column:
     """The kinds that a label's words name, in the order of KINDS."""
-    t = normalize_label(F.coalesce(s, F.lit("")))
-    return F.array_compact(F.array(*[F.when(t.rlike(rf"(?<![a-z])(?:{KIND_WORDS[k]})(?![a-z])"), k) for k in KINDS]))
+    found = lambda t: F.array(*[F.when(t.rlike(rf"(?<![a-z])(?:{KIND_WORDS[k]})(?![a-z])"), k) for k in KINDS])
+    return F.array_compact(let(normalize_label(F.coalesce(s, F.lit(""))), found))
+
+
+def names_kind(s: Column, wanted: list[str]) -> Column:
+    """Is any of these kinds named? The same as has_kind(label_kinds(s), wanted) in one pattern."""
+    words = "|".join(KIND_WORDS[k] for k in wanted)
+    return normalize_label(F.coalesce(s, F.lit(""))).rlike(rf"(?<![a-z])(?:{words})(?![a-z])")
 
 
 def has_kind(kinds: Column, wanted: list[str]) -> Column:
@@ -70,9 +81,9 @@ def input_kinds(attrs: Column) -> Column:
 
 def keyword_test(s: Column, phrases: Column) -> Column:
     """Does any phrase stand in the text as whole words? Both are compared in label form."""
-    text = F.concat(F.lit(" "), normalize_label(F.coalesce(s, F.lit(""))), F.lit(" "))
     wanted = F.filter(F.transform(phrases, normalize_label), lambda p: p != "")
-    return F.exists(wanted, lambda p: F.contains(text, F.concat(F.lit(" "), p, F.lit(" "))))
+    padded = F.concat(F.lit(" "), normalize_label(F.coalesce(s, F.lit(""))), F.lit(" "))
+    return let(padded, lambda text: F.exists(wanted, lambda p: F.contains(text, F.concat(F.lit(" "), p, F.lit(" ")))))
 
 
 def tokens_of(s: Column) -> tuple[Column, Column]:

@@ -103,13 +103,15 @@ def hits_of(text: Column, negs: Column, detectors: list[Detector], sensitivity:
     ordered = sorted(detectors, key=lambda d: not (d.user or d.catalog))
 
     def of(d: Detector, place: int) -> Column:
-        def hit(m: Column) -> Column:
-            bonus = flat_bonus(text, m, d)
+        def made_of(m: Column, bonus: Column) -> Column:
             return F.struct(
                 F.lit(f"catalog:{d.id}" if d.catalog else d.id).alias("pattern"), F.lit(d.name).alias("name"), F.lit(d.strength).alias("strength"),
                 bonus.cast("int").alias("bonus"), (bonus + POINTS[d.strength]).cast("int").alias("score"), F.lit(place).alias("ord"), m["start"].alias("start"), m["end"].alias("end"),
             )
 
+        def hit(m: Column) -> Column:
+            return T.let(flat_bonus(text, m, d), lambda bonus: made_of(m, bonus))
+
         made = F.transform(raw_matches(text, negs, d, as_of_year), hit)
         accepted = F.filter(made, lambda h: accepts(F.lit(d.strength), h["bonus"], sensitivity, F.lit(d.gated)))
         # the label tests of a detector run only where its pattern is

@@ -40,7 +40,7 @@ class Detector:
     def named_by(self, text: Column) -> Column:
         """Does the text name what the detector looks for?"""
         if self.kinds:
-            return T.has_kind(T.label_kinds(text), list(self.kinds))
+            return T.names_kind(text, list(self.kinds))
         return T.keyword_test(text, F.array(*map(F.lit, self.labels))) if self.labels else F.lit(False)
 
 
