@@ -29,8 +29,9 @@ WINDOW = 2048
 END_ID = 1
 #: Documents of one shard, on average; a shard leaves a few windows open.
 SHARD_DOCS = 4096
-#: Words and bytes of ids that a task keeps between batches.
-KEEP, KEEP_BYTES = 500_000, 32 << 20
+#: Words, and parts of words, that a worker keeps.
+KEEP_WORDS, KEEP_PARTS = 1_200_000, 800_000
+_WORKER: dict = {}
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 RESULT = f"{_PIECE}, sequence_id long, offset long"
@@ -50,7 +51,10 @@ _PARTS = re.compile(f"({_PUNCTUATION})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_PUNCTUATION})
 
 
 class WordIds:
-    """Ids of distinct words, many to one call: words are set apart by a mark that is a token by itself."""
+    """Ids of distinct words, many to one call: words are set apart by a mark that is a token by itself.
+
+    A Python worker keeps its words from task to task, in two tables of bounded size.
+    """
 
     MARK = "\x01"
 
@@ -59,21 +63,40 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids([self.MARK])[0]
-        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in _WORKER:
+            _WORKER.clear()
+            _WORKER[path] = cls(path)
+        return _WORKER[path]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def table(self, split: list[list[bytes]]) -> dict[bytes, bytes]:
+        """The ids of all these words, and others."""
+        if len(self.words) > KEEP_WORDS:
+            self.words = {}
+        fresh = list(set().union(*split).difference(self.words))
+        for a in range(0, len(fresh), 4096):
+            some = fresh[a : a + 4096]
+            self.words.update(zip(some, self(some), strict=True))
+        return self.words
+
     def __call__(self, words: list[bytes]) -> list[bytes]:
         """A word of letters between punctuation is three parts that the tokenizer never joins: parts are looked up once."""
         texts = [w.decode() for w in words]
-        split = [m.groups() if (m := _PARTS.fullmatch(t)) else None for t in texts]
+        split = [m.groups() if m else None for m in map(_PARTS.fullmatch, texts)]
+        if len(self.parts) > KEEP_PARTS:
+            self.parts = {"": b""}
         parts = [(p[0], p[1].lower(), p[2]) if p else (t,) for p, t in zip(split, texts, strict=True)]
-        if len(self.known) > KEEP:
-            self.known = {"": b""}
-        fresh = list({p for word in parts for p in word}.difference(self.known))
-        self.known.update(zip(fresh, self._look_up(fresh), strict=True))
-        return [b"".join(map(self.known.__getitem__, word)) for word in parts]
+        fresh = list({p for word in parts for p in word}.difference(self.parts))
+        known = self.parts
+        known.update(zip(fresh, self._look_up(fresh), strict=True))
+        return [known[w[0]] + known[w[1]] + known[w[2]] if len(w) == 3 else known[w[0]] for w in parts]
 
     def _look_up(self, texts: list[str]) -> list[bytes]:
         if len(self.mark) == 1 and texts and not any(self.MARK in t for t in texts):
@@ -88,21 +111,13 @@ class WordIds:
 
 def _tokenise(path: str, window: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    word_ids = WordIds(path)
-    known: dict[bytes, bytes] = {}
-    held = 0
+    word_ids = WordIds.of(path)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            rows = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 1024):
+            rows = batch.slice(at, 1024)
             split = [text.split() for text in rows.column("text").to_pylist()]
-            if len(known) > KEEP or held > KEEP_BYTES:
-                known, held = {}, 0
-            fresh = list(set().union(*split).difference(known))
-            for a in range(0, len(fresh), 2048):
-                found = word_ids(fresh[a : a + 2048])
-                known.update(zip(fresh[a : a + 2048], found, strict=True))
-                held += sum(map(len, found))
+            known = word_ids.table(split)
             out: list[tuple] = []
             for doc_id, words in zip(rows.column("doc_id").to_pylist(), split, strict=True):
                 ids = b"".join(map(known.__getitem__, words)) + end
