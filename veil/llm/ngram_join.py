@@ -111,10 +111,10 @@ def _sets(gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pick), batch.column("kept").take(pick), batch.column("places").take(pick), listed], ["key", "kept", "places", "grams"])
 
 
-def _meet(similarity: float, keys, side, kept, grams, offsets, band: int):
+def _meet(similarity: float, keys, side, across: bool, kept, grams, offsets, band: int):
     """Links and least connected member among the members of one bucket's two blocks.
 
-    side: 0 or 1, the block of each member; only pairs across blocks count if both are there.
+    side: 0 or 1, the block of each member; across: only pairs of different blocks count.
     """
     n = len(keys)
     size = np.diff(offsets)
@@ -135,7 +135,7 @@ def _meet(similarity: float, keys, side, kept, grams, offsets, band: int):
         inter += dense @ dense.T
     link = inter >= similarity * (size[:, None] + size[None, :] - inter) - 1e-3
     np.fill_diagonal(link, False)
-    if side.any():
+    if across:
         link &= side[:, None] != side[None, :]
     first = link.copy()
     for earlier in range(band):
@@ -173,7 +173,7 @@ def _verify(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         side = np.array([row[5] for row, _, _ in group])
         grams = [g for _, _, g in group]
         offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-        links, least, joined = _meet(similarity, keys, side, np.stack([k for _, k, _ in group]), np.concatenate(grams), offsets, group[0][0][0])
+        links, least, joined = _meet(similarity, keys, side, group[0][0][2] != group[0][0][3], np.stack([k for _, k, _ in group]), np.concatenate(grams), offsets, group[0][0][0])
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(links.astype(np.int64)), pa.array(np.where(joined, least, keys))], ["key", "links", "least"])
 
     group: list = []
