@@ -107,7 +107,7 @@ def quality_rules(
     scored = ready.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.expr(_REPEATED).alias("n_repeat_words"),
-        F.expr("aggregate(grams, 0D, (a, g) -> a + ratios[g]) / size(grams)").alias("score"),
+        F.expr("try_divide(aggregate(grams, 0D, (a, g) -> a + ratios[g]), size(grams))").alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.select(
