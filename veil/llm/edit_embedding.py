@@ -12,7 +12,8 @@ levels. The likeness is the share of sampled places, up to the end of the longer
 carry the same symbol; a symbol is a hash of three characters, so chance agreement is rare.
 
 ``near_pairs`` bands the samples (equal texts first collapsed), shuffles on band hashes and verifies the
-candidates on all their samples.
+candidates on all their samples: in each bucket a document is compared with the leaders before it and linked
+to the first that is near, or leads itself, so a group of near copies gives one link for each member.
 
 Cases: null counts as empty; two empty texts are alike (1.0), an empty and another are not (0.0); rows
 that share a doc_id are ordered by text; one document is its own next one; an empty table gives an
@@ -23,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, parts, table
+from .common import cut, keyed, parts, table
 from .windows import mix
 
 #: Places of the embedding that a fingerprint samples, about; it has between half as many and as many.
@@ -39,6 +41,9 @@ PERIOD, CLASSES = 4096, 64
 #: Characters walked at once: documents side by side times the length of the longest.
 MATRIX = 1 << 21
 
+#: Bands that a level's places are dealt to, and the likeness that counts as near.
+BANDS, NEAR = 32, 0.7
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -237,5 +242,72 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_fingerprint_edits, RESULT)
 
 
+def _band_hashes(embedding: Embedding, found: tuple) -> list[tuple[int, int, int]]:
+    """(level, band, hash) at a text's own level and the next coarser one, where texts of nearby lengths meet."""
+    level, steps, symbols = found
+    out = []
+    own = embedding.levels[min(level, len(embedding.levels) - 1)] if steps else np.zeros(0, np.int64)
+    own = own[: len(symbols)]
+    values = np.frombuffer(symbols, np.uint8).astype(np.uint64)
+    for t in (level, level + 1):
+        hashed = _place_hash(own)
+        keep = (hashed >> np.uint64(level)) & np.uint64(1) == 0 if t > level else np.ones(len(own), bool)
+        with np.errstate(over="ignore"):
+            band = ((hashed[keep] >> np.uint64(40)) % np.uint64(BANDS)).astype(np.int64)
+            total = np.zeros(BANDS, np.uint64)
+            np.add.at(total, band, mix(values[keep] + hashed[keep]))
+        for b in np.unique(band):
+            out.append((t, int(b), int(total[b].view(np.int64))))
+    return out
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    embedding = Embedding()
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("band", pa.int32()), ("hash", pa.int64())]))
+    for batch in batches:
+        for block in _blocks(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            found = embedding.fingerprints([_points(t) for _, t in block])
+            bands = [[{"level": a, "band": b, "hash": h} for a, b, h in _band_hashes(embedding, f)] for f in found]
+            columns = [
+                pa.array([k for k, _ in block], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for _, t in block], pa.binary()),
+                pa.array([text_of(f) for f in found]), pa.array([f[1] for f in found], pa.int64()), pa.array(bands, kind),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "fingerprint", "steps", "bands"])
+
+
+def _lead(near: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (level, band, hash, key): each row's link to the first near leader of its bucket."""
+    embedding, bucket, leaders = Embedding(), None, []
+    for batch in batches:
+        out: list[tuple] = []
+        names = ("level", "band", "hash", "key", "fingerprint", "steps")
+        for level, band, h, key, text, steps in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if (level, band, h) != bucket:
+                bucket, leaders = (level, band, h), []
+            embedding.grow(steps + 1)
+            own = from_text(text)
+            for other, theirs in leaders:
+                likeness = embedding.likeness(theirs, own)
+                if likeness >= near:
+                    out.append((other, key, likeness))
+                    break
+            else:
+                leaders.append((key, own))
+        if out:
+            a, b, x = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64())], ["key", "other", "likeness"])
+
+
+def near_pairs(docs: DataFrame, near: float = NEAR) -> DataFrame:
+    """(key, other, likeness): links between different texts whose fingerprints are near; equal texts are one."""
+    n = parts(docs.sparkSession)
+    prints = cut(keyed(docs).select("key", "text").mapInArrow(_prints, "key long, digest binary, fingerprint string, steps long, bands array<struct<level: int, band: int, hash: bigint>>"))
+    first = prints.groupBy("digest").agg(F.min("key").alias("key")).select("key")
+    banded = prints.join(first, "key", "left_semi").select("key", "fingerprint", "steps", F.explode("bands").alias("b")).select("b.*", "key", "fingerprint", "steps")
+    shared = banded.groupBy("level", "band", "hash").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    met = banded.join(shared, ["level", "band", "hash"]).repartition(n, "level", "band", "hash").sortWithinPartitions("level", "band", "hash", "key")
+    return met.mapInArrow(partial(_lead, near), "key long, other long, likeness double").distinct()
+
+
 def op7_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))

@@ -230,7 +230,8 @@ def language_spans(docs: DataFrame, model: Model, keep: list[str], switch: float
     base = docs.select(*keep, text.alias("text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if with_spans:
-        schema.add("spans", "array<struct<lang: string, start: bigint, stop: bigint>>")
+        span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+        schema.add("spans", T.ArrayType(span))
     return base.mapInArrow(_predict(model, switch, with_spans), schema)
 
 
