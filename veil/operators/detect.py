@@ -137,8 +137,11 @@ def detect(
 
 
 def exploded(found: DataFrame) -> DataFrame:
-    """One row for each hit, without the text."""
-    return found.select("doc_key", "block_id", F.explode("hits").alias("h")).select("doc_key", "block_id", "h.*")
+    """One row for each hit, without the text.
+
+    An outer explode, as a plain one makes the optimizer test the hits below it, which finds them twice.
+    """
+    return found.select("doc_key", "block_id", F.explode_outer("hits").alias("h")).where("h is not null").select("doc_key", "block_id", "h.*")
 
 
 def suggestions(hits: DataFrame, dismissed: DataFrame, key: bytes, most: int = SUGGESTIONS_MOST) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import WS
-from ..functions import validators as V
 from ..operators import detectors as D
 from ..operators import redact as R
 from ..operators.detect import accepts, detect, exploded, find_matches, negatives, strength_points, suggestions, worth_scanning
@@ -68,7 +67,7 @@ def d01_match_all(spark, sf_dir):
 @query("d02_card_matches", f"SELECT doc_key, block_id, unnest({CARDS}) AS value FROM {LINES} WHERE regexp_matches(text, '[0-9]')")
 def d02_card_matches(spark, sf_dir):
     found = find_matches(readers.read_documents(spark, sf_dir), [_BY_ID["card"]])
-    return found.select("doc_key", "block_id", "text", F.explode("matches").alias("m")).select(
+    return found.select("doc_key", "block_id", "text", F.explode_outer("matches").alias("m")).where("m is not null").select(
         "doc_key", "block_id", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value")
     )
 
@@ -105,7 +104,7 @@ _EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[
 @query("d08_email_matches", rf"SELECT doc_key, block_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM {LINES}")
 def d08_email_matches(spark, sf_dir):
     found = find_matches(readers.read_documents(spark, sf_dir), [_BY_ID["email"]])
-    return found.select("doc_key", "block_id", "text", F.explode("matches").alias("m")).select(
+    return found.select("doc_key", "block_id", "text", F.explode_outer("matches").alias("m")).where("m is not null").select(
         "doc_key", "block_id", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value")
     )
 
@@ -116,7 +115,7 @@ def d08_email_matches(spark, sf_dir):
 )
 def d08_phone_matches(spark, sf_dir):
     found = find_matches(readers.read_documents(spark, sf_dir), [_BY_ID["phone-us"]])
-    return found.select("doc_key", "block_id", "text", F.explode("matches").alias("m")).select(
+    return found.select("doc_key", "block_id", "text", F.explode_outer("matches").alias("m")).where("m is not null").select(
         "doc_key", "block_id", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value")
     )
 
@@ -203,7 +202,7 @@ def d22_preview_count(spark, sf_dir):
 def d09_user_matches(spark, sf_dir):
     det = D.custom("token", "Token", 'token = "[0-9a-f]{40}"', None, ["token"], "medium")
     found = find_matches(readers.read_documents(spark, sf_dir), [det])
-    return found.select("doc_key", "block_id", "text", F.explode("matches").alias("m")).select(
+    return found.select("doc_key", "block_id", "text", F.explode_outer("matches").alias("m")).where("m is not null").select(
         "doc_key", "block_id", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value")
     )
 
@@ -275,4 +274,3 @@ def d02_detector_counts(spark, sf_dir):
     return hits.groupBy("pattern", "strength", "bonus").agg(F.count("*").alias("n"))
 
 
-del V

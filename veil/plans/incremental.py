@@ -1 +1,66 @@
-"""Queries."""
+"""Queries of the incremental jobs, run as batches over all events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.windows import newest
+from ..sources import readers
+from ..sources.readers import table
+from ..streaming import jobs
+from .detection import REDACTED
+from .registry import query
+from .reports import AUDIT, audit_log
+from .texts import LINES
+
+
+def changes(spark, sf_dir):
+    """Events as changes of blocks: users are pages, twenty blocks each."""
+    return table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("page_id"), (F.col("event_id") % 20).alias("block_id"), F.col("event_id").alias("seq"), "event_type", F.col("props").alias("text"))
+
+
+def signals(spark, sf_dir):
+    """Events as signals of tabs."""
+    up = lambda on, off: F.when(F.col("event_type") == on, True).when(F.col("event_type") == off, False)
+    return changes(spark, sf_dir).select(F.col("page_id").alias("tab"), "ts", "seq", up("click", "view").alias("debugger"), up("error", "purchase").alias("webdriver"), up("signup", "purchase").alias("manual"))
+
+
+_CHANGES = "(SELECT ts, user_id AS page_id, event_id % 20 AS block_id, event_id AS seq, event_type, props AS text FROM events)"
+
+
+@query("e01_stream_redact", f"SELECT doc_key, block_id, {REDACTED} AS redacted FROM {LINES}")
+def e01_stream_redact(spark, sf_dir):
+    return jobs.redact_changes(readers.read_documents(spark, sf_dir)).select("doc_key", "block_id", "redacted")
+
+
+@query("e02_stream_rescan", f"SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, page_id, block_id, arg_max(text, seq) AS text, count(*) AS changes FROM {_CHANGES} GROUP BY ALL".replace("arg_max(text, seq)", "last(text ORDER BY ts, seq)"))
+def e02_stream_rescan(spark, sf_dir):
+    return jobs.rescans(changes(spark, sf_dir), batch="6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("e03_dirty_overflow", f"SELECT strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, page_id, count(DISTINCT block_id) AS dirty, count(DISTINCT block_id) > 5 AS whole_page FROM {_CHANGES} GROUP BY ALL")
+def e03_dirty_overflow(spark, sf_dir):
+    return jobs.overflows(changes(spark, sf_dir), batch="1 day", most=5).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "e04_lock_state",
+    f"""WITH s AS (SELECT page_id AS tab, ts, seq, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false END AS d, CASE event_type WHEN 'error' THEN true WHEN 'purchase' THEN false END AS w, CASE event_type WHEN 'signup' THEN true WHEN 'purchase' THEN false END AS m FROM {_CHANGES}),
+    l AS (SELECT tab, seq, last_value(d IGNORE NULLS) OVER o AS d, last_value(w IGNORE NULLS) OVER o AS w, last_value(m IGNORE NULLS) OVER o AS m FROM s WINDOW o AS (PARTITION BY tab ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+    SELECT tab, seq, coalesce(d, false) OR coalesce(w, false) OR coalesce(m, false) AS locked, CASE WHEN d THEN 'debugger' WHEN w THEN 'webdriver' WHEN m THEN 'manual' END AS reason FROM l""",
+)
+def e04_lock_state(spark, sf_dir):
+    return jobs.lock_states(signals(spark, sf_dir)).select("tab", "seq", "locked", "reason")
+
+
+@query("e05_audit_log", f"SELECT user_id, event_id, action FROM {AUDIT} WHERE action IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
+def e05_audit_log(spark, sf_dir):
+    log = audit_log(spark, sf_dir).withColumn("origin", F.lit("origin")).withColumn("reason", F.lit(None).cast("string")).withColumn("tab", F.col("user_id"))
+    return newest(jobs.audit_stream(log), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id", "action")
+
+
+@query("e06_lost_state", f"SELECT sticker, seq FROM (SELECT page_id AS sticker, seq, ts, event_type, lead(ts) OVER (PARTITION BY page_id ORDER BY ts, seq) AS until FROM {_CHANGES}) WHERE event_type = 'error' AND (until IS NULL OR epoch_us(until) - epoch_us(ts) > 35000000)")
+def e06_lost_state(spark, sf_dir):
+    events = changes(spark, sf_dir).select(F.col("page_id").alias("sticker"), "ts", "seq", (F.col("event_type") != "error").alias("attached"))
+    lost = jobs.lost_spans(events)
+    return lost.join(events.where("not attached"), (lost["sticker"] == events["sticker"]) & (lost["since"] == events["ts"])).select(lost["sticker"], "seq")

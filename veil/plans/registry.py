@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +17,3 @@ def query(name: str, sql: str | None = None):
 
     return add
 
-
-for _module in ("values", "texts", "detection", "joins", "reports", "incremental", "pages"):
-    import_module(f"veil.plans.{_module}")
