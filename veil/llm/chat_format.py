@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from .common import cut, parts, small_batches, table
 
 UNIT = 2048
 
@@ -97,6 +97,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def paths(conversations: DataFrame) -> DataFrame:
     """(conv_id, root, leaf, path) of each conversation."""
+    small_batches(conversations.sparkSession)
     blank = F.lit("")
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),

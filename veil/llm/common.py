@@ -40,6 +40,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one Arrow batch; texts are long, and a worker keeps the memory of its largest batch.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python in small batches, which bounds the memory of executors and workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """(key, doc_id, text, *extra): key is a unique long that sorts as (doc_id, text).
 
@@ -47,6 +56,7 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     ordered by doc_id (nulls first) and text and numbered in that order, so that rows that share an
     id are separate documents.  Null texts become empty.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if odd.isEmpty():

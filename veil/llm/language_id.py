@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .windows import mix
 
 UNKNOWN = "und"
@@ -144,6 +144,7 @@ class Model:
 
 def fit(train: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> Model:
     """train: (text, lang); all of its rows are counted."""
+    small_batches(train.sparkSession)
     rows = train.where("lang is not null and text is not null").select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = rows.mapInArrow(_learn(buckets), "lang string, class long, n long").groupBy("lang", "class").agg(F.sum("n").alias("n"))
     found = counts.toArrow()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WINDOW = 2048
 END_ID = 1
@@ -189,6 +189,7 @@ def _pack(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document with their window and place in it, as RESULT."""
+    small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(partial(_tokenise, tokenizer_path(path), window, end_id), _PIECE)

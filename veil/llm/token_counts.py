@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MARK = "▁"
 SHIFT = 10.0
@@ -99,6 +99,7 @@ def _count(pieces: dict[str, float]):
 
 def token_counts(docs: DataFrame, path: str | None = None, shift: float = SHIFT) -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row."""
+    small_batches(docs.sparkSession)
     pieces = vocabulary(path, shift)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_count(pieces), "doc_id long, n_words long, n_tokens long")
