@@ -69,7 +69,9 @@ def page_hits(blocks: DataFrame, elements: DataFrame, sensitivity: str = "balanc
     named = named.where(~in_href(F.col("href"), F.col("match")))
     length = F.col("end") - F.col("start")
     own = F.when(F.col("node_id") == F.col("block_node"), text).otherwise(F.coalesce("text_content", text))
-    kinds, place = input_kinds(F.col("attrs")), F.col("ord")
+    # what the attributes say is worked out once for each hit, not once for each detector
+    named = named.withColumn("kinds", input_kinds(F.col("attrs")))
+    kinds, place = F.col("kinds"), F.col("ord")
     attributes = F.array(*[F.coalesce(F.try_element_at("attrs", F.lit(a)), F.lit("")) for a in NAMING_ATTRIBUTES])
 
     def evidence(d: Detector) -> Column:
