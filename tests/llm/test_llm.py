@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from veil.llm import chat_format, edit_embedding, fm_dedup, language_id, mixing, ngram_join, packing, quality_rules, suffix, suffix_dedup, token_counts
+from veil.llm import chat_format, edit_embedding, fm_dedup, language_id, mixing, ngram_join, packing, quality_rules, repeats, suffix, suffix_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, taken string"
 
@@ -118,6 +118,44 @@ def test_op3_strings(docs, texts):
     assert sum(v[1] for v in want.values()) > 2000
 
 
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_windows_of_heavy_groups(docs, texts, monkeypatch, unit):
+    monkeypatch.setitem(repeats.MOST, unit, 150)
+    if unit == "word":
+        found, want = fm_dedup.fm_dedup(docs), brute.windows_elsewhere(list(enumerate(texts)))
+    else:
+        found, want = suffix_dedup.suffix_dedup(docs), {d: v[:4] for d, v in brute.strings_before(list(enumerate(texts))).items()}
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("module", [fm_dedup, suffix_dedup])
+def test_hot_passage_in_many_surroundings(spark, monkeypatch, module):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passage = " ".join(word() for _ in range(40 if module is fm_dedup else 24))
+    around = 30 if module is fm_dedup else 14
+    texts = [f"{' '.join(word() for _ in range(around))} {passage} {' '.join(word() for _ in range(around))}" for _ in range(3500 if module is fm_dedup else 8000)]
+
+    most, real = (135_000 if module is fm_dedup else 800_000), module._large
+
+    def bounded(size, *rest):
+        inner = real(size, *rest)
+
+        def run(chunks):
+            chunks = list(chunks)
+            assert sum(sum(c[2]) + len(c[2]) * (size - 1) for c in chunks) < most, "one group holds the text of every document"
+            yield from inner(iter(chunks))
+
+        return run
+
+    monkeypatch.setattr(module, "_large", bounded)
+    if module is fm_dedup:
+        found, want = fm_dedup.fm_dedup(docs_of(spark, texts)), brute.windows_elsewhere(list(enumerate(texts)))
+    else:
+        found, want = suffix_dedup.suffix_dedup(docs_of(spark, texts)), {d: v[:4] for d, v in brute.strings_before(list(enumerate(texts))).items()}
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == want
+
+
 def test_op3_rows_that_share_an_id(spark):
     rng = random.Random(2)
     text = "".join(rng.choice("abcd ") for _ in range(300))

@@ -7,6 +7,9 @@
    has its minimizer.  Their text is fetched by a join on the document's key.
 3. They are dealt out by minimizer.  Each task turns its groups into shards of bounded size and
    hands them to the operator's own index, which says which windows are repeats.
+4. A minimizer with more text than MOST, as a passage in many surroundings has it, is not indexed:
+   its windows are dealt one by one by the hash of the whole window, which spreads the surroundings,
+   and equal ones (two 64-bit hashes) are repeats.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from .common import cut, flat, parts, slabs
 SLAB = 1 << 19
 #: Bytes of text in one index shard; a group of one minimizer above it takes the external way.
 SHARD = 1 << 19
+#: Symbols to index of one minimizer; above it its windows are dealt singly.
+MOST = {"word": 1 << 17, "byte": 3 << 18}
 
 _ANCHOR = "m long, h long, key long, pos long"
 _FOUND = "m long, key long, pos long, kind int"
 _SLICE = "m long, key long, start long, runs int, content binary"
 _FLAG = "key long, start long, runs long"
 
-REPEAT, INDEX = 0, 1
+REPEAT, INDEX, HEAVY = 0, 1, 2
 #: Stands for the content of a super-window that is known to repeat.
 SETTLED = np.iinfo(np.int64).min
 
@@ -70,16 +75,21 @@ def _anchors(unit: str, size: int, gram: int, first_too: bool):
 
     Of equal super-windows in a batch only the first goes to the shuffle by minimizer; the others are
     known repeats (content SETTLED), dealt by their document, so that no frequent content piles up.
+    A batch may hold parts of documents, with their ``first`` place.  Where gram is size, every
+    window is its own super-window, and its content is hashed apart from its minimizer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             data, starts, ends = flat(batch.column("text"))
+            begin = batch.column("first").to_numpy(zero_copy_only=False) if "first" in batch.schema.names else np.zeros(len(keys), np.int64)
             found = []
             for which, symbols, s, e, shift in _pieces(unit, data, starts, ends, size):
                 doc, start, runs, m, h = W.super_windows(symbols, s, e, size, gram)
-                found.append((m, h, keys[which[doc]], W.pack(start + shift[doc], runs)))
+                if gram == size:
+                    h = W.super_windows(W.mix(symbols ^ np.uint64(0xD1342543DE82EF95)), s, e, size, gram)[3]
+                found.append((m, h, keys[which[doc]], W.pack(begin[which[doc]] + start + shift[doc], runs)))
             if not found:
                 continue
             m, h, key, pos = map(np.concatenate, zip(*found, strict=True))
@@ -89,17 +99,29 @@ def _anchors(unit: str, size: int, gram: int, first_too: bool):
             settled = again.copy()
             if first_too:
                 settled[:-1] |= again[1:]
+            known, at = key[settled], pos[settled]
+            if gram == size:
+                known, at = _joined(known, at >> 7)
             columns = [
-                np.concatenate([m[~again], W.mix(key[settled].view(np.uint64)).view(np.int64)]),
-                np.concatenate([h[~again], np.full(settled.sum(), SETTLED)]),
-                np.concatenate([key[~again], key[settled]]),
-                np.concatenate([pos[~again], pos[settled]]),
+                np.concatenate([m[~again], W.mix(known.view(np.uint64)).view(np.int64)]),
+                np.concatenate([h[~again], np.full(len(known), SETTLED)]),
+                np.concatenate([key[~again], known]),
+                np.concatenate([pos[~again], at]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["m", "h", "key", "pos"])
 
     return run
 
 
+def _joined(key: np.ndarray, place: np.ndarray):
+    """Single windows as packed runs of neighbours."""
+    key, start, runs = spans(key, place)
+    pieces = -(-runs // W.MAX_RUN)
+    step = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * W.MAX_RUN
+    left = np.repeat(runs, pieces) - step
+    return np.repeat(key, pieces), W.pack(np.repeat(start, pieces) + step, np.minimum(left, W.MAX_RUN))
+
+
 def _pieces(unit: str, data, starts, ends, size):
     """(document of each piece, symbols, starts, ends, symbols of the document before the piece)."""
     if unit == "byte":
@@ -185,6 +207,49 @@ def _groups(first_too: bool):
     return run
 
 
+def _weighed(first_too: bool, size: int, most: int):
+    """_groups, with a row of kind HEAVY after each minimizer that has more than ``most`` symbols to index."""
+    groups = _groups(first_too)
+
+    def heavy(m):
+        m = np.asarray(m, np.int64)
+        none = np.zeros(len(m), np.int64)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (m, none, none)), pa.array(np.full(len(m), HEAVY, np.int32))], ["m", "key", "pos", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, 0
+        for batch in groups(batches):
+            yield batch
+            if batch.column("kind")[0].as_py() != INDEX:
+                continue
+            m, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "pos"))
+            at = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+            values, sums = m[at], np.add.reduceat(W.unpack(pos)[1] + size - 1, at)
+            if values[0] == last:
+                sums[0] += total
+            elif total > most:
+                yield heavy([last])
+            above = values[:-1][sums[:-1] > most]
+            if len(above):
+                yield heavy(above)
+            last, total = values[-1], sums[-1]
+        if total > most:
+            yield heavy([last])
+
+    return run
+
+
+def _singles(unit: str, size: int, first_too: bool):
+    """Every window of the super-windows that each document has in heavy groups, as an anchor by itself."""
+    slices, anchors = _slices(unit, size), _anchors(unit, size, size, first_too)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (pa.RecordBatch.from_arrays([x.column(c) for c in ("key", "start", "content")], ["key", "first", "text"]) for x in slices(batches))
+        return anchors(parts)
+
+    return run
+
+
 def _slices(unit: str, size: int):
     """The text of the super-windows that each document has to have indexed."""
 
@@ -293,14 +358,24 @@ def repeats(docs: DataFrame, unit: str, size: int, gram: int, first_too: bool, i
     """docs (key, doc_id, text as binary) with a column ``spans``: arrays (start, runs) of repeated windows, or null."""
     n = parts(docs.sparkSession)
     anchors = docs.select("key", "text").mapInArrow(_anchors(unit, size, gram, first_too), _ANCHOR)
-    found = cut(anchors.repartition(n, "m").sortWithinPartitions("m", "h", "key", "pos").mapInArrow(_groups(first_too), _FOUND))
-    wanted = found.where(F.col("kind") == INDEX).groupBy("key").agg(F.collect_list(F.struct("m", "pos")).alias("wanted"))
-    # both joins below read the documents by one exchange
+    weighed = _weighed(first_too, size, MOST[unit])
+    found = cut(anchors.repartition(n, "m").sortWithinPartitions("m", "h", "key", "pos").mapInArrow(weighed, _FOUND))
+    to_index = found.where(F.col("kind") == INDEX)
+    # at most one for every MOST symbols, so it may be broadcast
+    heavy = found.where(F.col("kind") == HEAVY).select("m")
+    some_heavy = not heavy.isEmpty()
+    listed = F.collect_list(F.struct("m", "pos")).alias("wanted")
+    light = to_index.join(F.broadcast(heavy), "m", "left_anti") if some_heavy else to_index
+    # the joins below read the documents by one exchange
     dealt = docs.repartition(n, "key")
-    slices = dealt.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_slices(unit, size), _SLICE)
+    slices = dealt.join(light.groupBy("key").agg(listed), "key").select("key", "text", "wanted").mapInArrow(_slices(unit, size), _SLICE)
     indexed = slices.repartition(n, "m").sortWithinPartitions("m").mapInArrow(_shards(index, large), _FLAG)
-    same = found.where(F.col("kind") == REPEAT).select(
-        "key", F.shiftright("pos", 7).alias("start"), F.col("pos").bitwiseAND(127).alias("runs")
-    )
+    same = found.where(F.col("kind") == REPEAT)
+    if some_heavy:
+        wanted = to_index.join(F.broadcast(heavy), "m", "left_semi").groupBy("key").agg(listed)
+        singles = dealt.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_singles(unit, size, first_too), _ANCHOR)
+        grouped = singles.repartition(n, "m").sortWithinPartitions("m", "h", "key", "pos").mapInArrow(_groups(first_too), _FOUND)
+        same = same.unionByName(grouped.where(F.col("kind") == REPEAT))
+    same = same.select("key", F.shiftright("pos", 7).alias("start"), F.col("pos").bitwiseAND(127).alias("runs"))
     flagged = same.unionByName(indexed).groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
     return dealt.join(flagged, "key", "left")
