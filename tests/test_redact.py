@@ -7,6 +7,7 @@ from veil.functions import urls as U
 from veil.operators import edits, redact, teach
 from veil.operators.detect import detect, exploded
 from veil.operators.matching import SPAN, match_all
+from veil.plans import reports
 
 
 def test_ranges_keep_length_and_restore(spark):
@@ -80,3 +81,11 @@ def test_shapes_and_templates(spark):
 def test_find_catalog(spark):
     found = teach.find_catalog(spark.createDataFrame([("insurance policy numbers",), ("driver licence texas",)], "query string")).where("place = 1").collect()
     assert {r["query"]: r.entry for r in found} == {"insurance policy numbers": "insurance", "driver licence texas": "dl-tx"}
+
+
+def test_redacted_leaks_are_reported(spark, tmp_path):
+    """A number that no detector accepts stays readable in the redacted text, and the audit says so."""
+    texts = ["SSN 123-45-6789 is hidden", "serial 1234567890123456789012 stays", "plain\nref 98-7654321x, code 555666777888"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert reports.g01_redacted_is_clean(spark, str(tmp_path)).first().leaks == 2
+    assert [tuple(r) for r in reports.g01_redacted_leaks(spark, str(tmp_path)).collect()] == [("long number", 2)]

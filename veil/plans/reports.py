@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators.detect import detect, exploded
 from ..operators.detectors import BUILTIN, CATALOG
+from ..operators.redact import redact_detected
 from ..operators.teach import describe_units, derive_from_example, shape_of, strength_of, units_to_regex
 from ..operators.windows import token_hmacs
 from ..sources import readers
@@ -27,6 +28,12 @@ def audit_log(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), action.alias("action"), "user_id", "event_id")
 
 
+def redacted_leaks(blocks):
+    """(id, path, pattern) for every block (doc_key, block_id, text) whose redacted text still has a leak."""
+    redacted = redact_detected(blocks).select(F.concat_ws(":", "doc_key", "block_id").alias("id"), "redacted")
+    return A.leak_audit(redacted, "id")
+
+
 @query(
     "g01_leak_audit",
     "WITH s AS (SELECT c_custkey AS id, unnest([{'path': 'c_name', 'v': c_name}, {'path': 'c_phone', 'v': 'tel ' || lpad(cast(c_custkey * 104729 AS varchar), 9, '0')}, {'path': 'tags[]', 'v': lpad(cast(c_custkey % 100 AS varchar), 2, '0') || '-' || lpad(cast(c_custkey * 31 AS varchar), 7, '0')}]) AS f FROM customer)"
@@ -46,9 +53,17 @@ def a06_guarded_rows(spark, sf_dir):
 
 @query("g01_redacted_is_clean", f"SELECT count(*) AS leaks FROM {LINES} WHERE false")
 def g01_redacted_is_clean(spark, sf_dir):
-    """No hit record carries anything that looks like an identifier."""
-    hits = exploded(detect(readers.read_documents(spark, sf_dir), keep="all")).withColumn("id", F.monotonically_increasing_id())
-    return A.leak_audit(hits.select("id", "pattern", "name", "strength"), "id").agg(F.count("*").alias("leaks"))
+    """How many redacted blocks still show something that looks like an identifier.
+
+    The SQL states the aim, none; where redaction leaves any, this counts them and disagrees with it.
+    """
+    return redacted_leaks(readers.read_documents(spark, sf_dir)).agg(F.count("*").alias("leaks"))
+
+
+@query("g01_redacted_leaks")
+def g01_redacted_leaks(spark, sf_dir):
+    """What redaction leaves, by leak pattern."""
+    return redacted_leaks(readers.read_documents(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("leaks"))
 
 
 @query(
