@@ -91,3 +91,16 @@ def test_clean_detectors(spark):
     df = spark.createDataFrame(rows, "list_id string, place int, id string, name string, source string, regex string, flags string, labels array<string>, strength string, origin string, createdAt long")
     got = audit.clean_detectors(df, "site").orderBy("place").collect()
     assert [(r.id, r.name, r.source, r.flags, r.labels, r.strength, r.origin, r.createdAt) for r in got] == [("a", "My name", "example", "iu", ["policy no"], "high", None, 5), ("b", "Custom pattern", "regex", None, [], "low", "o", 0)]
+
+
+def test_every_element_is_a_stored_record(spark, tmp_path):
+    from veil.plans import pages
+
+    items = "".join(f'<li id="i{i}">{"" if i % 3 == 0 else f"value {i}"}</li>' for i in range(20))
+    spark.createDataFrame([(1, "https://a.test/", f"<html><body><ul>{items}</ul></body></html>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    ids = {r.node_id for r in html.html_elements(spark.read.parquet(f"{tmp_path}/pages.parquet")).where("attrs['id'] is not null").collect()}
+    found = {r.sticker_id: r.node_id for r in pages.l03_resolve(spark, str(tmp_path)).collect()}
+    assert len(ids) == 20 and all(found.get(f"1:{n}") == n for n in ids)
+    tied = {(r.sticker_id, r.node_id) for r in pages.l04_masked_ties(spark, str(tmp_path)).collect()}
+    assert all((f"1:{n}", n) in tied for n in ids)
+    assert pages.j15_drift(spark, str(tmp_path)).isEmpty()

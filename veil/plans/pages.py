@@ -99,8 +99,8 @@ def r08_scrub_attrs(spark, sf_dir):
 
 def _linked(spark, sf_dir):
     prints = written(L.fingerprint(written(html.html_elements(_pages(spark, sf_dir))), KEY))
-    # every seventh element with a text is a stored record; linking finds it again
-    stickers = prints.where("node_id % 7 = 3 and text_hmac is not null").withColumn("sticker_id", F.concat_ws(":", "page_id", "node_id"))
+    # every element is a stored record, also one known by id, key or path only; linking finds it again
+    stickers = prints.withColumn("sticker_id", F.concat_ws(":", "page_id", "node_id"))
     pairs = L.candidates(stickers, prints)
     return prints, stickers, L.score(pairs, stickers, prints)
 
