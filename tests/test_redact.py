@@ -89,3 +89,18 @@ def test_redacted_leaks_are_reported(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert reports.g01_redacted_is_clean(spark, str(tmp_path)).first().leaks == 2
     assert [tuple(r) for r in reports.g01_redacted_leaks(spark, str(tmp_path)).collect()] == [("long number", 2)]
+
+
+def test_catalogue_matches_of_a_long_block(spark):
+    """Matches after 50,000 characters and after the 500th are found and redacted; the bound is an option."""
+    from veil.operators.detect import raw_matches
+    from veil.operators.detectors import CATALOG
+
+    email = [d for d in CATALOG if d.id == "email"]
+    mails = " ".join(f"u{i}@mail.test.org" for i in range(600))
+    df = spark.createDataFrame([("many", 0, mails), ("far", 0, "word " * 12_000 + "late@mail.test.org")], "doc_key string, block_id int, text string")
+    out = {r.doc_key: r for r in redact.redact_detected(df, detectors=email).collect()}
+    assert out["many"].n_hits == 600 and out["far"].n_hits == 1
+    assert "@" not in out["many"].redacted + out["far"].redacted
+    bound = {r.doc_key: r.n for r in df.select("doc_key", F.size(raw_matches(F.col("text"), F.lit(None), email[0], limited=True)).alias("n")).collect()}
+    assert bound == {"many": 500, "far": 0}

@@ -13,7 +13,7 @@ from .detectors import BUILTIN, EXEMPT, NEGATIVES, YEAR, Detector
 from .matching import around, continues, match_all, overlaps
 
 POINTS = {"high": 3, "medium": 2, "low": 1}
-#: A user's pattern sees so much of a block and gives so many matches.
+#: Where it is asked for, a user's pattern sees so much of a block and gives so many matches.
 TEXT_MOST, MATCHES_MOST = 50_000, 500
 SUGGESTIONS_MOST = 200
 
@@ -62,9 +62,12 @@ def flat_bonus(text: Column, match: Column, detector: Detector) -> Column:
     return F.when(own, 3).when(detector.named_by(around(text, start, end)), 1).otherwise(0)
 
 
-def raw_matches(text: Column, negs: Column, detector: Detector, as_of_year: int = YEAR) -> Column:
-    """Validated matches of one detector. Users' and the catalogue's are not vetoed by look-alikes, but are bounded."""
-    if detector.catalog or detector.user:
+def raw_matches(text: Column, negs: Column, detector: Detector, as_of_year: int = YEAR, limited: bool = False) -> Column:
+    """Validated matches of one detector. Users' and the catalogue's are not vetoed by look-alikes.
+
+    limited: keep those to TEXT_MOST characters and MATCHES_MOST matches of a block, as a browser does.
+    """
+    if limited and (detector.catalog or detector.user):
         bounded = F.substring(text, 1, TEXT_MOST)
         found = F.slice(match_all(bounded, detector.pattern), F.lit(1), F.lit(MATCHES_MOST))
     else:
