@@ -21,17 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's folder in that of spark.checkpoint.dir; it is removed when the application ends.
+
+    Where the setting is missing, a local master (as in tests) gets a folder of its own; a cluster is refused,
+    as its executors could not read one another's folders.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veil-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+        context.setCheckpointDir(found)
+    folder = f"{found}/veil-{context.applicationId}"
+    if folder not in _REMOVED_AT_EXIT:
+        _REMOVED_AT_EXIT.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+_REMOVED_AT_EXIT: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it back, so that nothing before it is run again."""
-    path = f"{shared_dir(df.sparkSession)}/veil-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,17 +70,16 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """(key, doc_id, text, *extra): key is a unique long that sorts as (doc_id, text).
 
     Where every doc_id is there and no two are equal, the key is the doc_id.  Otherwise rows are
-    ordered by doc_id (nulls first) and text and numbered in that order, so that rows that share an
-    id are separate documents.  Null texts become empty.
+    ordered by doc_id (nulls first), text and the other columns and numbered in that order, so that rows that
+    share an id are separate documents and the order is the same in every run.  Null texts become empty.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if odd.isEmpty():
         return docs.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", *extra)
-    return cut(docs.orderBy("doc_id", "text").withColumn("key", F.monotonically_increasing_id())).select(
-        "key", "doc_id", "text", *extra
-    )
+    ties = [F.to_json(F.struct(c)) for c in extra]
+    return cut(docs.orderBy("doc_id", "text", *ties).withColumn("key", F.monotonically_increasing_id())).select("key", "doc_id", "text", *extra)
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ Sizes are words.  Targets: all sources share ``share`` times all words by weight
 one level L with target = least(limit * size, L * weight), found from prefix sums over the sources.
 
 Each document of a source expects target / size copies.  The expected copies are prefix-summed in the
-order (size class, salt, doc_id), one offset that depends on the source is added, and a document is
+order (size class, salt, doc_id, digest), one offset that depends on the source is added, and a document is
 emitted once for each integer the sum crosses.  Documents of like size are neighbours, so the words
 taken stay within about one document of the target.  The prefix sum is built from counts by
-size class and by salt, so a hot source, or a hot group of copies, is never in one task.
+size class and by salt, so a hot source, or a hot group of copies, is never in one task.  Salt and
+digest come from a hash of id and text together: ids in steps, or one id for many rows, are spread as
+well, and the order, and with it the result, is the same in every run (rows of one place in it are equal).
 
 Cases: null text has no words and size 0; a null source is a source by itself, last in order; rows that share a
 doc_id are documents of their own; a source without words has target 0; an empty table gives an
@@ -24,7 +26,6 @@ from .common import WORD, cut, keyed_rows, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2.0
-SALTS = 256
 
 
 def size_class(size: Column) -> Column:
@@ -62,8 +63,9 @@ def offset(source: Column, seed: str) -> Column:
 
 
 def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = "mix") -> DataFrame:
-    """docs (doc_id, source, size and more) with source_size, target and copies."""
-    docs = docs.withColumn("class", size_class(F.col("size"))).withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).cast("int"))
+    """docs (doc_id, source, size, digest and more) with source_size, target and copies; ``key``, if there, settles what is left of ties."""
+    salt = F.conv(F.substring("digest", 1, 2), 16, 10).cast("int")
+    docs = docs.withColumn("class", size_class(F.col("size"))).withColumn("salt", salt)
     cells = docs.groupBy("source", "class", "salt").agg(F.count("*").alias("n"))
     in_class = Window.partitionBy("source", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"))
@@ -73,21 +75,22 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limi
     place = before.alias("a").join(before_class.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class")))
     place = place.select(F.col("a.source").alias("p_source"), F.col("a.class").alias("p_class"), F.col("a.salt").alias("p_salt"), (F.col("before_cell") + F.col("before_class")).alias("before"))
     targets = source_targets(docs, weights, share, limit).withColumnRenamed("source", "t_source")
-    in_cell = Window.partitionBy("source", "class", "salt").orderBy("doc_id")
+    in_cell = Window.partitionBy("source", "class", "salt").orderBy("doc_id", "digest", *(["key"] if "key" in docs.columns else []))
     ranked = docs.withColumn("k", F.row_number().over(in_cell))
     found = ranked.join(place, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("class") == F.col("p_class")) & (F.col("salt") == F.col("p_salt")))
     found = found.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
     k, u = F.col("k") + F.col("before"), offset(F.col("source"), seed)
     crossed = F.floor(F.col("rate") * k + u) - F.floor(F.col("rate") * (k - 1) + u)
     return found.withColumn("copies", F.least(crossed, F.lit(int(limit))).cast("long")).drop(
-        "class", "salt", "k", "before", "p_source", "p_class", "p_salt", "t_source", "rate"
+        "class", "salt", "digest", "k", "before", "p_source", "p_class", "p_salt", "t_source", "rate"
     )
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, source, size, *more), written once: the texts are read only here."""
+    """(doc_id, source, size, digest, *more), written once: the texts are read only here."""
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *more))
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("digest"), *more))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = "mix") -> DataFrame:
@@ -110,7 +113,8 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    md5(concat_ws(':', doc_id::VARCHAR, text)) AS digest FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, list_value(3, 1, 2)[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
   FROM sizes GROUP BY source
@@ -127,7 +131,7 @@ targets AS (
   FROM levels LEFT JOIN chosen ON true
 ), ordered AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY
-    CASE WHEN size = 0 THEN 0 ELSE len(bin(size)) * 16 + ((size * 32) >> len(bin(size))) - 16 END, coalesce(doc_id, 0) % 256, doc_id) AS k
+    CASE WHEN size = 0 THEN 0 ELSE len(bin(size)) * 16 + ((size * 32) >> len(bin(size))) - 16 END, substr(digest, 1, 2), doc_id NULLS FIRST, digest) AS k
   FROM sizes
 )
 SELECT doc_id, size, source_size, target,
