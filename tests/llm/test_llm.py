@@ -256,12 +256,88 @@ def test_op7_fingerprints(docs, texts):
     assert np.mean([r.near_edited for r in far]) > np.mean([r.near_next for r in far]) + 0.3
 
 
-def test_op7_near_pairs(spark):
+def plain_walk(text, limit):
+    """The symbol at each of the first ``limit`` places of a text's embedding, one step at a time."""
+    stay, points, out, step = edit_embedding.walk_table(), [ord(c) for c in text] + [0, 0], [], 0
+    for i in range(len(text)):
+        cls = int(edit_embedding.mix(np.array([points[i]], np.uint64))[0]) & (edit_embedding.CLASSES - 1)
+        # the walker stays until a random bit of (class, step) lets it go
+        n = int(stay[cls * edit_embedding.PERIOD + step % edit_embedding.PERIOD])
+        three = (points[i] + (points[i + 1] << 21) + (points[i + 2] << 42)) % (1 << 64)
+        out += [int(edit_embedding.mix(np.array([three], np.uint64))[0]) & 255] * n
+        step += n
+    return out[:limit], step
+
+
+def plain_likeness(a, b):
+    """Share of equal symbols over all sampled places up to the end of the longer embedding."""
+    (xa, sa), (xb, sb) = plain_walk(a, 1 << 30), plain_walk(b, 1 << 30)
+    if not sa or not sb:
+        return float(sa == sb)
+    level = max(0, (-(-max(sa, sb) // edit_embedding.SAMPLES) - 1).bit_length())
+    places = edit_embedding.sampled_places(1 << max(sa, sb).bit_length())[level]
+    places = places[places < max(sa, sb)]
+    same = sum(int(p) < min(sa, sb) and xa[p] == xb[p] for p in places)
+    return same / len(places) if len(places) else float(a == b)
+
+
+def test_op7_plain_walker():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdé fgh") for _ in range(n)) for n in (0, 1, 2, 30, 200, 700)]
+    texts += [t[: len(t) // 2] + "X" + t[len(t) // 2 :] for t in texts]
+    embedding = edit_embedding.Embedding()
+    found = embedding.fingerprints([edit_embedding._points(t) for t in texts])
+    want = np.array([[plain_likeness(a, b) for b in texts] for a in texts])
+    got = np.array([[embedding.likeness(a, b) for b in found] for a in found])
+    assert np.allclose(got, want) and np.allclose(edit_embedding.likenesses(embedding, found), want)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_op7_near_classes(spark, monkeypatch, block):
+    """Chains of near texts (A near B, B near C, A not near C) are one class; brute force over all pairs agrees."""
+    monkeypatch.setattr(edit_embedding, "BLOCK", block)
     rng = random.Random(6)
-    texts = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(30)]
-    texts += [t[:450] + "Z" + t[451:] for t in texts[:10]] + [texts[0], texts[1]]
-    found = {(r.key, r.other) for r in edit_embedding.near_pairs(docs_of(spark, texts)).collect()}
-    assert sum((i, 30 + i) in found for i in range(10)) >= 9 and all(b - a == 30 for a, b in found)
+    texts = []
+    for n in (90, 260, 900, 4000):
+        for _ in range(4):
+            t = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            texts.append(t)
+            for _ in range(4):  # each step changes a few characters of the one before
+                w = list(t)
+                for _ in range(max(1, n // 60)):
+                    w[rng.randrange(n)] = rng.choice("xyz")
+                t = "".join(w)
+                texts.append(t)
+    texts += ["", "", texts[0], texts[7], "q"]
+    embedding = edit_embedding.Embedding()
+    found = embedding.fingerprints([edit_embedding._points(t) for t in texts])
+    near = edit_embedding.likenesses(embedding, found) >= edit_embedding.NEAR
+    near |= np.array([[a == b for b in texts] for a in texts])
+    least = np.arange(len(texts))
+    while True:
+        new = np.where(near, least[None, :], len(texts)).min(1)
+        if (new == least).all():
+            break
+        least = new
+    chained = sum(not near[i, least[i]] for i in range(len(texts)))
+    rows = {r.doc_id: r.class_id for r in edit_embedding.fingerprint_edits(docs_of(spark, texts)).collect()}
+    assert chained > 5 and all(rows[i] >= least[i] for i in rows)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near[i, j]]
+    assert np.mean([rows[i] == rows[j] for i, j in pairs]) > 0.97
+
+
+def test_op7_many_partitions(spark):
+    rows = spark.range(3000).selectExpr("id * 7 - 900 as doc_id", "concat('text ', id, repeat('ab ', cast(id % 9 as int))) as text").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2000")
+        bounds = edit_embedding.ranges(edit_embedding.keyed(rows), 2000)
+        assert 1000 < len(bounds) <= 2000
+        firsts = edit_embedding.F.split(edit_embedding.F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+        placed = rows.select("doc_id", edit_embedding.range_of(edit_embedding.F.col("doc_id"), firsts, len(bounds)).alias("part")).collect()
+        assert all(r.part == np.searchsorted(bounds, r.doc_id, side="right") - 1 for r in placed)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_op8_mix(spark, docs, texts):
@@ -292,6 +368,15 @@ def test_op8_mix(spark, docs, texts):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
 
 
+def test_op8_shared_ids_and_reruns(spark):
+    """Ids that many rows share, ids in steps of 256, nulls: any partitioning gives the same rows."""
+    rows = [((i % 7) * 256 if i % 3 else None, f"w {'x ' * (i % 5)}{i}", f"s{i % 2}", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    for f in (mixing.mix, mixing.mixed_rows):
+        one, other = (sorted(map(tuple, f(docs.repartition(n)).collect()), key=str) for n in (3, 7))
+        assert one == other
+
+
 def test_op9_viterbi():
     rng = np.random.default_rng(0)
     for _ in range(30):

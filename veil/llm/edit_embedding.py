@@ -11,13 +11,15 @@ the level that leaves about ``SAMPLES`` places, and two texts are compared at th
 levels. The likeness is the share of sampled places, up to the end of the longer embedding, that
 carry the same symbol; a symbol is a hash of three characters, so chance agreement is rare.
 
-``near_pairs`` bands the samples (equal texts first collapsed), shuffles on band hashes and verifies the
-candidates on all their samples: in each bucket a document is compared with the leaders before it and linked
-to the first that is near, or leads itself, so a group of near copies gives one link for each member.
+``near_classes`` bands the fingerprints: equal texts are first made one member, each band is a hash of ``ROWS``
+sampled symbols, and members of one band bucket are verified against each other on all their samples, block by
+block. What leaves a task is one edge for each member to the least member it is connected with; alternating
+stars turn the edges into classes, so chains of near texts are one class. A text is banded at its own level, and at
+the next coarser one if a text of ``NEAR`` likeness could be long enough for that.
 
 Cases: null counts as empty; two empty texts are alike (1.0), an empty and another are not (0.0); rows
-that share a doc_id are ordered by text; one document is its own next one; an empty table gives an
-empty result; other columns are ignored.
+that share a doc_id are ordered by text; one document is its own next one; an empty text is near to
+empty texts only; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, keyed, parts, table
+from .components import components
 from .windows import mix
 
 #: Places of the embedding that a fingerprint samples, about; it has between half as many and as many.
@@ -41,10 +44,13 @@ PERIOD, CLASSES = 4096, 64
 #: Characters walked at once: documents side by side times the length of the longest.
 MATRIX = 1 << 21
 
-#: Bands that a level's places are dealt to, and the likeness that counts as near.
-BANDS, NEAR = 32, 0.7
+#: Likeness that counts as near, and how it is found: bands of so many symbols. A pair at exactly NEAR is
+#: found with probability 0.97 (1 - (1 - NEAR^ROWS)^BANDS); closer pairs more often.
+NEAR, BANDS, ROWS = 0.8, 12, 6
+#: Members of a bucket that meet in one task; larger buckets meet block by block.
+BLOCK = 512
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
 def walk_table(seed: int = 7) -> np.ndarray:
@@ -172,19 +178,24 @@ def _blocks(rows: Iterator[tuple], most: int = 4 << 20):
 
 
 def _fingerprint_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (part, key): each document with the one after it in its part.
+    """Over rows sorted by (part, guest, key, text is there): each document with the one after it in its part.
 
-    The last row of a part is the first row of the next part (``guest``), which only lends its text.
+    The last row of a part is the first row of the next part (``guest``), which only lends its text. A row
+    without text carries the class of the document after it.
     """
     embedding = Embedding()
 
     def rows():
+        class_of = None
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "guest", "text")), strict=True)
+            for key, part, doc_id, guest, class_key, text in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "doc_id", "guest", "class_key", "text")), strict=True):
+                if text is None:
+                    class_of = (key, class_key)
+                else:
+                    yield part, doc_id, guest, class_of[1] if class_of is not None and class_of[0] == key else key, text
 
     carry = None
-    stream = _blocks(rows())
-    for block in stream:
+    for block in _blocks(rows()):
         if carry is not None:
             block = [carry, *block]
         carry = block[-1]
@@ -193,7 +204,7 @@ def _fingerprint_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _some(embedding: Embedding, block: list[tuple]) -> Iterator[pa.RecordBatch]:
-    texts = [row[3] for row in block]
+    texts = [row[4] for row in block]
     pairs = [i for i in range(len(block) - 1) if not block[i][2] and block[i][0] == block[i + 1][0]]
     if not pairs:
         return
@@ -211,102 +222,189 @@ def _some(embedding: Embedding, block: list[tuple]) -> Iterator[pa.RecordBatch]:
         pa.array([text_of(x) for x in other]),
         pa.array([embedding.likeness(own[i], other[k]) for k, i in enumerate(pairs)], pa.float64()),
         pa.array([embedding.likeness(own[i], own[i + 1]) for i in pairs], pa.float64()),
+        pa.array([block[i][3] for i in pairs], pa.int64()),
     ]
     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
 
+def ranges(base: DataFrame, n: int) -> list[int]:
+    """First keys of at most ``n`` ranges of about as many rows each; every one is a key of the table."""
+    asked = F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n) if n > 1 else F.array().cast("array<bigint>")
+    found = base.agg(F.min("key").alias("least"), asked.alias("some")).first()
+    return sorted({int(k) for k in [found["least"], *(found["some"] or [])] if k is not None}) or [0]
+
+
+def range_of(key: Column, firsts: Column, n: int) -> Column:
+    """The number of the last of ``n`` sorted firsts that is not above the key, by binary search."""
+    steps = [1 << k for k in range((n - 1).bit_length() - 1, -1, -1)]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(firsts, at + s) <= key, at + s).otherwise(at))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """RESULT for every document: its fingerprint, its edited text's, and their likeness.
+    """RESULT for every document: its fingerprint, its edited text's, their likeness, and its class of near texts.
 
     Documents are dealt to ranges of their key by one shuffle. The first document of a range is also
     sent to the range before it (of the first range: to the last), where the last one needs its text.
     """
-    base = keyed(docs)
-    spark = docs.sparkSession
-    n = parts(spark)
-    bounds = sorted(set(base.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    part = F.lit(0)
-    for i in range(0, len(bounds), 64):
-        part = part + sum((F.when(F.col("key") > F.lit(int(b)), 1).otherwise(0) for b in bounds[i : i + 64]), F.lit(0))
-    base = base.withColumn("part", part)
-    # one row for each range: as many as there are partitions, whatever the input's size
-    first = {r["part"]: r["key"] for r in base.groupBy("part").agg(F.min("key").alias("key")).collect()}
-    order = sorted(first)
-    lends = [(first[p], order[i - 1]) for i, p in enumerate(order)]
-    guests = F.create_map(*[F.lit(x) for pair in lends for x in pair]) if lends else F.lit(None).cast("map<bigint,int>")
-    sent = F.when(F.col("key").isin([k for k, _ in lends]), F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(F.element_at(guests, F.col("key")).alias("part"), F.lit(True).alias("guest")))).otherwise(
-        F.array(F.struct(F.col("part"), F.lit(False).alias("guest")))
-    )
-    dealt = base.withColumn("to", F.explode(sent)).select(F.col("to.part").alias("part"), F.col("to.guest").alias("guest"), "key", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "guest", "key")
+    base = keyed(docs).select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    classes = near_classes(base)
+    n = parts(docs.sparkSession)
+    bounds = ranges(base, n)
+    firsts, m = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), len(bounds)
+    placed = base.withColumn("part", range_of(F.col("key"), firsts, m))
+    here = F.struct(F.col("part"), F.lit(False).alias("guest"))
+    before = F.struct(F.pmod(F.col("part") - 1, F.lit(m)).cast("int").alias("part"), F.lit(True).alias("guest"))
+    sent = F.when(F.get(firsts, F.col("part")) == F.col("key"), F.array(here, before)).otherwise(F.array(here))
+    dealt = placed.select("key", "doc_id", "text", F.explode(sent).alias("to")).select("to.part", "to.guest", "key", "doc_id", "text", F.lit(None).cast("long").alias("class_key"))
+    told = classes.select(range_of(F.col("key"), firsts, m).alias("part"), F.lit(False).alias("guest"), "key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "class_key")
+    ordered = dealt.unionByName(told).repartitionById(n, "part").sortWithinPartitions("guest", "key", F.col("text").isNotNull())
     return ordered.mapInArrow(_fingerprint_edits, RESULT)
 
 
-def _band_hashes(embedding: Embedding, found: tuple) -> list[tuple[int, int, int]]:
-    """(level, band, hash) at a text's own level and the next coarser one, where texts of nearby lengths meet."""
-    level, steps, symbols = found
-    out = []
-    own = embedding.levels[min(level, len(embedding.levels) - 1)] if steps else np.zeros(0, np.int64)
-    own = own[: len(symbols)]
-    values = np.frombuffer(symbols, np.uint8).astype(np.uint64)
-    for t in (level, level + 1):
-        hashed = _place_hash(own)
-        keep = (hashed >> np.uint64(level)) & np.uint64(1) == 0 if t > level else np.ones(len(own), bool)
-        with np.errstate(over="ignore"):
-            band = ((hashed[keep] >> np.uint64(40)) % np.uint64(BANDS)).astype(np.int64)
-            total = np.zeros(BANDS, np.uint64)
-            np.add.at(total, band, mix(values[keep] + hashed[keep]))
-        for b in np.unique(band):
-            out.append((t, int(b), int(total[b].view(np.int64))))
-    return out
+def _band_places(tier: int) -> np.ndarray:
+    """BANDS rows of ROWS sampled places each that every text of a tier (2^tier < steps <= 2^(tier + 1)) has."""
+    places = np.arange(1 << max(tier, 0))
+    level = max(0, (2 << max(tier, 0)) // SAMPLES).bit_length() - 1
+    if level > 0:
+        places = places[_place_hash(places) & np.uint64((1 << level) - 1) == 0]
+    rng = np.random.default_rng([tier + 1, 77])
+    return places[np.stack([rng.permutation(len(places))[:ROWS] for _ in range(BANDS)])]
+
+
+class Bands:
+    """Hashes of ROWS sampled symbols each, in a text's own tier of lengths and, if it is long for that, the next one."""
+
+    def __init__(self, embedding: Embedding):
+        self.embedding, self.tiers = embedding, {}
+
+    def of(self, found: tuple) -> list[int]:
+        level, steps, symbols = found
+        if not steps:
+            return []
+        self.embedding.grow(steps + 1)
+        own = self.embedding.levels[min(level, len(self.embedding.levels) - 1)]
+        values = np.frombuffer(symbols, np.uint8).astype(np.uint64)
+        tier = (steps - 1).bit_length() - 1
+        out = []
+        for t in (tier, tier + 1) if steps > 0.95 * NEAR * 2.0 ** (tier + 1) else (tier,):
+            if t not in self.tiers:
+                self.tiers[t] = _band_places(t)
+            places = self.tiers[t]
+            places = places[(places < steps).all(1)]
+            with np.errstate(over="ignore"):
+                mixed = mix(values[np.searchsorted(own, places)] + mix(places.astype(np.uint64))).sum(1, dtype=np.uint64)
+                out += mix(mixed + np.uint64(t + 2) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
+        return list(dict.fromkeys(out))
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     embedding = Embedding()
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("band", pa.int32()), ("hash", pa.int64())]))
     for batch in batches:
         for block in _blocks(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             found = embedding.fingerprints([_points(t) for _, t in block])
-            bands = [[{"level": a, "band": b, "hash": h} for a, b, h in _band_hashes(embedding, f)] for f in found]
+            digests = np.array([np.frombuffer(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64) for _, t in block])
             columns = [
-                pa.array([k for k, _ in block], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for _, t in block], pa.binary()),
-                pa.array([text_of(f) for f in found]), pa.array([f[1] for f in found], pa.int64()), pa.array(bands, kind),
+                pa.array([k for k, _ in block], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
+                pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "fingerprint", "steps", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "d1", "d2", "level", "steps", "symbols"])
 
 
-def _lead(near: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (level, band, hash, key): each row's link to the first near leader of its bucket."""
-    embedding, bucket, leaders = Embedding(), None, []
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bands = Bands(Embedding())
     for batch in batches:
-        out: list[tuple] = []
-        names = ("level", "band", "hash", "key", "fingerprint", "steps")
-        for level, band, h, key, text, steps in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if (level, band, h) != bucket:
-                bucket, leaders = (level, band, h), []
-            embedding.grow(steps + 1)
-            own = from_text(text)
-            for other, theirs in leaders:
-                likeness = embedding.likeness(theirs, own)
-                if likeness >= near:
-                    out.append((other, key, likeness))
-                    break
-            else:
-                leaders.append((key, own))
-        if out:
-            a, b, x = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64())], ["key", "other", "likeness"])
-
-
-def near_pairs(docs: DataFrame, near: float = NEAR) -> DataFrame:
-    """(key, other, likeness): links between different texts whose fingerprints are near; equal texts are one."""
-    n = parts(docs.sparkSession)
-    prints = cut(keyed(docs).select("key", "text").mapInArrow(_prints, "key long, digest binary, fingerprint string, steps long, bands array<struct<level: int, band: int, hash: bigint>>"))
-    first = prints.groupBy("digest").agg(F.min("key").alias("key")).select("key")
-    banded = prints.join(first, "key", "left_semi").select("key", "fingerprint", "steps", F.explode("bands").alias("b")).select("b.*", "key", "fingerprint", "steps")
-    shared = banded.groupBy("level", "band", "hash").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    met = banded.join(shared, ["level", "band", "hash"]).repartition(n, "level", "band", "hash").sortWithinPartitions("level", "band", "hash", "key")
-    return met.mapInArrow(partial(_lead, near), "key long, other long, likeness double").distinct()
+        keys, buckets = [], []
+        for key, *found in zip(*(batch.column(c).to_pylist() for c in ("key", "level", "steps", "symbols")), strict=True):
+            hashes = bands.of(tuple(found))
+            keys += [key] * len(hashes)
+            buckets += hashes
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(keys, pa.int64())], ["bucket", "key"])
+
+
+def likenesses(embedding: Embedding, members: list[tuple]) -> np.ndarray:
+    """The likeness of every two members (level, steps, symbols), as Embedding.likeness gives it."""
+    n = len(members)
+    level, steps = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+    out = np.zeros((n, n))
+    for t in np.unique(level):
+        upto = np.flatnonzero(level <= t)
+        places = embedding.levels[min(t, len(embedding.levels) - 1)]
+        inside = np.searchsorted(places, steps)
+        width = int(inside[upto].max())
+        rows = np.full((len(upto), width), -1, np.int16)
+        for r, i in enumerate(upto):
+            own = embedding.levels[min(level[i], len(embedding.levels) - 1)]
+            rows[r, : inside[i]] = np.frombuffer(members[i][2], np.uint8)[np.searchsorted(own, places[: inside[i]])]
+        blank = np.where(rows < 0, -2, rows)
+        for r in np.flatnonzero(level[upto] == t):
+            i = upto[r]
+            most = np.maximum(inside[i], inside[upto])
+            alike = np.where(most > 0, (rows == blank[r]).sum(1) / np.maximum(most, 1), [members[i] == members[j] for j in upto])
+            out[i, upto] = out[upto, i] = alike
+    return out
+
+
+def _verify(near: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (bucket, left, right): an edge from each member to the least one it is connected with."""
+    embedding = Embedding()
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "left", "right", "key", "side", "level", "steps", "symbols")), strict=True)
+
+    def edges(group):
+        keys, side = np.array([r[3] for r in group]), np.array([r[4] for r in group])
+        embedding.grow(max(r[6] for r in group) + 1)
+        link = likenesses(embedding, [tuple(r[5:8]) for r in group]) >= near
+        if group[0][1] != group[0][2]:
+            link &= side[:, None] != side[None, :]
+        np.fill_diagonal(link, True)
+        order = np.argsort(np.argsort(keys))  # ranks, so that the least label is the least key
+        least = order
+        while True:
+            new = np.where(link, least[None, :], len(keys)).min(1)
+            if (new == least).all():
+                break
+            least = new
+        by_rank = np.sort(keys)
+        moved = least != order
+        return pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(by_rank[least[moved]])], ["a", "b"])
+
+    group: list = []
+    for row in rows():
+        if group and group[0][:3] != row[:3]:
+            if len(group) > 1:
+                yield edges(group)
+            group = []
+        group.append(row)
+    if len(group) > 1:
+        yield edges(group)
+
+
+def near_classes(keyed_docs: DataFrame, near: float = NEAR) -> DataFrame:
+    """(key, class_key) of every document that is not alone: the least key of the texts it is linked with by any
+    chain of near fingerprints, or of equal texts. Documents (key, text) without a row are a class each."""
+    n = parts(keyed_docs.sparkSession)
+    prints = cut(keyed_docs.select("key", "text").mapInArrow(_prints, "key long, d1 long, d2 long, level int, steps long, symbols binary"))
+    copies = prints.groupBy("d1", "d2").agg(F.min("key").alias("copy_key"), F.count("*").alias("copies"))
+    firsts = prints.join(copies.select(F.col("copy_key").alias("key")), "key", "left_semi")
+    banded = firsts.mapInArrow(_bands, "bucket long, key long")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"), F.min("key").alias("least")).where("m > 1")
+    # buckets with the same members as another bring nothing new
+    kept = buckets.groupBy("m", "who", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+    met = cut(banded.join(kept, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
+    own = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
+    # block i meets every block j >= i: its members go to (i, j) as the left side and to (j, i) as the right one
+    dealt = met.withColumn("own", own).select("bucket", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    dealt = dealt.select("bucket", "key", F.least("own", "j").alias("left"), F.greatest("own", "j").alias("right"), (F.col("own") > F.col("j")).cast("int").alias("side"))
+    sides = dealt.join(prints.select("key", "level", "steps", "symbols"), "key").repartition(n, "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "key")
+    edges = sides.mapInArrow(partial(_verify, near), "a long, b long")
+    roots = components(edges)
+    members = prints.join(copies.where("copies > 1"), ["d1", "d2"], "left").select("key", F.coalesce("copy_key", "key").alias("copy_key"))
+    found = members.join(roots, F.col("copy_key") == F.col("node"), "left").select("key", F.coalesce("root", "copy_key").alias("class_key"))
+    return cut(found.where("key <> class_key"))
 
 
 def op7_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
