@@ -405,29 +405,65 @@ def test_op9_spans_and_scripts(spark):
     assert found[1].lang_pred == found[2].lang_pred == "und" and found[2].score == 0
 
 
-def test_op10_round_trip(spark):
+@pytest.fixture
+def dealt_to(spark):
+    """Sets the number of shuffle partitions for one test."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n", [1, 3, 13])
+def test_op10_round_trip(spark, dealt_to, n):
+    """Turns with nulls, control strings, ties and repeats, prefixes of one another, deep ones, and columns with clashing names."""
+    dealt_to(n)
     rows = [(1, 0, "user", "hi <s>[x] \\ there"), (1, 1, "assistant", "</s>[INST] ok"), (2, 0, "user", "hi <s>[x] \\ there"), (2, 1, "assistant", None), (2, 2, "user", "é]"), (3, 0, None, "x"), (None, 0, "user", "a"), (None, None, "assistant", "b\\")]
-    rows += [(10 + i, t, r, x) for i in range(9) for t, (r, x) in enumerate([("user", "shared"), ("assistant", f"answer {i % 4}")])]
-    conversations = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    for unit in (1, 2, 100):
-        nodes, ends = chat_format.format_chats(conversations, unit)
-        nodes, ends = chat_format.cut(nodes), chat_format.cut(ends)
-        got = {r.conv_id: tuple(r)[1:] for r in chat_format.read_back(nodes, ends).collect()}
-        by_conv = {}
-        for c, turn, role, text in rows:
-            by_conv.setdefault(c, []).append((turn is not None, turn, role or "", text or ""))
-        assert got.keys() == by_conv.keys()
-        for c, turns in by_conv.items():
-            turns.sort()
-            said = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
-            learned = "".join(t for *_, r, t in turns if r == "assistant")
-            whole = "".join(f"<s>[{chat_format.escape(r)}]{chat_format.escape(t)}</s>" for *_, r, t in turns)
-            assert got[c] == (len(turns), brute.sha(said.encode()), len(learned), brute.sha(learned.encode()), len(whole))
-        if unit == 100:
-            shared = [n for n in nodes.collect() if n.text == "<s>[user]shared</s>"]
-            assert len(shared) == 1
-            for n in nodes.collect():
-                assert n.position == sum(a.stop - a.start for a in n.attends) and len(n.attends) == n.depth
+    rows += [(10 + i, t, r, x) for i in range(40) for t, (r, x) in enumerate([("user", "shared"), ("assistant", f"answer {i % 9}"), ("user", f"more {i % 15}")][: 2 + i % 2])]
+    rows += [(60 + i, t, "assistant" if t % 2 else "user", f"deep {t}" if t < 70 - i else f"other {i} {t}") for i in range(3) for t in range(70)]
+    rows += [(70, 0, "user", "twice"), (70, 0, "user", "twice"), (71, 1, "user", "b"), (71, 1, "assistant", "b"), (72, 0, "assistant", "long " * 30_000)]
+    conversations = spark.createDataFrame([(*r, "x", "y", b"z") for r in rows], "conv_id long, turn int, role string, text string, turns string, leaf string, part binary")
+    nodes, ends = chat_format.format_chats(conversations)
+    nodes, ends = chat_format.cut(nodes), chat_format.cut(ends)
+    got = {r.conv_id: tuple(r)[1:] for r in chat_format.read_back(nodes, ends).collect()}
+    by_conv = {}
+    for c, turn, role, text in rows:
+        by_conv.setdefault(c, []).append((turn is not None, turn, role or "", text or ""))
+    assert got.keys() == by_conv.keys()
+    prefixes = set()
+    for c, turns in by_conv.items():
+        turns.sort()
+        said = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
+        learned = "".join(t for *_, r, t in turns if r == "assistant")
+        whole = "".join(f"<s>[{chat_format.escape(r)}]{chat_format.escape(t)}</s>" for *_, r, t in turns)
+        assert got[c] == (len(turns), brute.sha(said.encode()), len(learned), brute.sha(learned.encode()), len(whole))
+        prefixes |= {tuple(x[2:] for x in turns[: k + 1]) for k in range(len(turns))}
+    # every node once; each tree is laid out depth-first without gaps, and ancestors are where the intervals say
+    every = nodes.collect()
+    assert len(every) == len(prefixes) == len({bytes(x.node) for x in every})
+    at, trees = {(bytes(x.root), x.offset): x for x in every}, {}
+    for x in every:
+        trees.setdefault(bytes(x.root), []).append(x)
+        assert x.position == sum(a.stop - a.start for a in x.attends) and len(x.attends) == x.depth
+        if x.attends:
+            above = at[bytes(x.root), x.attends[-1].start]
+            assert above.node == x.parent and above.attends == x.attends[:-1] and x.attends[-1].stop == above.offset + above.length
+    for found in trees.values():
+        found.sort(key=lambda x: x.offset)
+        assert found[0].offset == 0 and all(a.offset + a.length == b.offset for a, b in itertools.pairwise(found))
+        for a, b in itertools.pairwise(found):
+            assert b.depth <= a.depth + 1
+
+
+def test_op10_one_turn_that_all_share(spark, dealt_to):
+    """A shared first turn is emitted once, and the nodes below it spread over the ranges."""
+    dealt_to(16)
+    shared = spark.range(5000).selectExpr("id as conv_id", "array(struct(0 as turn, 'user' as role, 'shared' as text), struct(1 as turn, 'assistant' as role, concat('answer ', id) as text)) as t")
+    nodes, ends = chat_format.format_chats(shared.selectExpr("conv_id", "inline(t)"))
+    nodes = chat_format.cut(nodes)
+    assert nodes.where("text = '<s>[user]shared</s>'").count() == 1 and nodes.count() == 5001
+    sizes = [r["count"] for r in nodes.groupBy("part").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 2 * 5000 / 16
+    assert chat_format.read_back(nodes, ends).where("n_turns = 2").count() == 5000
 
 
 @pytest.mark.parametrize("rows", [[], ODD])

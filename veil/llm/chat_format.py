@@ -2,16 +2,20 @@
 
 A turn is written ``<s>[role]text</s>``; ``< [ ] \\`` inside roles and texts get a backslash before them, so
 control strings in a text are text and reading back is exact.  A turn is a tree node named by a hash of all
-turns up to it, so conversations that begin alike share nodes.  Trees are emitted depth-first: each node
+turns up to it, so conversations that begin alike share nodes.  Each tree is emitted depth-first, every node
 once, with its place in the emitted sequence (``offset``), the position ids of its characters (``position`` on: what
 stands before it in the conversation, not in the sequence) and the intervals of its ancestors in the
-sequence, which with itself are all it may attend to.  A tree of more than ``unit`` distinct conversations is
-emitted in as many sequences as it needs, so a first turn that a third of all conversations share is not
-one task's work; a shared node is then emitted once in each.
+sequence, which with itself are all it may attend to.
 
-Cases: null texts and roles become empty; turns that share a number are ordered by role, then text; rows
-without conv_id are one conversation; equal conversations share all nodes; an empty table gives
-an empty result; other columns are ignored.
+The *walk* of a conversation is the string of its nodes' hashes: walks in order are the tree depth-first, and
+the nodes that a conversation adds are those beyond what it shares with the one before.  Distinct
+conversations are dealt to ranges of their walks, so a tree of any size, also one below a first turn that a
+third of all conversations share, spreads over tasks.  A first pass over lengths gives each range's total and
+the path on which it ends; their prefix sums (one row for each range) are where the ranges begin in the second pass.
+
+Cases: null texts and roles become empty; turns that share a number are ordered by role, then text; repeated rows
+are turns of their own; rows without conv_id are one conversation; equal conversations share all nodes; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,26 +23,29 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, small_batches, table
-
-UNIT = 2048
+from .common import cut, parts, range_of, small_batches, table
 
 _SPECIAL = re.compile(r"([\\<\[\]])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<s>\[((?:[^\\<\[\]]|\\.)*)\]((?:[^\\<\[\]]|\\.)*)</s>", re.DOTALL)
 LEARNED = "assistant"
+#: Bytes of a node's hash.
+NODE = 16
+#: Walks sampled for each range, at least, and bytes of a walk that a bound between ranges may have.
+SAMPLE, BOUND = 8, 64 * NODE
 
-_NODE = "struct<node: binary, parent: binary, role: string, text: string, position: bigint, length: bigint, loss_start: bigint, loss_stop: bigint>"
+_HELD = "conv_id long, leaf binary, walk binary, lengths array<long>, turns array<struct<role: string, text: string>>"
 NODES = (
-    "root binary, unit int, node binary, parent binary, depth int, role string, text string, offset bigint, position bigint, length bigint,"
-    " loss_start bigint, loss_stop bigint, attends array<struct<start: bigint, stop: bigint>>"
+    "part int, root binary, node binary, parent binary, depth int, role string, text string, offset bigint, position bigint, length bigint,"
+    " loss_start bigint, loss_stop bigint, attends array<struct<start: bigint, stop: bigint>>, ends boolean"
 )
+_STATE = "part int, total long, inherited int, starts array<long>, stops array<long>"
+_READ = "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str) -> str:
@@ -49,88 +56,167 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def formatted(role: str, text: str) -> tuple[str, str, str]:
+    """What opens a turn, what it says, and what closes it."""
+    return f"<s>[{escape(role)}]", escape(text), "</s>"
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each conversation as the path of its nodes; loss intervals are places in the node's own text."""
-    kind = pa.struct([("node", pa.binary()), ("parent", pa.binary()), ("role", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in ("position", "length", "loss_start", "loss_stop"))])
+    """Each conversation with its walk and the lengths of its nodes."""
     for batch in batches:
-        roots, leaves, paths = [], [], []
+        leaves, walks, lengths = [], [], []
         for turns in batch.column("turns").to_pylist():
-            parent, position, path = b"", 0, []
+            parent, walk, own = b"", [], []
             for turn in turns:
-                head = f"<s>[{escape(turn['role'])}]"
-                body = escape(turn["text"])
-                text = f"{head}{body}</s>"
-                node = hashlib.blake2b(parent + text.encode(), digest_size=16).digest()
-                learned = turn["role"] == LEARNED
-                path.append({
-                    "node": node, "parent": parent, "role": turn["role"], "text": text, "position": position, "length": len(text),
-                    "loss_start": len(head) if learned else 0, "loss_stop": len(head) + len(body) if learned else 0,
-                })
-                parent, position = node, position + len(text)
-            roots.append(path[0]["node"])
+                text = "".join(formatted(turn["role"], turn["text"]))
+                parent = hashlib.blake2b(parent + text.encode(), digest_size=NODE).digest()
+                walk.append(parent)
+                own.append(len(text))
             leaves.append(parent)
-            paths.append(path)
+            walks.append(b"".join(walk))
+            lengths.append(own)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("conv_id"), pa.array(roots, pa.binary()), pa.array(leaves, pa.binary()), pa.array(paths, pa.list_(kind))], ["conv_id", "root", "leaf", "path"]
+            [batch.column("conv_id"), pa.array(leaves, pa.binary()), pa.array(walks, pa.binary()), pa.array(lengths, pa.list_(pa.int64())), batch.column("turns")], ["conv_id", "leaf", "walk", "lengths", "turns"]
         )
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over nodes sorted by (root, unit, walk), each once: depth-first with the ancestors on a stack."""
-    attends_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    sequence, offset, stack = None, 0, []
-    for batch in batches:
-        offsets, attends = [], []
-        names = ("root", "unit", "depth", "length")
-        for root, unit, depth, length in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if (root, unit) != sequence:
-                sequence, offset, stack = (root, unit), 0, []
-            del stack[depth:]
-            attends.append(list(stack))
-            offsets.append(offset)
-            stack.append({"start": offset, "stop": offset + length})
-            offset += length
-        columns = [*(batch.column(c) for c in ("root", "unit", "node", "parent", "depth", "role", "text")), pa.array(offsets, pa.int64())]
-        columns += [batch.column(c) for c in ("position", "length", "loss_start", "loss_stop")] + [pa.array(attends, attends_kind)]
-        yield pa.RecordBatch.from_arrays(columns, ["root", "unit", "node", "parent", "depth", "role", "text", "offset", "position", "length", "loss_start", "loss_stop", "attends"])
+def shared(a: bytes, b: bytes) -> int:
+    """Nodes that two walks have in common from the root."""
+    most = min(len(a), len(b))
+    if a[:most] == b[:most]:
+        return most // NODE
+    at = 0
+    while a[at : at + NODE] == b[at : at + NODE]:
+        at += NODE
+    return at // NODE
+
+
+def _measure(before: dict[int, bytes]):
+    """Over one range's (part, walk, lengths) in order: its total length, and its part of the path at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at, stack = None, b"", 0, []
+        for batch in batches:
+            for part_, walk, lengths in zip(*(batch.column(c).to_pylist() for c in ("part", "walk", "lengths")), strict=True):
+                if part is None:
+                    part, last = part_, before[part_]
+                    stack = [None] * (len(last) // NODE)
+                del stack[shared(last, walk) :]
+                for length in lengths[len(stack) :]:
+                    stack.append((at, at + length))
+                    at += length
+                last = walk
+        if part is not None:
+            own = [x for x in stack if x is not None]
+            columns = [[part], [at], [len(stack) - len(own)], [[a for a, _ in own]], [[b for _, b in own]]]
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "total", "inherited", "starts", "stops"])
+
+    return run
+
+
+def _emit(states: dict[int, tuple[int, bytes, list]]):
+    """Over one range's (part, walk, turns) in order: the nodes that each conversation adds.
+
+    states: where each range begins, the walk before it, and the intervals of that walk's nodes.
+    """
+    names = [c.split()[0] for c in NODES.split(", ") if not c.startswith("stop")]
+    interval = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 5, interval, pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at, stack = None, b"", 0, []
+        for batch in batches:
+            out: list[tuple] = []
+            for part_, walk, turns in zip(*(batch.column(c).to_pylist() for c in ("part", "walk", "turns")), strict=True):
+                if part is None:
+                    part = part_
+                    at, last, stack = states[part_]
+                    stack = list(stack)
+                del stack[shared(last, walk) :]
+                position = sum(b - a for a, b in stack)
+                for depth in range(len(stack), len(turns)):
+                    role = turns[depth]["role"]
+                    head, body, close = formatted(role, turns[depth]["text"])
+                    length = len(head) + len(body) + len(close)
+                    first = stack[0][0] if stack else at  # places count from the tree's root
+                    node, parent = walk[depth * NODE : (depth + 1) * NODE], walk[max(depth - 1, 0) * NODE : depth * NODE]
+                    loss = (len(head), len(head) + len(body)) if role == LEARNED else (0, 0)
+                    attends = [{"start": a - first, "stop": b - first} for a, b in stack]
+                    out.append((part, walk[:NODE], node, parent, depth, role, head + body + close, at - first, position, length, *loss, attends, depth == len(turns) - 1))
+                    stack.append((at, at + length))
+                    at += length
+                    position += length
+                last = walk
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return run
 
 
 def paths(conversations: DataFrame) -> DataFrame:
-    """(conv_id, root, leaf, path) of each conversation."""
+    """Each conversation with its last node, walk, node lengths and turns."""
     small_batches(conversations.sparkSession)
     blank = F.lit("")
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn").alias("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text")).alias("t"),
     )
-    sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return sorted_turns.mapInArrow(_paths, f"conv_id long, root binary, leaf binary, path array<{_NODE}>")
+    in_order = F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return turns.groupBy("conv_id").agg(in_order.alias("turns")).mapInArrow(_paths, _HELD)
+
 
+def _ranges(walks: DataFrame, n: int) -> list[str]:
+    """First walks of ranges, in hexadecimal and cut to BOUND, from a sample by hash; the first range has none."""
+    every = max(1, walks.count() // (SAMPLE * n))
+    some = walks.where(F.pmod(F.xxhash64("leaf"), F.lit(every)) == 0).select(F.hex(F.substring("walk", 1, BOUND)).alias("w"))
+    found = sorted(r["w"] for r in some.collect())
+    return ["", *sorted({found[len(found) * i // n] for i in range(1, n)} - {""})] if found else [""]
 
-def format_chats(conversations: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
-    """(nodes, ends): the emitted nodes as NODES, and (conv_id, root, unit, leaf) of each conversation."""
+
+def _with_part(table_: DataFrame, bounds: list[str]) -> DataFrame:
+    part: Column = range_of(F.hex("walk"), F.split(F.lit(",".join(bounds)), ","), len(bounds))
+    return table_.withColumn("part", part.cast("int"))
+
+
+def format_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ends): the emitted nodes as NODES, and (conv_id, leaf) of each conversation."""
     n = parts(conversations.sparkSession)
     held = cut(paths(conversations))
-    leaves = held.groupBy("root", "leaf").agg(F.min(F.coalesce("conv_id", F.lit(0))).alias("one"))
-    units = leaves.groupBy("root").agg(F.ceil(F.count("*") / unit).cast("int").alias("units"))
-    placed = cut(leaves.join(units, "root").select("root", "leaf", "one", F.pmod(F.xxhash64("leaf"), F.col("units")).cast("int").alias("unit")))
-    # the path of one conversation stands for all with its leaf
-    one = held.alias("h").join(placed.alias("p"), (F.col("h.leaf") == F.col("p.leaf")) & (F.coalesce("h.conv_id", F.lit(0)) == F.col("p.one")))
-    exploded = one.select("p.root", "p.unit", "h.path", F.posexplode("h.path").alias("depth", "x"))
-    walk = F.transform(F.slice("path", F.lit(1), F.col("depth") + 1), lambda x: F.hex(F.substring(x["node"], 1, 8)))
-    nodes = exploded.select("root", "unit", "depth", F.array_join(walk, "").alias("walk"), "x.*")
-    once = nodes.groupBy("root", "unit", "node").agg(*[F.first(c).alias(c) for c in ("depth", "walk", "parent", "role", "text", "position", "length", "loss_start", "loss_stop")])
-    emitted = once.repartition(n, "root", "unit").sortWithinPartitions("root", "unit", "walk").drop("walk")
-    ends = held.select("conv_id", "root", "leaf").join(placed.select("leaf", "unit"), "leaf")
-    return emitted.select("root", "unit", "node", "parent", "depth", "role", "text", "position", "length", "loss_start", "loss_stop").mapInArrow(_emit, NODES), ends
+    # one conversation stands for all that say the same
+    stands = held.groupBy("leaf").agg(F.min("conv_id").alias("one")).select("one")
+    distinct = held.join(stands, F.col("conv_id").eqNullSafe(F.col("one")), "left_semi")
+    bounds = _ranges(distinct.select("leaf", "walk"), n)
+    # from here to the second pass: one row for each range
+    narrow = _with_part(distinct.select("walk", "lengths"), bounds)
+    last, before, upto = {r["part"]: bytes(r["walk"]) for r in narrow.groupBy("part").agg(F.max("walk").alias("walk")).collect()}, {}, b""
+    for part in sorted(last):
+        before[part], upto = upto, last[part]
+    measured = narrow.repartitionById(n, "part").sortWithinPartitions("walk").mapInArrow(_measure(before), _STATE)
+    states, at, stack = {}, 0, []
+    for r in sorted(measured.collect(), key=lambda r: r["part"]):
+        states[r["part"]] = (at, before[r["part"]], stack)
+        stack = stack[: r["inherited"]] + [(at + a, at + b) for a, b in zip(r["starts"], r["stops"], strict=True)]
+        at += r["total"]
+    ordered = _with_part(distinct.select("walk", "turns"), bounds).repartitionById(n, "part").sortWithinPartitions("walk")
+    return ordered.mapInArrow(_emit(states), NODES), held.select("conv_id", "leaf")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over one range's nodes in order, its guests first: what the path to each conversation's last node says."""
+    stack: list[tuple] = []
     for batch in batches:
         out: list[tuple] = []
-        for leaf, pieces in zip(batch.column("leaf").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
-            whole = "".join(p["text"] for p in pieces)
-            learned = "".join(unescape(p["text"][p["loss_start"] : p["loss_stop"]]) for p in pieces)
+        names = ("node", "depth", "text", "offset", "loss_start", "loss_stop", "attends", "ends")
+        for node, depth, text, offset, start, stop, attends, ends in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            del stack[depth:]
+            if [a["start"] for a in attends] != [x[0] for x in stack]:
+                raise ValueError("a node's ancestors are not where it says")
+            stack.append((offset, text, start, stop))
+            if not ends:
+                continue
+            whole = "".join(x[1] for x in stack)
+            learned = "".join(unescape(t[a:b]) for _, t, a, b in stack)
             digest, turns, at = hashlib.sha256(), 0, 0
             for m in _TURN.finditer(whole):
                 if m.start() != at:
@@ -140,22 +226,32 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
             if at != len(whole):
                 raise ValueError("the formatted text does not parse")
-            out.append((leaf, turns, digest.hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(whole)))
+            out.append((node, turns, digest.hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(whole)))
         kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
         yield pa.RecordBatch.from_arrays(columns, ["leaf", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def read_back(nodes: DataFrame, ends: DataFrame) -> DataFrame:
-    """What each conversation says and trains on, read from the emitted nodes by its last node's intervals."""
-    wanted = ends.select("root", "unit", F.col("leaf")).distinct()
-    nodes = cut(nodes)
-    last = nodes.join(wanted, (nodes["root"] == wanted["root"]) & (nodes["unit"] == wanted["unit"]) & (nodes["node"] == wanted["leaf"]))
-    spans = last.select(nodes["root"].alias("r"), nodes["unit"].alias("u"), "leaf", F.explode(F.concat(F.transform("attends", lambda a: a["start"]), F.array("offset"))).alias("at"))
-    pieces = spans.join(nodes, (F.col("r") == nodes["root"]) & (F.col("u") == nodes["unit"]) & (F.col("at") == nodes["offset"]))
-    gathered = pieces.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("text"), F.col("loss_start"), F.col("loss_stop")))).alias("pieces"))
-    read = gathered.mapInArrow(_read, "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return ends.select("conv_id", "leaf").join(read, "leaf").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    """What each conversation says and trains on, read from the emitted nodes by its last node's intervals.
+
+    The nodes stay in their ranges; a range's first node names all earlier nodes that any of the range can attend
+    to, which are sent along as guests: at most one path for each range.
+    """
+    nodes, ends = cut(nodes), cut(ends)
+    n = (nodes.agg(F.max("part")).first()[0] or 0) + 1
+    first = nodes.groupBy("part").agg(F.min_by(F.struct("root", "attends"), F.struct("root", "offset")).alias("f"))
+    asked = first.select(F.col("part").alias("to"), F.col("f.root").alias("root"), F.explode("f.attends").alias("a")).select("to", "root", F.col("a.start").alias("offset"))
+    guests = nodes.join(F.broadcast(asked), ["root", "offset"]).withColumn("ends", F.lit(False))
+    columns = ["to", "root", "node", "depth", "text", "offset", "loss_start", "loss_stop", "attends", "ends"]
+    both = nodes.withColumn("to", F.col("part")).select(*columns).unionByName(guests.select(*columns))
+    read = cut(both.repartitionById(n, "to").sortWithinPartitions("root", "offset").mapInArrow(_read, _READ))
+    # a last node that more than its share of all conversations have in common: there are at most ``n`` of these
+    n = parts(nodes.sparkSession)
+    hot = ends.groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") > max(1, ends.count() // n)).select("leaf")
+    rest = ends.join(F.broadcast(hot), "leaf", "left_anti").join(read, "leaf")
+    said = rest.unionByName(ends.join(F.broadcast(read.join(F.broadcast(hot), "leaf")), "leaf"))
+    return said.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

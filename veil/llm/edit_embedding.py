@@ -30,10 +30,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, parts, table
+from .common import cut, keyed, parts, range_of, table
 from .components import components
 from .windows import mix
 
@@ -234,14 +234,6 @@ def ranges(base: DataFrame, n: int) -> list[int]:
     return sorted({int(k) for k in [found["least"], *(found["some"] or [])] if k is not None}) or [0]
 
 
-def range_of(key: Column, firsts: Column, n: int) -> Column:
-    """The number of the last of ``n`` sorted firsts that is not above the key, by binary search."""
-    steps = [1 << k for k in range((n - 1).bit_length() - 1, -1, -1)]
-    if not steps:
-        return F.lit(0)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(firsts, at + s) <= key, at + s).otherwise(at))
-
-
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """RESULT for every document: its fingerprint, its edited text's, their likeness, and its class of near texts.
 
