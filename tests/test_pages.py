@@ -30,13 +30,13 @@ def test_block_text(spark):
 @pytest.mark.parametrize("sensitivity, want", [("aggressive", {1: 3, 2: 2, 3: 1, 4: 0}), ("balanced", {1: 3, 2: 2, 3: 1})])
 def test_evidence(spark, sensitivity, want):
     pages = _pages(spark, PAGES)
-    hits = page_scan.page_hits(html.block_text(pages), html.html_elements(pages), sensitivity).where("pattern = 'routing'").collect()
+    hits = page_scan.page_hits(pages, sensitivity).where("pattern = 'routing'").collect()
     assert {h.page_id: h.bonus for h in hits} == want
 
 
 def test_links_and_fields(spark):
     pages = _pages(spark, [(1, '<a href="/card/4111111111111111">4111 1111 1111 1111</a>'), (2, '<label for=a>SSN</label><input id=a value="123456789"><input type=hidden value="123-45-6789"><input value="4111111111111111">')])
-    found = page_scan.scan(html.block_text(pages), html.html_elements(pages)).collect()
+    found = page_scan.scan(pages).collect()
     assert sorted((f.page_id, f.pattern, f.is_input) for f in found) == [(2, "card", True), (2, "ssn-raw", True)]
 
 

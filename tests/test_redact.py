@@ -93,7 +93,7 @@ def test_redacted_leaks_are_reported(spark, tmp_path):
 
 def test_catalogue_matches_of_a_long_block(spark):
     """Matches after 50,000 characters and after the 500th are found and redacted; the bound is an option."""
-    from veil.operators.detect import raw_matches
+    from veil.operators.detect import find_matches
     from veil.operators.detectors import CATALOG
 
     email = [d for d in CATALOG if d.id == "email"]
@@ -102,5 +102,5 @@ def test_catalogue_matches_of_a_long_block(spark):
     out = {r.doc_key: r for r in redact.redact_detected(df, detectors=email).collect()}
     assert out["many"].n_hits == 600 and out["far"].n_hits == 1
     assert "@" not in out["many"].redacted + out["far"].redacted
-    bound = {r.doc_key: r.n for r in df.select("doc_key", F.size(raw_matches(F.col("text"), F.lit(None), email[0], limited=True)).alias("n")).collect()}
+    bound = {r.doc_key: r.n for r in find_matches(df, email, limited=True).select("doc_key", F.size("matches").alias("n")).collect()}
     assert bound == {"many": 500, "far": 0}

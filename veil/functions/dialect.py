@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: White space, spelled out: ASCII, no-break and typographic spaces, line and paragraph separators.
 WS = r"\t\n\x0B\f\r    -     　﻿"
 #: A word boundary over ASCII word characters only.
@@ -35,3 +41,31 @@ def portable(pattern: str) -> str:
 
 def with_flags(pattern: str, flags: str | None) -> str:
     return ("(?i)" if "i" in (flags or "") else "") + pattern
+
+
+def quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_of(column: Column) -> str:
+    """The SQL of a plain column, which is its name."""
+    return repr(column)[len("Column<'") : -len("'>")]
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` in which ``name`` is the value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def scalar(build: Callable[..., str]) -> Callable:
+    """A function from SQL of its argument to SQL, which given a plain column gives a column.
+
+    Large expressions are built as text: one call to the engine makes them, and they can be registered as SQL functions.
+    """
+
+    @wraps(build)
+    def apply(value: Column | str, *args) -> Column | str:
+        return F.expr(build(sql_of(value), *args)) if isinstance(value, Column) else build(value, *args)
+
+    return apply

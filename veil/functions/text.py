@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import B, WS
+from .dialect import B, WS, quoted
+from .dialect import let as sql_let
 from .validators import digits
 
 KINDS = ["ssn", "ein", "account", "routing", "card", "dob", "id"]
@@ -43,10 +44,21 @@ def normalize_context(s: Column, most: int = 40) -> Column:
     return F.nullif(F.substring(F.trim(letters), 1, most), F.lit(""))
 
 
+#: What a label goes through to a-z and single spaces: pattern and replacement, in lower case after the first.
+_LABEL_STEPS = [("([a-z])([A-Z])", "$1 $2"), ("#", " number "), ("['’]", ""), ("[^a-z]+", " ")]
+
+
 def normalize_label(s: Column) -> Column:
-    split = F.lower(F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2"))
-    split = F.regexp_replace(F.regexp_replace(split, "#", " number "), "['’]", "")
-    return F.trim(F.regexp_replace(split, "[^a-z]+", " "))
+    for i, (pattern, by) in enumerate(_LABEL_STEPS):
+        s = F.regexp_replace(F.lower(s) if i == 1 else s, pattern, by)
+    return F.trim(s)
+
+
+def label_sql(s: str) -> str:
+    """normalize_label as SQL."""
+    for i, (pattern, by) in enumerate(_LABEL_STEPS):
+        s = f"regexp_replace({f'lower({s})' if i == 1 else s}, {quoted(pattern)}, {quoted(by)})"
+    return f"trim({s})"
 
 
 def normalize_label_words(s: Column) -> Column:
@@ -59,10 +71,16 @@ def label_kinds(s: Column) -> Column:
     return F.array_compact(let(normalize_label(F.coalesce(s, F.lit(""))), found))
 
 
-def names_kind(s: Column, wanted: list[str]) -> Column:
-    """Is any of these kinds named? The same as has_kind(label_kinds(s), wanted) in one pattern."""
-    words = "|".join(KIND_WORDS[k] for k in wanted)
-    return normalize_label(F.coalesce(s, F.lit(""))).rlike(rf"(?<![a-z])(?:{words})(?![a-z])")
+def kind_pattern(wanted: list[str]) -> str:
+    """Found in a normalised label that names any of these kinds: has_kind(label_kinds(s), wanted) in one pattern."""
+    return rf"(?<![a-z])(?:{'|'.join(KIND_WORDS[k] for k in wanted)})(?![a-z])"
+
+
+def phrase_pattern(phrases: list[str]) -> str | None:
+    """Found in a normalised label that has any of these phrases as whole words; None if no phrase has a letter."""
+    split = [re.sub("([a-z])([A-Z])", r"\1 \2", p).lower().replace("#", " number ") for p in phrases]
+    words = [re.sub("[^a-z]+", " ", re.sub("['’]", "", p)).strip() for p in split]
+    return rf"(?:^| )(?:{'|'.join(w for w in words if w)})(?: |\z)" if any(words) else None
 
 
 def has_kind(kinds: Column, wanted: list[str]) -> Column:
@@ -74,9 +92,8 @@ def input_kinds(attrs: Column) -> Column:
     tokens = F.split(F.lower(F.coalesce(F.try_element_at(attrs, F.lit("autocomplete")), F.lit(""))), f"[{WS}]+")
     table = F.create_map(*[F.lit(x) for pair in AUTOCOMPLETE.items() for x in pair])
     named = F.array_compact(F.transform(tokens, lambda t: F.try_element_at(table, t)))
-    for attribute in NAMING_ATTRIBUTES:
-        named = F.array_union(named, label_kinds(F.try_element_at(attrs, F.lit(attribute))))
-    return F.array_distinct(named)
+    said = F.flatten(F.transform(F.array(*map(F.lit, NAMING_ATTRIBUTES)), lambda a: label_kinds(F.try_element_at(attrs, a))))
+    return F.array_distinct(F.concat(named, said))
 
 
 def keyword_test(s: Column, phrases: Column) -> Column:
@@ -97,12 +114,14 @@ def leaks(value: Column, words: Column, runs: Column) -> Column:
     return F.exists(words, lambda w: F.contains(value, w)) | F.exists(runs, lambda d: F.contains(digits(value), d))
 
 
-def is_tracking(match: Column, before: Column) -> Column:
-    """A parcel number by its shape, or by the word before it."""
-    compact = F.regexp_replace(match, f"[{WS}-]", "")
-    shaped = compact.rlike(r"(?i)^1Z[0-9A-Z]{16}\z") | compact.rlike(r"^(?:82|9[2-5])[0-9]{18,20}\z") | compact.rlike(r"^[A-Z]{2}[0-9]{9}[A-Z]{2}\z")
-    said = F.when(F.length(before) > 40, F.substring(before, -40, 40)).otherwise(before)
-    return shaped | said.rlike(f"(?i){B}(?:tracking|shipment|waybill){B}")
+def is_tracking(match: str, before: str) -> str:
+    """SQL: a parcel number by its shape, or by the word in the 40 characters before it."""
+    shapes = [r"(?i)^1Z[0-9A-Z]{16}\z", r"^(?:82|9[2-5])[0-9]{18,20}\z", r"^[A-Z]{2}[0-9]{9}[A-Z]{2}\z"]
+    compact = f"regexp_replace({match}, {quoted(f'[{WS}-]')}, '')"
+    shaped = sql_let(compact, "compact", " or ".join(f"rlike(compact, {quoted(p)})" for p in shapes))
+    said = f"if(length({before}) > 40, substring({before}, -40, 40), {before})"
+    word = quoted(f"(?i){B}(?:tracking|shipment|waybill){B}")
+    return f"({shaped} or rlike({said}, {word}))"
 
 
 def jaccard(a: Column, b: Column) -> Column:

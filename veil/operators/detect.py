@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.dialect import let, quoted
 from ..functions.identity import identity
 from .detectors import BUILTIN, EXEMPT, NEGATIVES, YEAR, Detector
-from .matching import around, continues, match_all, overlaps
+from .matching import around, continues, matches_sql
 
 POINTS = {"high": 3, "medium": 2, "low": 1}
 #: Where it is asked for, a user's pattern sees so much of a block and gives so many matches.
@@ -45,94 +46,110 @@ def strength_points(strength: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair])[strength]
 
 
-def negatives(text: Column) -> Column:
-    """All vetoing spans of a text, with their names."""
+def negatives(text: str = "text") -> Column:
+    """All vetoing spans of a text (SQL of it), with their names."""
+    named = [f"transform({matches_sql(text, p)}, m -> named_struct('name', '{name}', 'start', m.start, 'end', m.end))" for name, p in NEGATIVES.items()]
+    return F.expr(f"concat({', '.join(named)})")
 
-    def named(name: str, pattern: str) -> Column:
-        return F.transform(match_all(text, pattern), lambda m: F.struct(F.lit(name).alias("name"), m["start"].alias("start"), m["end"].alias("end")))
 
-    return F.concat(*[named(name, pattern) for name, pattern in NEGATIVES.items()])
+def candidates(detectors: list[Detector], as_of_year: int = YEAR, text: str = "text", limited: bool = False) -> Column:
+    """Valid matches of all detectors in a text (SQL of it), in the order of detectors: (ord, start, end, text).
 
+    limited: keep catalogue and users' detectors to TEXT_MOST characters and MATCHES_MOST matches, as a browser does.
+    """
 
-def flat_bonus(text: Column, match: Column, detector: Detector) -> Column:
-    """Label evidence in flat text, where the block is the element: 3 in a short block, 1 nearby, else 0."""
-    start, end = match["start"], match["end"]
-    rest = F.concat(F.substring(text, F.lit(1), start), F.lit(" "), F.substring(text, end + 1, F.length(text)))
-    own = (F.length(text) <= 3 * (end - start) + 40) & detector.named_by(rest)
-    return F.when(own, 3).when(detector.named_by(around(text, start, end)), 1).otherwise(0)
+    def of(d: Detector, place: int) -> str:
+        bounded = f"substring({text}, 1, {TEXT_MOST})" if limited and d.asked else text
+        found = matches_sql(bounded, d.pattern, f"contains({bounded}, {quoted(d.need)})" if d.need else None)
+        found = f"slice({found}, 1, {MATCHES_MOST})" if limited and d.asked else found
+        if d.validate is not None:
+            found = f"filter({found}, m -> {d.valid('m.text', as_of_year)})"
+        return f"transform({found}, m -> named_struct('ord', {place}, 'start', m.start, 'end', m.end, 'text', m.text))"
 
+    return F.expr(f"concat({', '.join(of(d, i) for i, d in enumerate(detectors))})")
 
-def raw_matches(text: Column, negs: Column, detector: Detector, as_of_year: int = YEAR, limited: bool = False) -> Column:
-    """Validated matches of one detector. Users' and the catalogue's are not vetoed by look-alikes.
 
-    limited: keep those to TEXT_MOST characters and MATCHES_MOST matches of a block, as a browser does.
-    """
-    if limited and (detector.catalog or detector.user):
-        bounded = F.substring(text, 1, TEXT_MOST)
-        found = F.slice(match_all(bounded, detector.pattern), F.lit(1), F.lit(MATCHES_MOST))
-    else:
-        bounded, found = text, match_all(text, detector.pattern)
+def by_detector(detectors: list[Detector], place: str, of: Callable[[Detector], str], otherwise: str) -> str:
+    """SQL of what ``of`` says of the detector at a place."""
+    return f"case {place} {' '.join(f'when {i} then {of(d)}' for i, d in enumerate(detectors))} else {otherwise} end"
 
-    def good(m: Column) -> Column:
-        ok = detector.valid(m["text"], as_of_year) & ~continues(bounded, m["start"], m["end"])
-        if detector.catalog:
-            ok = ok & ~T.is_tracking(m["text"], F.substring(bounded, F.lit(1), m["start"]))
-        elif not detector.user:
-            exempt = [n for n, ids in EXEMPT.items() if detector.id in ids]
-            veto = F.exists(negs, lambda n: overlaps(n, m) & (~n["name"].isin(exempt) if exempt else F.lit(True)))
-            ok = ok & ~veto
-        return ok
 
-    return F.filter(found, good)
+def least_bonus(d: Detector, sensitivity: str) -> int:
+    """The label evidence that a detector's matches need: the least bonus that accepts() takes."""
+    by_strength = {"labeled-only": {}, "aggressive": {"low": 1, "medium": 0, "high": 0}, "balanced": {"low": 2, "medium": 1, "high": 0}}[sensitivity].get(d.strength, 2)
+    return max(by_strength, (1 if sensitivity == "aggressive" else 2) if d.gated else 0)
 
 
-def find_matches(texts: DataFrame, detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR) -> DataFrame:
-    """texts (…, text) with ``matches``: every validated match as (pattern, strength, start, end)."""
-    detectors = list(detectors)
-    with_negs = texts.withColumn("negs", F.when(F.col("text").rlike("[0-9]"), negatives(F.col("text"))))
+def facts(detectors: list[Detector]) -> str:
+    """SQL of what is fixed of each detector, in their order."""
+    one = lambda d: f"named_struct('pattern', {quoted(d.shown_id)}, 'name', {quoted(d.name)}, 'strength', '{d.strength}', 'points', {POINTS[d.strength]})"
+    return f"array({', '.join(map(one, detectors))})"
+
 
-    def of(d: Detector) -> Column:
-        raw = raw_matches(F.col("text"), F.col("negs"), d, as_of_year)
-        return F.transform(raw, lambda m: F.struct(F.lit(d.id).alias("pattern"), F.lit(d.strength).alias("strength"), m["start"].alias("start"), m["end"].alias("end")))
+def standing(detectors: list[Detector], text: str = "text") -> Column:
+    """The column ``found`` without what goes on or is vetoed (``negs``). Catalogue's and users' are not vetoed by look-alikes."""
+    asked = [i for i, d in enumerate(detectors) if d.asked]
+    catalog = [i for i, d in enumerate(detectors) if d.catalog]
+    tests = [f"not {continues(text, 'm.start', 'm.end')}"]
+    if catalog:
+        tests.append(f"(m.ord not in ({', '.join(map(str, catalog))}) or not {T.is_tracking('m.text', f'substring({text}, 1, m.start)')})")
+    if len(asked) < len(detectors):
+        veto = "n.start < m.end and n.end > m.start"
+        for name, ids in EXEMPT.items():
+            if places := [i for i, d in enumerate(detectors) if d.id in ids]:
+                veto += f" and not (n.name = '{name}' and m.ord in ({', '.join(map(str, places))}))"
+        free = f"m.ord in ({', '.join(map(str, asked))}) or " if asked else ""
+        tests.append(f"({free}not exists(negs, n -> {veto}))")
+    return F.expr(f"filter(found, m -> {' and '.join(tests)})")
 
-    found = [of(d) for d in detectors]
-    matches = F.when(F.col("text").rlike("[0-9]") if not any(d.user or d.catalog for d in detectors) else F.lit(True), F.concat(*found))
-    empty = F.array().cast("array<struct<pattern: string, strength: string, start: int, end: int>>")
-    return with_negs.withColumn("matches", F.coalesce(matches, empty)).drop("negs")
 
+def with_matches(texts: DataFrame, detectors: list[Detector], enough: Column, as_of_year: int = YEAR, text: str = "text", limited: bool = False) -> DataFrame:
+    """texts with ``found``: validated candidates where ``enough`` holds, else an empty list. Look-alikes are searched only beside candidates."""
+    none = F.expr("cast(array() as array<struct<ord: int, start: int, end: int, text: string>>)")
+    ready = texts.withColumn("found", F.when(enough, candidates(detectors, as_of_year, text, limited)).otherwise(none))
+    vetoes = not all(d.asked for d in detectors)
+    ready = ready.withColumn("negs", F.when((F.size("found") > 0) & vetoes, negatives(text)))
+    return ready.withColumn("found", F.when(F.size("found") > 0, standing(detectors, text)).otherwise(none)).drop("negs")
 
-def hits_of(text: Column, negs: Column, detectors: list[Detector], sensitivity: str, as_of_year: int) -> Column:
-    """Accepted hits of all detectors: users' first, then detector order, then position."""
-    ordered = sorted(detectors, key=lambda d: not (d.user or d.catalog))
 
-    def of(d: Detector, place: int) -> Column:
-        def made_of(m: Column, bonus: Column) -> Column:
-            return F.struct(
-                F.lit(f"catalog:{d.id}" if d.catalog else d.id).alias("pattern"), F.lit(d.name).alias("name"), F.lit(d.strength).alias("strength"),
-                bonus.cast("int").alias("bonus"), (bonus + POINTS[d.strength]).cast("int").alias("score"), F.lit(place).alias("ord"), m["start"].alias("start"), m["end"].alias("end"),
-            )
+def find_matches(texts: DataFrame, detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR, limited: bool = False) -> DataFrame:
+    """texts (…, text) with ``matches``: every validated match as (pattern, strength, start, end)."""
+    detectors = list(detectors)
+    enough = F.lit(True) if any(d.asked for d in detectors) else F.col("text").rlike("[0-9]")
+    known = ", ".join(f"named_struct('pattern', {quoted(d.id)}, 'strength', '{d.strength}')" for d in detectors)
+    made = f"transform(found, m -> named_struct('pattern', array({known})[m.ord].pattern, 'strength', array({known})[m.ord].strength, 'start', m.start, 'end', m.end))"
+    found = with_matches(texts, detectors, F.coalesce(enough, F.lit(False)), as_of_year, limited=limited)
+    return found.withColumn("matches", F.expr(made)).drop("found")
+
 
-        def hit(m: Column) -> Column:
-            return T.let(flat_bonus(text, m, d), lambda bonus: made_of(m, bonus))
+def named(d: Detector, label: str) -> str:
+    """SQL: does a normalised label name what the detector looks for?"""
+    return f"coalesce(rlike({label}, {quoted(d.naming)}), false)" if d.naming else "false"
 
-        made = F.transform(raw_matches(text, negs, d, as_of_year), hit)
-        accepted = F.filter(made, lambda h: accepts(F.lit(d.strength), h["bonus"], sensitivity, F.lit(d.gated)))
-        # the label tests of a detector run only where its pattern is
-        return F.when(text.rlike(d.pattern), accepted).otherwise(F.array().cast(HITS))
 
-    return F.concat(*[of(d, i) for i, d in enumerate(ordered)])
+def hits_of(detectors: list[Detector], sensitivity: str) -> Column:
+    """The accepted hits of the column ``found`` in flat text, where the block is the element.
+
+    Label evidence is 3 in a short block, 1 nearby, else 0.
+    """
+    rest = "concat(substring(text, 1, m.start), ' ', substring(text, m.end + 1, length(text)))"
+    said = f"named_struct('own', if(length(text) <= 3 * (m.end - m.start) + 40, {T.label_sql(rest)}, null), 'near', {T.label_sql(around('text', 'm.start', 'm.end'))})"
+    bonus = by_detector(detectors, "m.ord", lambda d: f"case when {named(d, 's.own')} then 3 when {named(d, 's.near')} then 1 else 0 end" if d.naming else "0", "0")
+    graded = f"transform(found, m -> named_struct('m', m, 'bonus', {let(said, 's', bonus)}, 'fact', {facts(detectors)}[m.ord]))"
+    least = f"array({', '.join(str(least_bonus(d, sensitivity)) for d in detectors)})"
+    hit = "named_struct('pattern', g.fact.pattern, 'name', g.fact.name, 'strength', g.fact.strength, 'bonus', g.bonus, 'score', g.bonus + g.fact.points, 'ord', g.m.ord, 'start', g.m.start, 'end', g.m.end)"
+    return F.expr(f"transform(filter({graded}, g -> g.bonus >= {least}[g.m.ord]), g -> {hit})")
 
 
 def detect(
     texts: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, keep: str = "best", as_of_year: int = YEAR
 ) -> DataFrame:
     """texts (doc_key, block_id, text, …) with ``hits`` as HITS; keep='best' leaves one hit of each block, 'all' every one."""
-    detectors = list(detectors)
-    others = [d for d in detectors if d.user or d.catalog]
+    detectors = sorted(detectors, key=lambda d: not d.asked)
     text = F.col("text")
-    ready = texts.withColumn("negs", F.when(text.rlike("[0-9]"), negatives(text)).otherwise(F.array().cast("array<struct<name: string, start: int, end: int>>")))
-    hits = F.when(worth_scanning(text, others), hits_of(text, F.col("negs"), detectors, sensitivity, as_of_year))
-    found = ready.withColumn("hits", F.coalesce(hits, F.array().cast(HITS))).drop("negs")
+    enough = F.coalesce(worth_scanning(text, [d for d in detectors if d.asked]), F.lit(False))
+    found = with_matches(texts, detectors, enough, as_of_year)
+    found = found.withColumn("hits", F.when(F.size("found") > 0, hits_of(detectors, sensitivity)).otherwise(F.array().cast(HITS))).drop("found")
     if keep == "best":
         ranked = F.transform("hits", lambda h: F.struct((-h["score"]).alias("r"), h["ord"].alias("o"), h["start"].alias("s"), h.alias("h")))
         found = found.withColumn("hits", F.transform(F.slice(F.array_sort(ranked), F.lit(1), F.lit(1)), lambda x: x["h"]))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..functions import text as T
 from ..functions import validators as V
 from ..functions.dialect import B, portable, whole, with_flags
@@ -17,7 +14,7 @@ YEAR = 2025
 
 @dataclass(frozen=True)
 class Detector:
-    """A pattern with the strength of its evidence; ``validate`` is a column function and may ask for as_of_year."""
+    """A pattern with the strength of its evidence; ``validate`` makes SQL of SQL and may ask for as_of_year."""
 
     id: str
     name: str
@@ -26,33 +23,45 @@ class Detector:
     kinds: tuple[str, ...] = ()
     labels: tuple[str, ...] = ()
     gated: bool = False
-    validate: Callable[[Column], Column] | None = None
+    validate: Callable[..., str] | None = None
     dated: bool = False
     catalog: bool = False
     user: bool = False
     synonyms: tuple[str, ...] = field(default=(), compare=False)
+    #: A text without which there is no match.
+    need: str | None = None
 
-    def valid(self, match: Column, as_of_year: int) -> Column:
+    def valid(self, match: str, as_of_year: int) -> str:
+        """SQL: does a match (SQL of it) hold?"""
         if self.validate is None:
-            return F.lit(True)
-        return F.coalesce(self.validate(match, as_of_year) if self.dated else self.validate(match), F.lit(False))
+            return "true"
+        return f"coalesce({self.validate(match, as_of_year) if self.dated else self.validate(match)}, false)"
+
+    @property
+    def naming(self) -> str | None:
+        """What stands in a normalised label that names what the detector looks for."""
+        return T.kind_pattern(list(self.kinds)) if self.kinds else T.phrase_pattern(list(self.labels))
+
+    @property
+    def shown_id(self) -> str:
+        return f"catalog:{self.id}" if self.catalog else self.id
 
-    def named_by(self, text: Column) -> Column:
-        """Does the text name what the detector looks for?"""
-        if self.kinds:
-            return T.names_kind(text, list(self.kinds))
-        return T.keyword_test(text, F.array(*map(F.lit, self.labels))) if self.labels else F.lit(False)
+    @property
+    def asked(self) -> bool:
+        """Switched on by a user, so not vetoed by look-alikes."""
+        return self.catalog or self.user
 
 
+# The patterns, kinds and strengths of the built-in detectors and of what vetoes them.
 _DATE = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-_SPACED_ID = "[0-9]{{2}}([- –])[0-9]{{2}}\\{group}[0-9]{{4}}"
+_SPACED_ID = r"[0-9]{2}([- –])[0-9]{2}\1[0-9]{4}"
 _PHONE = whole(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _ZIP4 = whole("[0-9]{5}-[0-9]{4}")
 
 BUILTIN = (
-    Detector("ssn", "SSN", "high", whole("[0-9]" + _SPACED_ID.format(group=1)), ("ssn",), validate=V.valid_ssn),
-    Detector("itin", "ITIN", "high", whole("9" + _SPACED_ID.format(group=1)), ("ssn", "ein"), validate=V.valid_itin),
-    Detector("ssn-raw", "SSN", "low", whole("[0-9]{9}"), ("ssn",), gated=True, validate=lambda s: V.valid_ssn(s) | V.valid_itin(s)),
+    Detector("ssn", "SSN", "high", whole("[0-9]" + _SPACED_ID), ("ssn",), validate=V.valid_ssn),
+    Detector("itin", "ITIN", "high", whole("9" + _SPACED_ID), ("ssn", "ein"), validate=V.valid_itin),
+    Detector("ssn-raw", "SSN", "low", whole("[0-9]{9}"), ("ssn",), gated=True, validate=lambda s: f"({V.valid_ssn(s)} or {V.valid_itin(s)})"),
     Detector("ein", "EIN", "medium", whole("[0-9]{2}-[0-9]{7}"), ("ein",), validate=V.valid_ein),
     Detector("routing", "Routing", "medium", whole("[0-9]{9}"), ("routing",), validate=V.valid_aba),
     Detector("account", "Account", "low", whole("[A-Za-z0-9]{8,17}"), ("account", "id"), gated=True, validate=V.valid_account),
@@ -95,10 +104,11 @@ _LICENCES = {
 }
 
 
-def _entry(id: str, name: str, strength: str, pattern: str, labels: tuple, synonyms: tuple, validate=None, dated: bool = False) -> Detector:
-    return Detector(id, name, strength, pattern, labels=labels, gated=strength == "low", validate=validate, dated=dated, catalog=True, synonyms=synonyms)
+def _entry(id: str, name: str, strength: str, pattern: str, labels: tuple, synonyms: tuple, validate=None, dated: bool = False, need: str | None = None) -> Detector:
+    return Detector(id, name, strength, pattern, labels=labels, gated=strength == "low", validate=validate, dated=dated, catalog=True, synonyms=synonyms, need=need)
 
 
+# The patterns and strengths of the catalogue.
 CATALOG = (
     _entry("phone-us", "Phone number (US)", "medium", _PHONE, ("phone", "tel", "telephone", "mobile", "cell", "fax", "contact"), ("phone", "phone number", "telephone", "mobile", "cell", "fax"), V.valid_phone_us),
     _entry(
@@ -107,7 +117,7 @@ CATALOG = (
     ),
     _entry(
         "email", "Email address", "high", r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9_-])",
-        ("email", "e mail"), ("email", "e mail", "email address", "mail"),
+        ("email", "e mail"), ("email", "e mail", "email address", "mail"), need="@",
     ),
     _entry(
         "dob-any", "Date of birth (other formats)", "low",

@@ -9,45 +9,53 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.dialect import quoted, sql_of
+
 SPAN = "array<struct<start: int, end: int>>"
 MATCH = "array<struct<start: int, end: int, text: string>>"
 
 
-def match_all(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches of a pattern that never matches the empty string, in order.
+#: Matches that one inner pass numbers; longer lists are numbered piece by piece, so that no list grows one by one.
+PIECE = 256
+
 
-    A match begins after all gaps and matches before it; both lists come from built-ins.
+def matches_sql(text: str, pattern: str, need: str | None = None) -> str:
+    """SQL of all non-overlapping matches, in order, of a pattern that never matches the empty string.
+
+    text: SQL of a text; need: SQL of a cheap test without which no match is possible. Written as SQL because
+    the whole expression is then one call from Python, and the text's gaps and hits are found once.
+    A match begins after all gaps and matches before it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    p = quoted(pattern)
+    step = "(a, x) -> named_struct('at', a.at + x.gap + length(x.hit), 'out', array_append(a.out, named_struct('start', a.at + x.gap, 'end', a.at + x.gap + length(x.hit), 'text', x.hit)))"
+    piece = f"aggregate(slice(z, c + 1, {PIECE}), named_struct('at', acc.at, 'out', cast(array() as {MATCH})), {step})"
+    return f"""if({need or "true"} and rlike({text}, {p}),
+      transform(array(named_struct('hits', regexp_extract_all({text}, {p}, 0), 'gaps', split({text}, {p}, -1))), s ->
+        transform(array(transform(s.hits, (h, i) -> named_struct('gap', length(s.gaps[i]), 'hit', h))), z ->
+          flatten(aggregate(sequence(0, size(z) - 1, {PIECE}), named_struct('at', 0, 'out', cast(array() as array<{MATCH}>)),
+            (acc, c) -> transform(array({piece}), r -> named_struct('at', r.at, 'out', array_append(acc.out, r.out)))[0]).out))[0])[0],
+      cast(array() as {MATCH}))"""
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = (begin + F.length(x["hit"])).cast("int")
-        hit = F.struct(begin.cast("int").alias("start"), end.alias("end"), x["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    listed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), listed).otherwise(F.array().cast(MATCH))
+def match_all(text: Column, pattern: str) -> Column:
+    """matches_sql as a column, of a column that SQL can name."""
+    return F.expr(matches_sql(sql_of(text), pattern))
 
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def continues(text: Column, start: Column, end: Column) -> Column:
-    """The number goes on past the match: a dash or dot and a digit beside it."""
-    after = F.substring(text, end + 1, F.lit(2))
-    before = F.when(start >= 2, F.substring(text, start - 1, F.lit(2))).otherwise(F.lit(""))
-    return after.rlike("^[-.][0-9]") | before.rlike(r"[0-9][-.]\z")
+def continues(text: str, start: str, end: str) -> str:
+    """SQL: the number goes on past the match, with a dash or dot and a digit beside it."""
+    before = f"if({start} >= 2, substring({text}, {start} - 1, 2), '')"
+    return f"(rlike(substring({text}, {end} + 1, 2), '^[-.][0-9]') or rlike({before}, '^[0-9][-.]'))"
 
 
-def around(text: Column, start: Column, end: Column, reach: int = 60) -> Column:
-    """The text beside a match, without it."""
-    before = F.substring(text, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, F.lit(reach)))
-    return F.concat(before, F.lit(" \n "), F.substring(text, end + 1, F.lit(reach)))
+def around(text: str, start: str, end: str, reach: int = 60) -> str:
+    """SQL of the text beside a match, without it."""
+    before = f"substring({text}, greatest({start} - {reach}, 0) + 1, least({start}, {reach}))"
+    return f"concat({before}, ' / ', substring({text}, {end} + 1, {reach}))"
 
 
 def merge_ranges(ranges: Column, length: Column) -> Column:

@@ -7,13 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NAMING_ATTRIBUTES, input_kinds, label_kinds, let
+from ..functions.dialect import quoted
+from ..functions.text import NAMING_ATTRIBUTES, input_kinds, label_kinds, label_sql, normalize_label
 from ..functions.validators import digits
-from .detect import POINTS, accepts, negatives, raw_matches, worth_scanning
+from ..sources import html
+from .detect import by_detector, facts, least_bonus, named, with_matches, worth_scanning
 from .detectors import BUILTIN, HIGH_IDS, YEAR, Detector
 from .matching import around
 
-FIELD_TYPES_OUT = ["hidden", "password", "checkbox", "radio", "submit", "button", "reset", "file", "image", "range", "color"]
 KEY_ATTRIBUTES = ["data-key", "data-id", "data-row-id", "data-rowid", "data-uid", "data-record-id", "data-item-id", "key"]
 
 
@@ -33,7 +34,7 @@ def target_for(segs: Column, start: Column, end: Column, block_node: Column) ->
         first = F.array_position(same, False)
         return F.slice(a, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(a)).cast("int"))
 
-    shared = F.aggregate(F.slice(paths, 2, 1 << 20), F.element_at(paths, 1), common)
+    shared = F.aggregate(F.slice(paths, 2, 1 << 20), F.try_element_at(paths, F.lit(1)), common)
     return F.coalesce(F.try_element_at(shared, F.lit(-1)), block_node)
 
 
@@ -43,93 +44,93 @@ def in_href(href: Column, match: Column) -> Column:
     return F.coalesce(href.contains(compact) | ((digits(compact) != "") & digits(href).contains(digits(compact))), F.lit(False))
 
 
-def page_hits(blocks: DataFrame, elements: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR) -> DataFrame:
-    """(page_id, node_id, pattern, name, strength, bonus, score, wide, is_input, block_id, start, end): the best hit of each element.
+def _graded(rows: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """Matches with ``bonus``, the label evidence of their element; every text is put into label form once.
 
-    A detector without hits costs a pattern test on blocks with four digits; only hits are joined with elements.
+    Text: 3 in a short element or by its attributes, 2 by its label or its block's, 1 nearby. Fields: 3 by
+    attributes or label, 1 within the value.
     """
-    detectors = list(detectors)
-    others = [d for d in detectors if d.user or d.catalog]
-    ready = blocks.where(worth_scanning(F.col("text"), others)).withColumn("negs", negatives(F.col("text")))
-    text = F.col("text")
-
-    def of(d: Detector, place: int) -> Column:
-        return F.transform(raw_matches(text, F.col("negs"), d, as_of_year), lambda m: F.struct(F.lit(place).alias("ord"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("match")))
-
-    raw = ready.withColumn("m", F.explode_outer(F.concat(*[of(d, i) for i, d in enumerate(detectors)]))).where("m is not null").select("page_id", "block_id", F.col("node_id").alias("block_node"), "text", "segs", "m.*")
-    placed = raw.withColumn("node_id", target_for(F.col("segs"), F.col("start"), F.col("end"), F.col("block_node"))).drop("segs")
-    shown = elements.select("page_id", "node_id", "attrs", "label", "path", "text_content")
-    named = placed.join(shown, ["page_id", "node_id"], "left")
-    outer = elements.select("page_id", F.col("node_id").alias("block_node"), F.col("label").alias("block_label"))
-    named = named.join(outer, ["page_id", "block_node"], "left")
-    links = elements.where("tag = 'A'").select("page_id", F.col("node_id").alias("link"), F.try_element_at("attrs", F.lit("href")).alias("href")).where("href is not null")
-    by_page = links.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("link", "href"))).alias("links"))
-    named = named.join(by_page, "page_id", "left")
-    named = named.withColumn("href", F.when(F.size("links") > 0, F.try_element_at(F.array_compact(F.transform(F.reverse("path"), lambda n: F.try_element_at(F.col("links"), n))), F.lit(1))))
-    named = named.where(~in_href(F.col("href"), F.col("match")))
-    length = F.col("end") - F.col("start")
-    own = F.when(F.col("node_id") == F.col("block_node"), text).otherwise(F.coalesce("text_content", text))
-    # what the attributes say is worked out once for each hit, not once for each detector
-    named = named.withColumn("kinds", input_kinds(F.col("attrs")))
-    kinds, place = F.col("kinds"), F.col("ord")
-    attributes = F.array(*[F.coalesce(F.try_element_at("attrs", F.lit(a)), F.lit("")) for a in NAMING_ATTRIBUTES])
-
-    def evidence(d: Detector) -> Column:
-        short = (F.length(own) <= 3 * length + 40) & d.named_by(F.replace(own, F.col("match"), F.lit(" ")))
-        by_attr = F.arrays_overlap(kinds, F.array(*map(F.lit, d.kinds))) if d.kinds else F.exists(attributes, d.named_by)
-        adjacent = d.named_by(F.col("label")) | ((F.col("node_id") != F.col("block_node")) & d.named_by(F.col("block_label")))
-        return F.when(F.coalesce(short | by_attr, F.lit(False)), 3).when(F.coalesce(adjacent, F.lit(False)), 2).when(d.named_by(around(text, F.col("start"), F.col("end"))), 1).otherwise(0)
-
-    bonus, facts = F.when(F.lit(False), 0), []
-    for i, d in enumerate(detectors):
-        bonus = bonus.when(place == i, evidence(d))
-        facts.append(F.struct(F.lit(f"catalog:{d.id}" if d.catalog else d.id).alias("pattern"), F.lit(d.name).alias("name"), F.lit(d.strength).alias("strength"), F.lit(d.gated).alias("gated"), F.lit(d.user or d.catalog).alias("user"), F.lit(POINTS[d.strength]).alias("points")))
-    every = named.withColumn("bonus", bonus).withColumn("d", F.array(*facts)[place]).select("*", "d.*")
-    every = every.where(accepts(F.col("strength"), F.col("bonus"), sensitivity, F.col("gated"))).withColumn("score", F.col("bonus") + F.col("points"))
-    wide = (F.col("node_id") == F.col("block_node")) & (F.length(F.trim(text)) >= 3 * length)
-    best = F.row_number().over(Window.partitionBy("page_id", "node_id").orderBy(F.desc("score"), F.desc("user"), "ord", "block_id", "start"))
-    return every.withColumn("n", best).where("n = 1").select(
-        "page_id", "node_id", "pattern", "name", "strength", "bonus", "score", wide.alias("wide"), F.lit(False).alias("is_input"), "block_id", "start", "end", "label"
+    size = F.col("end") - F.col("start")
+    whole = F.col("node_id") == F.col("block_node")
+    own = F.when(whole, F.col("text")).otherwise(F.coalesce("el.content", "text"))
+    kinds = input_kinds(F.col("el.attrs"))
+    said = rows.select(
+        "*",
+        F.when(F.length(own) <= 3 * size + 40, normalize_label(F.replace(own, F.col("match"), F.lit(" ")))).alias("own"),
+        F.when(F.col("is_input"), F.array_union(kinds, label_kinds(F.col("el.label")))).otherwise(kinds).alias("kinds"),
+        F.transform(F.array(*map(F.lit, NAMING_ATTRIBUTES)), lambda a: normalize_label(F.try_element_at(F.col("el.attrs"), a))).alias("attributes"),
+        normalize_label(F.col("el.label")).alias("own_label"),
+        F.when(~whole, normalize_label(F.col("block_el.label"))).alias("block_label"),
+        F.expr(label_sql(around("text", "start", "end"))).alias("beside"),
     )
 
+    def evidence(d: Detector) -> str:
+        if not d.naming:
+            return "0"
+        by_kind = f"arrays_overlap(kinds, array({', '.join(map(quoted, d.kinds))}))" if d.kinds else None
+        by_attr = by_kind or f"exists(attributes, a -> {named(d, 'a')})"
+        in_field = by_kind or named(d, "own_label")
+        in_text = f"when {named(d, 'own')} or {by_attr} then 3 when {named(d, 'own_label')} or {named(d, 'block_label')} then 2"
+        return f"if(is_input, if({in_field}, 3, if({named(d, 'beside')}, 1, 0)), case {in_text} when {named(d, 'beside')} then 1 else 0 end)"
 
-def form_fields(elements: DataFrame) -> DataFrame:
-    """Fields a user types in, with their values."""
-    kind = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("type")), F.lit("text")))
-    typed = (F.col("tag") == "INPUT") & ~kind.isin(FIELD_TYPES_OUT)
-    value = F.when(F.col("tag") == "TEXTAREA", F.col("text_content")).otherwise(F.coalesce(F.try_element_at("attrs", F.lit("value")), F.lit("")))
-    return elements.where(typed | (F.col("tag") == "TEXTAREA")).select("page_id", "node_id", "attrs", "label", value.alias("value"))
+    return said.withColumn("bonus", F.expr(by_detector(detectors, "ord", evidence, "0"))).drop("own", "attributes", "own_label", "block_label", "beside")
 
 
-def input_hits(fields: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR) -> DataFrame:
-    """The best hit of each field; a field that nothing names is only checked by high detectors."""
-    value = F.col("value")
-    kinds = F.array_union(input_kinds(F.col("attrs")), label_kinds(F.col("label")))
-    ready = fields.where(worth_scanning(value)).withColumn("kinds", kinds).withColumn("negs", negatives(value))
-    parts = []
-    for place, d in enumerate(detectors):
-        parts.append(_field_hits(value, d, place, sensitivity, as_of_year))
-    best = F.array_min(F.transform(F.concat(*parts), lambda h: F.struct((-h["score"]).alias("r"), h["ord"].alias("o"), h["start"].alias("s"), h.alias("h"))))["h"]
-    return ready.withColumn("h", best).where("h is not null").select("page_id", "node_id", "h.pattern", "h.name", "h.strength", "h.bonus", "h.score", F.lit(False).alias("wide"), F.lit(True).alias("is_input"), F.lit(-1).alias("block_id"), "h.start", "h.end", "label")
+def hits_in(rows: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR) -> DataFrame:
+    """The best hit of each element, from scanned rows: the higher score, text before fields, users' detectors first.
 
+    Everything up to the last step is one projection of a block; only hits are shuffled.
+    """
+    detectors = list(detectors)
+    others = [d for d in detectors if d.asked]
+    enough = F.when(F.col("is_input"), worth_scanning(F.col("text"))).otherwise(worth_scanning(F.col("text"), others))
+    found = with_matches(rows, detectors, F.coalesce(enough, F.lit(False)), as_of_year)
+    # an outer explode: a plain one makes the optimizer test the matches below it, which finds them twice
+    one = found.withColumn("m", F.explode_outer("found")).where("m is not null").select("page_id", "block_id", F.col("node_id").alias("block_node"), "is_input", "text", "segs", "near", "m.ord", "m.start", "m.end", F.col("m.text").alias("match"))
+    placed = one.withColumn("node_id", F.when(F.col("is_input"), F.col("block_node")).otherwise(target_for(F.col("segs"), F.col("start"), F.col("end"), F.col("block_node"))))
+    element = lambda node: F.try_element_at(F.filter("near", lambda x: x["node_id"] == F.col(node)), F.lit(1))
+    placed = placed.withColumn("el", element("node_id")).withColumn("block_el", F.get("near", F.lit(0))).drop("segs", "near")
+    placed = placed.where(F.col("is_input") | ~in_href(F.col("el.href"), F.col("match")))
+    graded = _graded(placed, detectors)
+    known, least = F.expr(facts(detectors)), F.array(*[F.lit(least_bonus(d, sensitivity)) for d in detectors])
+    # a field that nothing names is only checked by high detectors and those that a user asked for
+    free = [i for i, d in enumerate(detectors) if d.id in HIGH_IDS or d.asked]
+    graded = graded.where((F.col("bonus") >= F.get(least, F.col("ord"))) & (~F.col("is_input") | (F.size("kinds") > 0) | F.col("ord").isin(free)))
+    length = F.col("end") - F.col("start")
+    wide = ~F.col("is_input") & (F.col("node_id") == F.col("block_node")) & (F.length(F.trim("text")) >= 3 * length)
+    asked = F.col("ord").isin([i for i, d in enumerate(detectors) if d.asked])
+    slim = graded.withColumn("fact", F.get(known, F.col("ord"))).select(
+        "page_id", "node_id", "fact.pattern", "fact.name", "fact.strength", "bonus", (F.col("bonus") + F.col("fact.points")).alias("score"), wide.alias("wide"), "is_input", "block_id", "start", "end",
+        F.col("el.label").alias("label"), "ord", (~F.col("is_input") & asked).alias("first"),
+    )
+    best = F.row_number().over(Window.partitionBy("page_id", "node_id").orderBy(F.desc("score"), "is_input", F.desc("first"), "ord", "block_id", "start"))
+    return slim.withColumn("n", best).where("n = 1").drop("n", "ord", "first")
 
-def _field_hits(value: Column, d: Detector, place: int, sensitivity: str, as_of_year: int) -> Column:
-    named = F.arrays_overlap("kinds", F.array(*map(F.lit, d.kinds))) if d.kinds else d.named_by(F.col("label"))
 
-    def hit(m: Column) -> Column:
-        bonus = F.when(named, 3).when(d.named_by(around(value, m["start"], m["end"])), 1).otherwise(0)
-        return let(bonus, lambda b: F.struct(F.lit(d.id).alias("pattern"), F.lit(d.name).alias("name"), F.lit(d.strength).alias("strength"), b.alias("bonus"), (b + POINTS[d.strength]).alias("score"), F.lit(place).alias("ord"), m["start"].alias("start"), m["end"].alias("end")))
+def page_hits(pages: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR) -> DataFrame:
+    """Hits in the text of pages (page_id, html), one for each element."""
+    return scan(pages, sensitivity, detectors, as_of_year, fields=False)
 
-    allowed = F.lit(True) if d.id in HIGH_IDS or d.user or d.catalog else F.size("kinds") > 0
-    hits = F.filter(F.transform(raw_matches(value, F.col("negs"), d, as_of_year), hit), lambda h: accepts(F.lit(d.strength), h["bonus"], sensitivity, F.lit(d.gated)))
-    return F.filter(hits, lambda h: allowed)
+
+def scan(pages: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR, fields: bool = True) -> DataFrame:
+    """(page_id, node_id, pattern, name, strength, bonus, score, wide, is_input, block_id, start, end, label): the best
+    hit of each element of pages (page_id, html), in text and in form fields. The markup is parsed once."""
+    detectors = list(detectors)
+    rows = html.scanned(pages, digits=not any(d.asked for d in detectors))
+    return hits_in(rows if fields else rows.where("not is_input"), sensitivity, detectors, as_of_year)
+
+
+def form_fields(elements: DataFrame) -> DataFrame:
+    """Fields a user types in, with their values."""
+    kind = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("type")), F.lit("text")))
+    typed = (F.col("tag") == "INPUT") & ~kind.isin(html.FIELD_TYPES_OUT)
+    value = F.when(F.col("tag") == "TEXTAREA", F.col("text_content")).otherwise(F.coalesce(F.try_element_at("attrs", F.lit("value")), F.lit("")))
+    return elements.where(typed | (F.col("tag") == "TEXTAREA")).select("page_id", "node_id", "attrs", "label", value.alias("value"))
 
 
-def scan(blocks: DataFrame, elements: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR) -> DataFrame:
-    """Text and field hits, one for each element, the higher score, text before fields."""
-    both = page_hits(blocks, elements, sensitivity, detectors, as_of_year).unionByName(input_hits(form_fields(elements), sensitivity, detectors, as_of_year))
-    best = F.row_number().over(Window.partitionBy("page_id", "node_id").orderBy(F.desc("score"), "is_input"))
-    return both.withColumn("n", best).where("n = 1").drop("n")
+def input_hits(pages: DataFrame, sensitivity: str = "balanced", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR) -> DataFrame:
+    """The best hit of each form field of pages (page_id, html)."""
+    return hits_in(html.scanned(pages).where("is_input"), sensitivity, detectors, as_of_year)
 
 
 # -- structure --

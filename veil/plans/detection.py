@@ -78,7 +78,7 @@ def d02_card_matches(spark, sf_dir):
 )
 def d03_hex_negatives(spark, sf_dir):
     blocks = readers.read_documents(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
-    negs = F.filter(negatives(F.col("text")), lambda n: n["name"] == "hex")
+    negs = F.filter(negatives(), lambda n: n["name"] == "hex")
     return blocks.select("doc_key", "block_id", F.size(negs).cast("long").alias("n")).where("n > 0")
 
 
@@ -86,7 +86,7 @@ def d03_hex_negatives(spark, sf_dir):
 def d05_continues(spark, sf_dir):
     value = F.expr("concat(cast(1000 + o_orderkey % 9000 as string), element_at(array('-', '.', ' ', 'x'), cast(o_orderkey % 4 as int) + 1), cast(o_custkey as string))")
     made = table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"))
-    return made.select("o_orderkey", "value", continues(F.col("value"), F.lit(0), F.lit(4)).alias("result"))
+    return made.select("o_orderkey", "value", F.expr(continues("value", "0", "4")).alias("result"))
 
 
 _HIGH = [_BY_ID[i] for i in D.HIGH_IDS]

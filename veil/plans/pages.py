@@ -84,8 +84,7 @@ def b13_key_attr(spark, sf_dir):
 
 @query("d15_scan_pages")
 def d15_scan_pages(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return P.scan(html.block_text(pages), written(html.html_elements(pages)), detectors=_ALL).drop("label")
+    return P.scan(_pages(spark, sf_dir), detectors=_ALL).drop("label")
 
 
 @query("r08_scrub_attrs")

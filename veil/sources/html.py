@@ -22,11 +22,18 @@ CLOSES = {
     "TBODY": {"THEAD", "TBODY", "TR", "TD", "TH"}, "TFOOT": {"TBODY", "TR", "TD", "TH"},
 }
 LABEL_MOST = 40
+# Input types that hold no text a user could have typed.
+FIELD_TYPES_OUT = ["hidden", "password", "checkbox", "radio", "submit", "button", "reset", "file", "image", "range", "color"]
 
 ELEMENTS = (
     "page_id long, node_id int, parent_id int, path array<int>, tag string, attrs map<string,string>, nth int, nth_of_type int, of_type int,"
     " text_content string, is_inline boolean, block_node_id int, label string, label_source string, heading string"
 )
+#: A block or a form field as scanning needs it: what its elements say travels with it, so that nothing is joined.
+SCANNED = (
+    "page_id long, block_id int, node_id int, is_input boolean, text string, segs array<struct<node_id: int, start: int, end: int, path: array<int>>>,"
+    " near array<struct<node_id: int, attrs: map<string,string>, label: string, content: string, href: string>>"
+)
 BLOCKS = "page_id long, block_id int, node_id int, text string, segs array<struct<node_id: int, start: int, end: int, path: array<int>>>"
 
 
@@ -37,6 +44,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[int, str, dict, list]] = [(-1, "#ROOT", {}, [])]
         self.open = [0]
+        self.heads: dict[int, list[int]] = {}
         self.feed(markup)
         self.close()
 
@@ -95,6 +103,28 @@ class Tree(HTMLParser):
             i = self.nodes[i][0]
         return i
 
+    def head(self, grid: int) -> list[int]:
+        """The cells of a table's first row."""
+        if grid <= 0:
+            return []
+        if grid not in self.heads:
+            first = next((n for n in range(grid, len(self.nodes)) if self.nodes[n][1] == "TR" and self.near(n, "TABLE") == grid), 0)
+            self.heads[grid] = self.kids(first) if first else []
+        return self.heads[grid]
+
+    def href(self, i: int) -> str | None:
+        """Where the nearest link around a node leads."""
+        while i > 0:
+            if self.nodes[i][1] == "A" and "href" in self.nodes[i][2]:
+                return self.nodes[i][2]["href"]
+            i = self.nodes[i][0]
+        return None
+
+    def names(self) -> tuple[dict[str, int], dict[str, int]]:
+        """Nodes by id, and labels by the id they are for."""
+        by_id = {n[2]["id"]: i for i, n in enumerate(self.nodes) if n[2].get("id")}
+        return by_id, {n[2]["for"]: i for i, n in enumerate(self.nodes) if n[1] == "LABEL" and n[2].get("for")}
+
     def blocks(self) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
         """(container, text, [(node, start, end)]) of each block container that has text, in document order."""
         found: dict[int, list] = {}
@@ -143,9 +173,7 @@ class Tree(HTMLParser):
             for c in cells:
                 if self.nodes[c][1] == "TH" and said(c):
                     return said(c), "row"
-            grid = self.near(row, "TABLE")
-            rows = [n for n in range(grid, len(self.nodes)) if self.nodes[n][1] == "TR" and self.near(n, "TABLE") == grid] if grid > 0 else []
-            head = self.kids(rows[0]) if rows else []
+            head = self.head(self.near(row, "TABLE"))
             place = cells.index(at) if at in cells else -1
             if 0 <= place < len(head) and self.nodes[head[place]][1] == "TH" and said(head[place]):
                 return said(head[place]), "column"
@@ -193,8 +221,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for page, markup in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
             tree = Tree(markup)
-            by_id = {n[2]["id"]: i for i, n in enumerate(tree.nodes) if n[2].get("id")}
-            label_for = {n[2]["for"]: i for i, n in enumerate(tree.nodes) if n[1] == "LABEL" and n[2].get("for")}
+            by_id, label_for = tree.names()
             heading = None
             for i, (parent, tag, attrs, _) in enumerate(tree.nodes):
                 if i == 0 or any(tree.nodes[p][1] in ("HEAD", "SCRIPT", "STYLE") for p in tree.path(i)):
@@ -224,6 +251,56 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "block_id", "node_id", "text", "segs"])
 
 
+def _scanned(digits: bool):
+    """Blocks and form fields of each page; digits: only those with four digits, which the built-in detectors need."""
+    seg = pa.list_(pa.struct([("node_id", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("path", pa.list_(pa.int32()))]))
+    near_kind = pa.list_(pa.struct([("node_id", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string())), ("label", pa.string()), ("content", pa.string()), ("href", pa.string())]))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), seg, near_kind]
+    names = ["page_id", "block_id", "node_id", "is_input", "text", "segs", "near"]
+    enough = re.compile("(?:[0-9][^0-9]*){4}").search
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for page, markup in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                tree = Tree(markup)
+                by_id, label_for = tree.names()
+
+                def said(i: int, content: str | None, tree=tree, by_id=by_id, label_for=label_for) -> dict:
+                    return {"node_id": i, "attrs": list(tree.nodes[i][2].items()), "label": tree.label(i, by_id, label_for)[0], "content": content, "href": tree.href(i)}
+
+                for k, (block, text, segs) in enumerate(tree.blocks()):
+                    if digits and not enough(text):
+                        continue
+                    listed = [{"node_id": n, "start": a, "end": b, "path": tree.path(n)} for n, a, b in segs]
+                    inner = sorted({n for x in listed for n in x["path"] if n > block})
+                    rows.append((page, k, block, False, text, listed, [said(block, None), *(said(n, tree.text(n)) for n in inner)]))
+                for i, (_, tag, attrs, _) in enumerate(tree.nodes):
+                    if tag == "TEXTAREA" or (tag == "INPUT" and attrs.get("type", "text").lower() not in FIELD_TYPES_OUT):
+                        value = tree.text(i) if tag == "TEXTAREA" else attrs.get("value", "")
+                        if enough(value):
+                            rows.append((page, -1, i, True, value, [], [said(i, None)]))
+                if len(rows) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores, dealt to all of them; a large one stays as it is."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
+def scanned(pages: DataFrame, digits: bool = True) -> DataFrame:
+    """pages (page_id, html) to SCANNED, by one parse."""
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
+    return spread(given).mapInArrow(_scanned(digits), SCANNED)
+
+
 def html_elements(pages: DataFrame) -> DataFrame:
     """pages (page_id, html) to ELEMENTS, in document order."""
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_elements, ELEMENTS)
