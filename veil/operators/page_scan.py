@@ -90,19 +90,21 @@ def hits_in(rows: DataFrame, sensitivity: str = "balanced", detectors: Iterable[
     placed = one.withColumn("node_id", F.when(F.col("is_input"), F.col("block_node")).otherwise(target_for(F.col("segs"), F.col("start"), F.col("end"), F.col("block_node"))))
     element = lambda node: F.try_element_at(F.filter("near", lambda x: x["node_id"] == F.col(node)), F.lit(1))
     placed = placed.withColumn("el", element("node_id")).withColumn("block_el", F.get("near", F.lit(0))).drop("segs", "near")
-    placed = placed.where(F.col("is_input") | ~in_href(F.col("el.href"), F.col("match")))
     graded = _graded(placed, detectors)
     known, least = F.expr(facts(detectors)), F.array(*[F.lit(least_bonus(d, sensitivity)) for d in detectors])
     # a field that nothing names is only checked by high detectors and those that a user asked for
-    free = [i for i, d in enumerate(detectors) if d.id in HIGH_IDS or d.asked]
-    graded = graded.where((F.col("bonus") >= F.get(least, F.col("ord"))) & (~F.col("is_input") | (F.size("kinds") > 0) | F.col("ord").isin(free)))
-    length = F.col("end") - F.col("start")
-    wide = ~F.col("is_input") & (F.col("node_id") == F.col("block_node")) & (F.length(F.trim("text")) >= 3 * length)
+    free = F.col("ord").isin([i for i, d in enumerate(detectors) if d.id in HIGH_IDS or d.asked])
+    enough = F.col("bonus") >= F.get(least, F.col("ord"))
+    good = enough & F.when(F.col("is_input"), (F.size("kinds") > 0) | free).otherwise(~in_href(F.col("el.href"), F.col("match")))
+    wide = ~F.col("is_input") & (F.col("node_id") == F.col("block_node")) & (F.length(F.trim("text")) >= 3 * (F.col("end") - F.col("start")))
     asked = F.col("ord").isin([i for i, d in enumerate(detectors) if d.asked])
-    slim = graded.withColumn("fact", F.get(known, F.col("ord"))).select(
-        "page_id", "node_id", "fact.pattern", "fact.name", "fact.strength", "bonus", (F.col("bonus") + F.col("fact.points")).alias("score"), wide.alias("wide"), "is_input", "block_id", "start", "end",
-        F.col("el.label").alias("label"), "ord", (~F.col("is_input") & asked).alias("first"),
+    fact = F.get(known, F.col("ord"))
+    slim = F.struct(
+        "page_id", "node_id", fact["pattern"].alias("pattern"), fact["name"].alias("name"), fact["strength"].alias("strength"), "bonus", (F.col("bonus") + fact["points"]).alias("score"),
+        wide.alias("wide"), "is_input", "block_id", "start", "end", F.col("el.label").alias("label"), "ord", (~F.col("is_input") & asked).alias("first"),
     )
+    # exploded rather than filtered, as a filter is pushed down with a copy of everything it depends on
+    slim = graded.select(F.explode_outer(F.when(good, F.array(slim))).alias("hit")).where("hit is not null").select("hit.*")
     best = F.row_number().over(Window.partitionBy("page_id", "node_id").orderBy(F.desc("score"), "is_input", F.desc("first"), "ord", "block_id", "start"))
     return slim.withColumn("n", best).where("n = 1").drop("n", "ord", "first")
 

@@ -266,7 +266,7 @@ def r10_restore(spark, sf_dir):
 @query("d02_detector_counts", None)
 def d02_detector_counts(spark, sf_dir):
     """Matches by detector over identifiers made from all orders, in a sentence with a label."""
-    made = table(spark, sf_dir, "orders").select(
+    made = readers.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
         F.col("o_orderkey").cast("string").alias("doc_key"), F.lit(0).alias("block_id"),
         F.expr("concat(element_at(array('SSN ', 'EIN ', 'routing ', 'account ', 'born '), cast(o_orderkey % 5 as int) + 1), element_at(array(concat_ws('-', lpad(cast(o_orderkey % 1000 as string), 3, '0'), lpad(cast(o_custkey % 100 as string), 2, '0'), lpad(cast(o_orderkey % 10000 as string), 4, '0')), concat(lpad(cast(o_custkey % 100 as string), 2, '0'), '-', lpad(cast(o_orderkey % 10000000 as string), 7, '0')), lpad(cast(o_orderkey * 7919 % 1000000000 as string), 9, '0'), concat('AC', lpad(cast(o_orderkey as string), 10, '0')), concat_ws('/', cast(o_orderkey % 12 + 1 as string), cast(o_custkey % 28 + 1 as string), '1980')), cast(o_orderkey % 5 as int) + 1))").alias("text"),
     )

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import spread
+
 # Elements without text of their own, inline elements, elements without content, and what closes them.
 SKIP = frozenset("SCRIPT STYLE NOSCRIPT TEMPLATE TEXTAREA SELECT OPTION IFRAME OBJECT EMBED HEAD TITLE META LINK".split())
 INLINE = frozenset("A ABBR B BDI BDO CITE CODE DATA DFN EM FONT I INS DEL KBD LABEL MARK Q S SAMP SMALL SPAN STRONG SUB SUP TIME TT U VAR WBR BR IMG INPUT BUTTON".split())
@@ -289,12 +291,6 @@ def _scanned(digits: bool):
     return run
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """A table in fewer splits than there are cores, dealt to all of them; a large one stays as it is."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
-
-
 def scanned(pages: DataFrame, digits: bool = True) -> DataFrame:
     """pages (page_id, html) to SCANNED, by one parse."""
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))

@@ -16,19 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores, dealt to all of them; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One block for each line."""
     return df.select(F.col(key).cast("string").alias("doc_key"), F.posexplode(F.split(text, "\n")).alias("block_id", "text"))
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(table(spark, sf_dir, "documents"), "doc_id")
+    return lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def read_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block for each turn."""
     key = F.concat_ws(":", "conv_id", "turn")
-    return table(spark, sf_dir, "conversations").select(key.alias("doc_key"), F.lit(0).alias("block_id"), "text")
+    return spread(table(spark, sf_dir, "conversations").select(key.alias("doc_key"), F.lit(0).alias("block_id"), "text"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
