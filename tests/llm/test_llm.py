@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, and their defined edge cases."""
 
 import itertools
+import os
 import random
 import zlib
 
@@ -190,9 +191,10 @@ def test_best_fit():
     assert windows.take(11) == (40, 40) and windows.take(11) == (70, 70) and windows.take(11) is None and windows.take(10) == (10, 10)
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_op5_classes(docs, texts, monkeypatch, block):
+@pytest.mark.parametrize("block, grams", [(512, 1 << 21), (2, 1 << 21), (512, 300)])
+def test_op5_classes(docs, texts, monkeypatch, block, grams):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
     found = {r.doc_id: (r.class_key, r.copy_key, r.n_links) for r in ngram_join.ngram_join(docs).collect()}
     assert found == brute.jaccard_classes(list(enumerate(texts)))
 
@@ -405,6 +407,30 @@ def test_op9_spans_and_scripts(spark):
     assert found[1].lang_pred == found[2].lang_pred == "und" and found[2].score == 0
 
 
+def test_op9_text_of_no_learned_language_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(5)
+    unknown = [(10_000 + i, " ".join("".join(rng.choice("qxzjkvwyb") for _ in range(rng.randint(3, 9))) for _ in range(80)), None, "s", 1) for i in range(5)]
+    kept = {r.doc_id for r in language_id.keep_identified(docs.unionByName(spark.createDataFrame(unknown, "doc_id long, text string, lang string, source string, n_chars long"))).collect()}
+    with_letters = {r.doc_id for r in docs.collect() if r.text and len([c for c in r.text if c.isalpha()]) > 40}
+    assert not kept & {u[0] for u in unknown} and len(with_letters - kept) <= 0.01 * len(with_letters)
+
+
+def test_op4_other_vocabularies_read_whole_texts(spark):
+    """A vocabulary that joins text across white space gets whole texts, so its ids are its own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = ["byte_bpe_50k.json"]
+    texts = ["two  words", "new\nline x", "Ünï Café don't stop", ""]
+    for name in other:
+        tokenizer = Tokenizer.from_file(str(public_tokenizers.path(name)))
+        rows = packing.pack(docs_of(spark, texts), path=str(public_tokenizers.path(name))).collect()
+        for r in rows:
+            ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+            assert r.ids_crc32 == zlib.crc32(ids.tobytes())
+
+
 @pytest.fixture
 def dealt_to(spark):
     """Sets the number of shuffle partitions for one test."""

@@ -4,7 +4,9 @@ Each word has a script, by the range of its first letter; the languages that wer
 are its candidates.  A word's score for each candidate is the log-probability of its character
 trigrams (hashed to ``buckets`` classes).  A Viterbi pass over the words, in which a switch of language
 costs ``switch``, labels each word; neighbours with one label are a span.  The document's language is the
-label with the most letters, its score that label's share of the letters.
+label with the most letters, its score that label's share of the letters.  Its gain is how much better the
+words' best languages predict its trigrams than a model that knows nothing (nats a trigram, all classes alike):
+text of no learned language has a gain below 0.
 
 Learning counts trigrams and scripts over all training rows; only the counts, languages times a fixed
 number of classes, come to the driver.
@@ -135,11 +137,16 @@ class Model:
 
     def scores(self, known: Words) -> np.ndarray:
         """Log-probability of each word under each language, at most 1000 below its best candidate's."""
+        return self.scores_and_gains(known)[0]
+
+    def scores_and_gains(self, known: Words) -> tuple[np.ndarray, np.ndarray]:
+        """scores, and each word's best log-probability above that of as many trigrams of equal chance."""
         word, classes = known.trigrams()
         begin = np.cumsum(known.count) - known.count
         out = np.add.reduceat(self.logs[classes], begin, axis=0) + self.barred[known.scripts]
-        out -= out.max(1, keepdims=True)
-        return np.maximum(out, -1e3) * (known.letters > 0)[:, None]
+        best = out.max(1, keepdims=True)
+        lettered = known.letters > 0
+        return np.maximum(out - best, -1e3) * lettered[:, None], (best[:, 0] + known.count * np.log(self.buckets)) * lettered
 
 
 def fit(train: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> Model:
@@ -197,15 +204,18 @@ def _predict(model: Model, switch: float, with_spans: bool):
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS)
                 split, names = _batch(rows)
-                langs, shares, spans = [], [], []
+                langs, shares, gains, spans = [], [], [], []
                 if names and model.langs:
                     known = Words(list(names), model.buckets)
-                    word_scores = model.scores(known)
+                    word_scores, word_gains = model.scores_and_gains(known)
+                    counts = known.count * (known.letters > 0)
                     ids = [np.fromiter(map(names.__getitem__, words), np.int64, len(words)) for words in split]
                     labelled = viterbi([word_scores[i] for i in ids], switch)
                     letters = [known.letters[i] for i in ids]
+                    gains = [float(word_gains[i].sum() / max(1, counts[i].sum())) for i in ids]
                 else:
                     labelled = letters = [np.zeros(0, np.int64)] * len(split)
+                    gains = [0.0] * len(split)
                 for labels, own in zip(labelled, letters, strict=True):
                     by_lang = np.bincount(labels, own, len(model.langs))
                     total = own.sum()
@@ -215,8 +225,8 @@ def _predict(model: Model, switch: float, with_spans: bool):
                         new = np.flatnonzero(np.append(True, labels[1:] != labels[:-1])) if len(labels) else np.zeros(0, int)
                         stops = np.append(new[1:], len(labels))
                         spans.append([{"lang": model.langs[labels[a]], "start": int(a), "stop": int(b)} for a, b in zip(new, stops, strict=True)] if total else [])
-                columns = [rows.column(c) for c in rows.schema.names if c != "text"] + [pa.array(langs, pa.string()), pa.array(shares, pa.float64())]
-                names_ = [c for c in rows.schema.names if c != "text"] + ["lang_pred", "score"]
+                columns = [rows.column(c) for c in rows.schema.names if c != "text"] + [pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(gains, pa.float64())]
+                names_ = [c for c in rows.schema.names if c != "text"] + ["lang_pred", "score", "gain"]
                 if with_spans:
                     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
                     columns, names_ = [*columns, pa.array(spans, kind)], [*names_, "spans"]
@@ -226,22 +236,23 @@ def _predict(model: Model, switch: float, with_spans: bool):
 
 
 def language_spans(docs: DataFrame, model: Model, keep: list[str], switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
-    """The columns ``keep`` of docs (not ``text``), lang_pred, score and spans (lang, first word, word after the last)."""
+    """The columns ``keep`` of docs (not ``text``), lang_pred, score, gain and spans (lang, first word, word after the last)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select(*keep, text.alias("text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("gain", T.DoubleType())])
     if with_spans:
         span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
         schema.add("spans", T.ArrayType(span))
     return base.mapInArrow(_predict(model, switch, with_spans), schema)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose language is known with a score of ``least``; learned from all that have a lang."""
+def keep_identified(docs: DataFrame, least: float = 0.5, gain: float = 0.0) -> DataFrame:
+    """Documents in a learned language: not ``und``, with a score of ``least``, and better predicted by the learned
+    languages than by a model that knows nothing (``gain``). Learned from all documents that have a lang."""
     model = fit(docs.select("text", "lang"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     found = language_spans(rows, model, ["row"], with_spans=False)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least) & (F.col("gain") >= gain)).select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -35,8 +35,8 @@ SIMILARITY = 0.8
 #: Share of the pairs at exactly the threshold that banding must find.
 RECALL = 0.9999
 ROWS = 4
-#: Members of a bucket that meet in one task; larger buckets meet block by block.
-BLOCK = 512
+#: Members of a bucket that meet at once, and n-grams of theirs (8 bytes each); larger buckets meet block by block.
+BLOCK, BLOCK_GRAMS = 512, 1 << 21
 
 RESULT = "doc_id long, class_id long, copy_of long, n_links long"
 
@@ -207,14 +207,14 @@ def join_keyed(keyed_docs: DataFrame, gram: int = GRAM, similarity: float = SIMI
     base = keyed_docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = cut(base.mapInArrow(partial(_signatures, gram, rows, bands), "key long, doc_id long, n long, d1 long, d2 long, bands array<long>"))
     copies = cut(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("copy_key")))
-    firsts = signed.join(copies.select(F.col("copy_key").alias("key")), "key", "left_semi").select("key", "bands")
-    banded = cut(firsts.select("key", F.posexplode("bands").alias("band", "bucket")))
+    firsts = signed.join(copies.select(F.col("copy_key").alias("key")), "key", "left_semi").select("key", "n", "bands")
+    banded = cut(firsts.select("key", "n", F.posexplode("bands").alias("band", "bucket")))
     # buckets with the same members as one of an earlier band bring nothing new
-    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"), F.min("key").alias("least")).where("m > 1")
-    kept = buckets.groupBy("m", "who", "least").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", "m")
-    in_bucket = banded.join(kept, ["band", "bucket"])
+    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"), F.min("key").alias("least"), F.sum("n").alias("grams")).where("m > 1")
+    kept = buckets.groupBy("m", "who", "least", "grams").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", "m", "grams")
+    in_bucket = banded.drop("n").join(kept, ["band", "bucket"])
     # large buckets are dealt into blocks by the members' hashes; each pair of blocks meets once
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     own = F.pmod(F.xxhash64("key", "band"), F.col("blocks")).cast("int")
     placed = in_bucket.withColumn("blocks", blocks).withColumn("block", own).select("key", F.struct("band", "bucket", "block", "blocks").alias("place"))
     members = placed.groupBy("key").agg(F.collect_list("place").alias("places"))

@@ -1,7 +1,7 @@
 """Operator 4: packing token sequences by best-fit decreasing.
 
-Documents are tokenised word by word (the tokenizer never joins text across white space), each ends
-with one end id.  Documents longer than a window are first cut into full windows; what is left of
+Documents are tokenised word by word where the tokenizer is known never to join text across white space
+(``BY_WORDS``; any other one reads whole texts), each ends with one end id.  Documents longer than a window are first cut into full windows; what is left of
 every document is a piece.  Pieces are dealt at random to bins' shards, and within a shard, longest
 first, each goes to the open window with the least room that still holds it.  A segment tree over
 remaining capacities finds that window.
@@ -27,6 +27,8 @@ from .common import small_batches, table
 
 WINDOW = 2048
 END_ID = 1
+#: Vocabularies that split at white space and between letters and ASCII punctuation, and fold case: words have ids by themselves.
+BY_WORDS = {"word_bpe_49k.json"}
 #: Documents of one shard, on average; a shard leaves a few windows open.
 SHARD_DOCS = 4096
 #: Words, and parts of words, that a worker keeps.
@@ -62,6 +64,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = os.path.basename(path) in BY_WORDS
         self.mark = self._ids([self.MARK])[0]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
@@ -76,6 +79,9 @@ class WordIds:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self._ids([text.decode()])[0], "<u4").tobytes()
+
     def table(self, split: list[list[bytes]]) -> dict[bytes, bytes]:
         """The ids of all these words, and others."""
         if len(self.words) > KEEP_WORDS:
@@ -116,11 +122,16 @@ def _tokenise(path: str, window: int, end_id: int, batches: Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             rows = batch.slice(at, 1024)
-            split = [text.split() for text in rows.column("text").to_pylist()]
-            known = word_ids.table(split)
+            raw = rows.column("text").to_pylist()
+            if word_ids.by_words:
+                split = [text.split() for text in raw]
+                known = word_ids.table(split)
+                given = (b"".join(map(known.__getitem__, words)) for words in split)
+            else:
+                given = (word_ids.whole(text) for text in raw)
             out: list[tuple] = []
-            for doc_id, words in zip(rows.column("doc_id").to_pylist(), split, strict=True):
-                ids = b"".join(map(known.__getitem__, words)) + end
+            for doc_id, ids in zip(rows.column("doc_id").to_pylist(), given, strict=True):
+                ids += end
                 n = len(ids) // 4
                 for a in range(0, n, window):
                     b = min(n, a + window)

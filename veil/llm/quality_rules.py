@@ -63,17 +63,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoot
 
 
 #: Words covered by 5-word windows that are found twice or more. Most documents have none, which the
-#: number of distinct hashes shows; of the others the hashes are sorted with their places (26 bits).
+#: number of distinct hashes shows; of the others the hashes are sorted with their places.
 _REPEATED = """
     case when size(five) = size(array_distinct(five)) then 0L else
       aggregate(
         array_sort(transform(
-          array(sort_array(transform(five, (x, i) -> shiftleft(shiftright(x, 26), 26) | i))),
+          array(array_sort(transform(five, (x, i) -> named_struct('h', x, 'i', cast(i as bigint))))),
           s -> filter(
-            transform(s, (x, j) -> case when
-                (j > 0 and five[cast(s[j - 1] & 67108863 as int)] = five[cast(x & 67108863 as int)])
-                or (j + 1 < size(s) and five[cast(s[j + 1] & 67108863 as int)] = five[cast(x & 67108863 as int)])
-              then x & 67108863 else -1L end),
+            transform(s, (x, j) -> if((j > 0 and s[j - 1].h = x.h) or (j + 1 < size(s) and s[j + 1].h = x.h), x.i, -1L)),
             p -> p >= 0)
         )[0]),
         named_struct('stop', 0L, 'total', 0L),
