@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from veil.llm import chat_format, edit_embedding, fm_dedup, language_id, mixing, ngram_join, packing, quality_rules, repeats, suffix, suffix_dedup, token_counts
+from veil.llm import chat_format, edit_embedding, external, fm_dedup, language_id, mixing, ngram_join, packing, quality_rules, repeats, suffix, suffix_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, taken string"
 
@@ -65,6 +65,35 @@ def test_suffix_array():
         assert suffix.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@pytest.mark.parametrize("queue", [5, 1 << 17])
+def test_external_induced_sorting(tmp_path, queue):
+    """Order and common-prefix values, with queues that spill after five tuples."""
+    rng = random.Random(1)
+    for trial in range(120):
+        n, k, most = rng.choice([1, 2, 5, 20, 60, 200]), rng.choice([1, 2, 3, 8, 200]), rng.choice([3, 10, 100])
+        text = [rng.randint(1, k) for _ in range(n)] + [0]
+        if trial % 5 == 0:
+            text = ([1, 2, 3, 1, 1] * n)[:n] + [0]
+        if trial % 7 == 0:
+            text = sorted(text[:-1]) + [0]
+        if trial % 11 == 0:
+            text = text[:-1] * 3 + [0]
+        (tmp_path / str(trial)).mkdir()
+        found = list(external.Induced(text, str(tmp_path / str(trial)), most, queue).in_order())
+        assert [p for p, _ in found] == sorted(range(len(text)), key=lambda i: text[i:])
+        for (a, _), (b, common) in itertools.pairwise(found):
+            assert common == min(most, len(os.path.commonprefix([text[a:], text[b:]])))
+
+
+def test_op3_shards_on_disk(docs, texts, monkeypatch):
+    """Every group goes through the external way: a shard is a few bytes and a queue holds 50 tuples."""
+    monkeypatch.setattr(repeats, "SHARD", 64)
+    want = {d: v[:4] for d, v in brute.strings_before(list(enumerate(texts))).items()}
+    real = suffix_dedup.first_windows_external
+    monkeypatch.setattr(suffix_dedup, "first_windows_external", lambda runs, size: real(runs, size, 50))
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+
+
 def _windows(found):
     return sorted((int(k), int(p)) for ks, ss, ns in found for k, s, n in zip(ks, ss, ns) for p in range(s, s + n))
 

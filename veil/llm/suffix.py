@@ -1,4 +1,4 @@
-"""Suffix sorting by induction, in vector steps.
+"""Suffix sorting by induction, in vector steps; external.py has the same with queues on disk.
 
 A suffix is S-type if it is smaller than the suffix one place on, else L-type; an S-type place after
 an L-type one is a *leftmost S* place.  The substring from a place to its next leftmost-S place,
@@ -9,12 +9,12 @@ the order of all suffixes from it.
 
 from __future__ import annotations
 
-import heapq
-import os
 import tempfile
 
 import numpy as np
 
+from .external import QUEUE, File, Induced
+
 _BASE = 64
 
 
@@ -102,43 +102,32 @@ def first_windows(data: np.ndarray, at: np.ndarray, order: np.ndarray, size: int
     return later
 
 
-def first_windows_external(runs, size: int):
-    """The same over text that comes in runs, each small enough for memory.
+def first_windows_external(runs, size: int, queue: int = QUEUE):
+    """The same over text that comes in runs, each small enough for memory, by external induced sorting.
 
-    Every run is suffix-sorted by itself and written to disk as (window, key, place) tuples in sorted
-    order; a priority queue over the runs' heads then merges them.  runs: (data, at, keys, places).
+    The text and the windows' identities are written to files; suffixes come back in order with common-prefix
+    values, and windows between which no value is below ``size`` are equal. runs: (data, at, keys, places).
     Yields (key, place) of every window that has an equal one before it in the order (key, place).
     """
-    kind = np.dtype([("window", f"V{size}"), ("key", ">u8"), ("place", ">u8")])
-    sign = np.uint64(1 << 63)  # negative keys sort first
     with tempfile.TemporaryDirectory() as folder:
-        names = []
+        text, owners = File(folder), File(folder)
         for data, at, keys, places in runs:
-            sa = suffix_array(np.append(data.astype(np.int64) + 1, 0))
-            slot = np.full(len(data) + 1, -1, np.int64)
-            slot[at] = np.arange(len(at))
-            rows = slot[sa]
-            rows = rows[rows >= 0]
-            group = np.concatenate([[0], np.cumsum(~equal_to_next(data, at[rows], size))])
-            rows = rows[np.lexsort((places[rows], keys[rows], group))]
-            names.append(os.path.join(folder, str(len(names))))
-            wide = np.lib.stride_tricks.sliding_window_view(data, size)
-            with open(names[-1], "wb") as out:
-                for a in range(0, len(rows), 1 << 14):
-                    some = rows[a : a + (1 << 14)]
-                    block = np.zeros(len(some), kind)
-                    block["window"] = np.ascontiguousarray(wide[at[some]]).view(f"V{size}").ravel()
-                    block["key"], block["place"] = keys[some].view(np.uint64) ^ sign, places[some]
-                    out.write(block.tobytes())
-
-        def tuples(name: str):
-            with open(name, "rb") as f:
-                while block := f.read(kind.itemsize * 512):
-                    for a in range(0, len(block), kind.itemsize):
-                        yield block[a : a + kind.itemsize]
-
-        last = None
-        for row in heapq.merge(*map(tuples, names)):
-            if row[:size] == last:
-                yield int.from_bytes(row[size : size + 8], "big") - (1 << 63), int.from_bytes(row[size + 8 :], "big")
-            last = row[:size]
+            begins = dict(zip(at.tolist(), zip(keys.tolist(), places.tolist(), strict=True), strict=True))
+            for i, symbol in enumerate(data.tolist()):
+                text.add(symbol + 1)
+                owners.add(*begins.get(i, (0, -1)))
+        text.add(0)
+        owners.add(0, -1)
+        known = owners.read()
+        best, common = None, 0
+        for i, value in Induced(text.read(), folder, size, queue).in_order():
+            common = min(common, value)
+            key, place = known[2 * i], known[2 * i + 1]
+            if place < 0:
+                continue
+            if best is not None and common >= size:
+                yield max(best, (key, place))
+                best = min(best, (key, place))
+            else:
+                best = (key, place)
+            common = size

@@ -4,7 +4,8 @@ Every byte that lies in a ``size``-byte string which also starts earlier (a smal
 the same document before) is removed.  Strings are judged on the input.  A shard's text is sorted by
 induced sorting (suffix.py): leftmost-S substrings are named, their string is sorted by recursion,
 and the order of all suffixes is induced from it; the common prefix of neighbours is then compared.
-A group too large for a shard is sorted in runs on disk that a priority queue merges.
+A group too large for a shard is sorted by external induction: disk-backed priority queues carry suffix tuples
+with common-prefix values through the recursion (external.py).
 
 Cases: null text counts as empty; documents shorter than ``size`` keep everything; rows that share a
 doc_id (or have none) are separate documents in order of doc_id (nulls first), then text; an empty
@@ -54,16 +55,14 @@ def _index(size: int):
 
 
 def _large(size: int):
-    """A group above the shard size: the windows of each run sorted on disk, merged by priority queue."""
+    """A group above the shard size, sorted by external induction."""
 
     def run(chunks):
         found_keys, found_places = [], []
 
         def runs_on_disk():
             for key, start, runs, contents in chunks:
-                data, at, keys, places = _layout(key, start, runs, contents, size)
-                # the order within the group: key, then place (places stay below 2^40)
-                yield data, at, keys, places
+                yield _layout(key, start, runs, contents, size)
 
         for k, p in first_windows_external(runs_on_disk(), size):
             found_keys.append(k)
