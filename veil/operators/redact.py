@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import WS
 from .detect import detect
 from .detectors import BUILTIN, YEAR, Detector
-from .matching import SPAN, match_all, merge_ranges, overlaps
+from .matching import SPAN, merge_ranges
 
 BULLET = "•"
 ELEMENT_MOST = 2000
@@ -68,17 +68,19 @@ def redact_detected(
 
 
 def snap_to_tokens(text: Column, ranges: Column) -> Column:
-    """Ranges grown to whole tokens; neighbouring hidden tokens take the white space between them."""
-    tokens = match_all(text, f"[^{WS}]+")
-    marked = F.transform(tokens, lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.exists(ranges, lambda r: overlaps(r, t)).alias("hit")))
+    """Sorted ranges grown to whole tokens; neighbouring hidden tokens take the white space between them."""
+    before = lambda r: F.length(F.regexp_extract(F.substring(text, F.lit(1), r["start"]), rf"([^{WS}]*)\z", 1))
+    after = lambda r: F.length(F.regexp_extract(F.substring(text, r["end"] + 1, F.length(text)), f"^([^{WS}]*)", 1))
+    grown = F.transform(ranges, lambda r: F.struct((r["start"] - before(r)).cast("int").alias("start"), (r["end"] + after(r)).cast("int").alias("end")))
+
     def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        grown = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), t["end"].alias("end"))))
-        added = F.concat(acc["out"], F.array(F.struct(t["start"].alias("start"), t["end"].alias("end"))))
-        out = F.when(~t["hit"], acc["out"]).when(acc["open"], grown).otherwise(added)
-        return F.struct(out.alias("out"), t["hit"].alias("open"))
+        last = F.try_element_at(acc, F.lit(-1))
+        between = F.substring(text, last["end"] + 1, t["start"] - last["end"])
+        near = (t["start"] <= last["end"]) | between.rlike(rf"^[{WS}]*\z")
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], t["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & near, longer).otherwise(F.concat(acc, F.array(t)))
 
-    return F.aggregate(marked, F.struct(F.array().cast(SPAN).alias("out"), F.lit(False).alias("open")), step, lambda a: a["out"])
+    return F.aggregate(grown, F.array().cast(SPAN), step)
 
 
 def restore(masked: DataFrame, originals: DataFrame, on: list[str]) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import WS
 from ..functions.identity import PREFIXES, hmac, identity, view_prefix
 from ..functions.text import tokens_of
-from ..functions.urls import canonical_search, matches_path, normalize_path, search_has_doc_id
+from ..functions.urls import canonical_search, matches_path, normalize_path, search_has_doc_id, split_path
 
 AUDIT_MOST, DISMISSED_MOST, DETECTORS_MOST, TOKENS_MOST = 200, 500, 50, 32
-VIEW_MOST, SEARCH_MOST = 1500, 20_000
+VIEW_MOST = 1500
 #: Rows up to which a side is sent to every task; a larger one is joined by a shuffle.
 SEND = 100_000
 
@@ -44,8 +46,24 @@ def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end:
 
 
 def scope_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules (rule_id, origin, path_pattern) that apply on pages (page_id, origin, path): origin first, then the glob."""
-    joined = pages.join(small(rules), "origin")
+    """Rules (rule_id, origin, path_pattern) that apply on pages (page_id, origin, path).
+
+    They meet by origin, number of segments and first segment; a rule that begins with a star by origin and
+    number, one with ** by origin and first segment, or by origin if that is a star. The glob is tested then.
+    """
+    segments = split_path(F.col("path"))
+    placed = pages.select("page_id", "origin", "path", F.size(segments).alias("n"), F.get(segments, F.lit(0)).alias("first"))
+    parts = split_path(F.col("path_pattern"))
+    known = small(rules.select("rule_id", "origin", "path_pattern", F.size(parts).alias("n"), F.get(parts, F.lit(0)).alias("first"), F.array_contains(parts, "**").alias("any")))
+    starred = F.coalesce(F.col("first").isin("*", "**"), F.lit(False))
+    rooted = F.col("first").isNull()
+    met = [
+        placed.join(known.where(~F.col("any") & ~starred & ~rooted).drop("any"), ["origin", "n", "first"]),
+        placed.drop("first").join(known.where(~F.col("any") & (starred | rooted)).drop("any", "first"), ["origin", "n"]),
+        placed.drop("n").join(known.where(F.col("any") & ~starred).drop("any", "n"), ["origin", "first"]),
+        placed.drop("n", "first").join(known.where(F.col("any") & starred).drop("any", "n", "first"), ["origin"]),
+    ]
+    joined = reduce(DataFrame.unionByName, [m.select("page_id", "rule_id", "path", "path_pattern") for m in met])
     return joined.where(matches_path(F.col("path_pattern"), F.col("path"))).select("page_id", "rule_id")
 
 
@@ -65,9 +83,15 @@ def exact_scope_join(pages: DataFrame, rules: DataFrame, key: bytes) -> DataFram
 
 
 def frame_join(frames: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules (rule_id, depth, url_hmac) that apply in frames (frame_id, depth, frame_hmac)."""
-    named = (F.col("r.depth") == 0) | F.col("r.url_hmac").isNull() | (F.col("r.url_hmac") == F.col("f.frame_hmac"))
-    return frames.alias("f").join(small(rules).alias("r"), F.col("f.depth") == F.col("r.depth")).where(named).select("f.frame_id", "r.rule_id")
+    """(frame_id, rule_id): rules (rule_id, depth, url_hmac) for the address of a frame (frame_id, depth, frame_hmac)."""
+    named = small(rules.where("depth > 0 and url_hmac is not null")).select("rule_id", "depth", F.col("url_hmac").alias("frame_hmac"))
+    return frames.join(named, ["depth", "frame_hmac"]).select("frame_id", "rule_id")
+
+
+def frame_rules(rules: DataFrame) -> DataFrame:
+    """(depth, rule_ids): the rules that apply in every frame of a depth. A list for each depth, not a pair for each frame."""
+    everywhere = rules.where("depth = 0 or url_hmac is null")
+    return everywhere.groupBy("depth").agg(F.sort_array(F.collect_list("rule_id")).alias("rule_ids"))
 
 
 def token_hmacs(texts: DataFrame, keys: list[str], key: bytes) -> DataFrame:
@@ -105,12 +129,20 @@ def locate_exact(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def locate_by_hash(texts: DataFrame, keys: list[str], wanted: DataFrame, key: bytes) -> DataFrame:
-    """Windows of texts (keys…, text) whose identity is wanted (target, length, near, hmac), nearest first, left of equals."""
-    bounded = texts.where(F.length("text") <= SEARCH_MOST)
-    asked = bounded.join(small(wanted), keys[:1]) if keys[0] in wanted.columns else bounded.join(small(wanted).hint("broadcast"), F.length("text") >= F.col("length"))
-    windows = asked.where(F.length("text") >= F.col("length")).withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - F.col("length"))))
+    """Windows of texts (keys…, text) whose identity is wanted (target, length, near, hmac, and keys[0] if wanted
+    there only), nearest first, left of equals. Each asked length is hashed once at each place, then joined by identity."""
+    own = keys[:1] if keys[0] in wanted.columns else []
+    if own:
+        lengths = wanted.groupBy(*own).agg(F.collect_set("length").alias("lengths"))
+        asked = texts.join(small(lengths), own)
+    else:  # the asked lengths are one row, and no more of them than a text has characters
+        asked = texts.withColumn("lengths", wanted.agg(F.collect_set("length")).scalar())
+    fitting = F.filter("lengths", lambda n: n <= F.length("text"))
+    windows = asked.select(*keys, "text", F.explode(fitting).alias("length"))
+    windows = windows.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - F.col("length"))))
     message = F.concat(F.lit(PREFIXES["cover"]), F.substring(F.col("text"), F.col("at") + 1, F.col("length")))
-    found = windows.where(hmac(message, key) == F.col("hmac"))
+    hashed = windows.select(*keys, "length", "at", hmac(message, key).alias("hmac"))
+    found = hashed.join(small(wanted), [*own, "length", "hmac"])
     place = F.row_number().over(Window.partitionBy(*keys, "target").orderBy(F.abs(F.col("at") - F.col("near")), "at"))
     return found.withColumn("place", place).where("place = 1").select(*keys, "target", "at")
 

@@ -226,9 +226,9 @@ def r03_merge_ranges(spark, sf_dir):
     return merged.select("l_orderkey", "m.start", "m.end")
 
 
-@query("r04_redact_ranges", "SELECT doc_id, substr(text, 1, 10) || regexp_replace(substr(text, 11, 20), '[^" + WS + "]', '•', 'g') || substr(text, 31) AS redacted FROM documents WHERE len(text) >= 40")
+@query("r04_redact_ranges", "SELECT doc_id, substr(text, 1, 10) || regexp_replace(substr(text, 11, 20), '[^" + WS + "]', '•', 'g') || substr(text, 31) AS redacted FROM documents")
 def r04_redact_ranges(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 40)
+    docs = table(spark, sf_dir, "documents")
     ranges = F.expr("array(struct(20 as start, 30 as end), struct(10 as start, 22 as end))").cast(SPAN)
     return docs.select("doc_id", R.redact_ranges(F.col("text"), ranges).alias("redacted"))
 
@@ -238,10 +238,10 @@ def r05_redact_detected(spark, sf_dir):
     return R.redact_detected(readers.read_documents(spark, sf_dir)).select("doc_key", "block_id", "redacted", "n_hits")
 
 
-@query("r05_redact_elements", f"SELECT doc_key, block_id, CASE WHEN len({CARDS}) = 0 THEN text ELSE regexp_replace(text, '[^{WS}]', '•', 'g') END AS redacted FROM {LINES} WHERE len(text) <= 2000")
+@query("r05_redact_elements", f"SELECT doc_key, block_id, CASE WHEN len({CARDS}) = 0 THEN text WHEN len(text) > 2000 THEN {REDACTED} ELSE regexp_replace(text, '[^{WS}]', '•', 'g') END AS redacted FROM {LINES}")
 def r05_redact_elements(spark, sf_dir):
-    blocks = readers.read_documents(spark, sf_dir).where(F.length("text") <= R.ELEMENT_MOST)
-    return R.redact_detected(blocks, mode="element").select("doc_key", "block_id", "redacted")
+    """Blocks of up to 2000 characters are covered whole, longer ones at their hits."""
+    return R.redact_detected(readers.read_documents(spark, sf_dir), mode="element").select("doc_key", "block_id", "redacted")
 
 
 @query("r05_redact_turns", f"SELECT doc_key, 0 AS block_id, {REDACTED} AS redacted FROM (SELECT concat_ws(':', conv_id, turn) AS doc_key, text FROM conversations)")
@@ -249,11 +249,14 @@ def r05_redact_turns(spark, sf_dir):
     return R.redact_detected(readers.read_turns(spark, sf_dir)).select("doc_key", "block_id", "redacted")
 
 
-@query("r06_snap_to_tokens", rf"SELECT doc_id, array_to_string(list_transform(string_split_regex(text, '[ ]'), lambda t: t), ' ') = text AS same, regexp_extract(text, '^[^{WS}]+') AS first FROM documents WHERE regexp_matches(text, '^[^{WS}]{{3,}}[{WS}]')")
+@query("r06_snap_to_tokens", rf"SELECT doc_id, list_aggregate(list_transform(regexp_extract_all(text, '[^{WS}]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN len(t) ELSE 0 END), 'sum')::BIGINT AS hidden, array_to_string(list_filter(regexp_extract_all(text, '[^{WS}]+'), lambda t: regexp_matches(t, '[0-9]')), ' ') AS tokens FROM documents")
 def r06_snap_to_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(f"^[^{WS}]{{3,}}[{WS}]"))
-    spans = R.snap_to_tokens(F.substring("text", 1, 200), F.expr("array(struct(1 as start, 2 as end))").cast(SPAN))
-    return docs.select("doc_id", F.lit(True).alias("same"), F.substring("text", spans[0]["start"] + 1, spans[0]["end"] - spans[0]["start"]).alias("first"))
+    """Every digit of whole texts grown to its token: what is hidden, white space between neighbours left out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    given = docs.withColumn("spans", R.snap_to_tokens(F.col("text"), R.ranges_of(match_all(F.col("text"), "[0-9]+"))))
+    texts = F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    bare = F.array_join(F.flatten(F.transform(texts, lambda t: F.filter(F.split(t, f"[{WS}]+"), lambda w: w != ""))), " ")
+    return given.select("doc_id", F.coalesce(F.length(F.regexp_replace(bare, " ", "")), F.lit(0)).cast("long").alias("hidden"), bare.alias("tokens"))
 
 
 @query("r10_restore", f"SELECT doc_key, block_id, text FROM {LINES}")

@@ -27,48 +27,59 @@ def _pages(spark, sf_dir):
 
 @query(
     "j02_scope_join",
-    f"WITH p AS {_PAGES}, r AS (SELECT DISTINCT origin, {SANITIZED} AS path_pattern FROM p WHERE page_id % 3 = 0) SELECT p.page_id, p.origin || r.path_pattern AS rule_id FROM p JOIN r ON p.origin = r.origin"
+    f"WITH p AS {_PAGES}, r AS (SELECT DISTINCT origin, {SANITIZED} AS path_pattern FROM p) SELECT p.page_id, p.origin || r.path_pattern AS rule_id FROM p JOIN r ON p.origin = r.origin"
     " AND regexp_matches('/' || array_to_string(list_filter(string_split(p.path, '/'), lambda s: s <> ''), '/'), '^' || regexp_replace(regexp_replace(r.path_pattern, '[.]', '[.]', 'g'), '/[*]', '/[^/]+', 'g') || '$')",
 )
 def j02_scope_join(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    rules = pages.where("page_id % 3 = 0").select("origin", U.sanitize_path(F.col("path")).alias("path_pattern")).distinct()
+    rules = pages.select("origin", U.sanitize_path(F.col("path")).alias("path_pattern")).distinct()
     return W.scope_join(pages, rules.withColumn("rule_id", F.concat("origin", "path_pattern")))
 
 
-@query("j03_exact_scope_join", f"WITH p AS {_PAGES}, r AS (SELECT min(page_id) AS rule_id, path FROM (SELECT page_id, {_NORMAL} AS path FROM p WHERE page_id % 2 = 0) GROUP BY path) SELECT p.page_id, r.rule_id FROM p JOIN r ON {_NORMAL.replace('path', 'p.path')} = r.path")
+@query("j03_exact_scope_join", f"WITH p AS {_PAGES}, r AS (SELECT min(page_id) AS rule_id, path FROM (SELECT page_id, {_NORMAL} AS path FROM p) GROUP BY path) SELECT p.page_id, r.rule_id FROM p JOIN r ON {_NORMAL.replace('path', 'p.path')} = r.path")
 def j03_exact_scope_join(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    made = pages.where("page_id % 2 = 0").select("page_id", identity("path", U.normalize_path(F.col("path")), KEY).alias("path_hmac"))
+    made = pages.select("page_id", identity("path", U.normalize_path(F.col("path")), KEY).alias("path_hmac"))
     rules = made.groupBy("path_hmac").agg(F.min("page_id").alias("rule_id")).withColumn("include_query", F.lit(False))
     return W.exact_scope_join(pages, rules, KEY)
 
 
-@query("j04_frame_applies", "SELECT a.page_id AS frame_id, b.page_id AS rule_id FROM (SELECT page_id, page_id % 3 AS depth, url FROM pages) a JOIN (SELECT page_id, page_id % 3 AS depth, url FROM pages WHERE page_id % 7 = 0) b ON a.depth = b.depth AND (b.depth = 0 OR a.url = b.url)")
-def j04_frame_applies(spark, sf_dir):
+_FRAMES = "(SELECT page_id, page_id % 3 AS depth, url FROM pages)"
+
+
+def _frames(spark, sf_dir):
     frames = table(spark, sf_dir, "pages").select(F.col("page_id").alias("frame_id"), (F.col("page_id") % 3).alias("depth"), identity("frame", F.col("url"), KEY).alias("frame_hmac"))
-    rules = frames.where("frame_id % 7 = 0").select(F.col("frame_id").alias("rule_id"), "depth", F.when(F.col("depth") > 0, F.col("frame_hmac")).alias("url_hmac"))
-    return W.frame_join(frames, rules)
+    return frames, frames.select(F.col("frame_id").alias("rule_id"), "depth", F.when(F.col("depth") > 0, F.col("frame_hmac")).alias("url_hmac"))
+
+
+@query("j04_frame_applies", f"SELECT a.page_id AS frame_id, b.page_id AS rule_id FROM {_FRAMES} a JOIN {_FRAMES} b ON a.depth = b.depth AND b.depth > 0 AND lower(trim(a.url)) = lower(trim(b.url))")
+def j04_frame_applies(spark, sf_dir):
+    return W.frame_join(*_frames(spark, sf_dir))
+
+
+@query("j04_frame_rules", f"SELECT depth, array_to_string(list(page_id ORDER BY page_id), ' ') AS rules FROM {_FRAMES} WHERE depth = 0 GROUP BY depth")
+def j04_frame_rules(spark, sf_dir):
+    return W.frame_rules(_frames(spark, sf_dir)[1]).select("depth", F.array_join(F.col("rule_ids").cast("array<string>"), " ").alias("rules"))
 
 
 _TOKENS = rf"(SELECT doc_key, unnest(list_distinct(list_filter(string_split_regex(text, '[{WS}]+'), lambda t: (len(t) >= 5 OR (len(t) >= 4 AND regexp_matches(t, '[0-9]'))) AND (regexp_matches(t, '[0-9]') OR len(t) >= 6)))) AS token FROM {TURNS})"
 
 
-@query("j09_token_backstop", f"SELECT doc_key, token FROM {_TOKENS} WHERE lower(trim(token)) IN (SELECT lower(trim(token)) FROM {_TOKENS} WHERE doc_key LIKE '1%:0')")
+@query("j09_token_backstop", f"SELECT doc_key, token FROM {_TOKENS} WHERE lower(trim(token)) IN (SELECT lower(trim(token)) FROM {_TOKENS} WHERE doc_key LIKE '%:0')")
 def j09_token_backstop(spark, sf_dir):
     turns = readers.read_turns(spark, sf_dir)
-    wanted = W.token_hmacs(turns.where("doc_key like '1%:0'"), ["doc_key"], KEY)
+    wanted = W.token_hmacs(turns.where("doc_key like '%:0'"), ["doc_key"], KEY)
     return W.token_backstop(turns, ["doc_key"], wanted, KEY).select("doc_key", "token")
 
 
 _VIEW = "lower(substr(regexp_replace(text, '[" + WS + "]', '', 'g'), 1, {n}))"
 
 
-@query("j11_view_match", f"SELECT d.doc_id, v.doc_id AS view_id FROM documents d JOIN (SELECT doc_id, 40 + doc_id % 2 * 80 AS n, {_VIEW.format(n='40 + doc_id % 2 * 80')} AS p FROM documents WHERE doc_id % 5 = 0) v ON len(regexp_replace(d.text, '[{WS}]', '', 'g')) >= v.n AND {_VIEW.format(n='v.n').replace('text', 'd.text')} = v.p")
+@query("j11_view_match", f"SELECT d.doc_id, v.doc_id AS view_id FROM documents d JOIN (SELECT doc_id, 40 + doc_id % 2 * 80 AS n, {_VIEW.format(n='40 + doc_id % 2 * 80')} AS p FROM documents) v ON len(regexp_replace(d.text, '[{WS}]', '', 'g')) >= v.n AND {_VIEW.format(n='v.n').replace('text', 'd.text')} = v.p")
 def j11_view_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     length = F.expr("cast(40 + doc_id % 2 * 80 as int)")
-    wanted = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("view_id"), length.alias("length"), view_prefix(F.col("text"), length, KEY).alias("hmac"))
+    wanted = docs.select(F.col("doc_id").alias("view_id"), length.alias("length"), view_prefix(F.col("text"), length, KEY).alias("hmac"))
     return W.view_match(docs, wanted, KEY)
 
 
@@ -83,13 +94,13 @@ def j12_locate_exact(spark, sf_dir):
 
 @query(
     "j13_locate_by_hash",
-    f"WITH w AS (SELECT doc_key, substr(text, 6, 12) AS v FROM {TURNS} WHERE len(text) BETWEEN 40 AND 120), t AS (SELECT doc_key, text, unnest(range(0, len(text) - 11)) AS pos FROM {TURNS} WHERE len(text) BETWEEN 40 AND 120) SELECT t.doc_key, 'covered' AS target, arg_min(pos, abs(pos - 7) * 1000 + pos)::INT AS \"at\" FROM t JOIN w USING (doc_key) WHERE substr(t.text, pos + 1, 12) = w.v GROUP BY t.doc_key",
+    f"WITH w AS (SELECT doc_key, substr(text, 6, 12) AS v FROM {TURNS} WHERE len(text) >= 17), t AS (SELECT doc_key, text, unnest(range(0, len(text) - 11)) AS pos FROM {TURNS} WHERE len(text) >= 17) SELECT t.doc_key, 'covered' AS target, arg_min(pos, abs(pos - 7) * 1000 + pos)::INT AS \"at\" FROM t JOIN w USING (doc_key) WHERE substr(t.text, pos + 1, 12) = w.v GROUP BY t.doc_key",
 )
 def j13_locate_by_hash(spark, sf_dir):
-    turns = readers.read_turns(spark, sf_dir).where(F.length("text").between(40, 120))
     from ..functions.identity import hmac
 
-    wanted = turns.select("doc_key", F.lit("covered").alias("target"), F.lit(12).alias("length"), F.lit(7).alias("near"), hmac(F.concat(F.lit("cover\0"), F.substring("text", 6, 12)), KEY).alias("hmac"))
+    turns = readers.read_turns(spark, sf_dir)
+    wanted = turns.where(F.length("text") >= 17).select("doc_key", F.lit("covered").alias("target"), F.lit(12).alias("length"), F.lit(7).alias("near"), hmac(F.concat(F.lit("cover\0"), F.substring("text", 6, 12)), KEY).alias("hmac"))
     return W.locate_by_hash(turns, ["doc_key"], wanted, KEY)
 
 
