@@ -104,3 +104,43 @@ def test_every_element_is_a_stored_record(spark, tmp_path):
     tied = {(r.sticker_id, r.node_id) for r in pages.l04_masked_ties(spark, str(tmp_path)).collect()}
     assert all((f"1:{n}", n) in tied for n in ids)
     assert pages.j15_drift(spark, str(tmp_path)).isEmpty()
+
+
+def test_big_table(spark):
+    """A page with a table of 5000 rows: every number and account is found, by the header of its column."""
+    rows = "".join(f"<tr><td>Row {i}</td><td>{4000000000 + i * 7919}</td><td>{100 + i % 500}-{10 + i % 89}-{1000 + i % 8999}</td></tr>" for i in range(5000))
+    page = spark.createDataFrame([(0, f"<table><tr><th>Name</th><th>Account number</th><th>SSN</th></tr>{rows}</table>")], "page_id long, html string")
+    found = {r["pattern"]: r["count"] for r in page_scan.scan(page).groupBy("pattern").count().collect()}
+    good = sum(1 for i in range(5000) if 100 + i % 500 != 666)
+    assert found["ssn"] == good and found["account"] == 5000
+
+
+def test_sql_functions(spark):
+    from veil.functions.sql import register_sql
+
+    names = register_sql(spark)
+    assert "veil_valid_card" in names
+    row = spark.sql("SELECT veil_valid_card('4111 1111 1111 1111') AS a, veil_valid_dob('04/18/1980', 2025) AS b, veil_normalize_label('cardNumber #2') AS c, veil_is_tracking('1Z999AA10123456784', '') AS d").first()
+    assert (row.a, row.b, row.c, row.d) == (True, True, "card number number", True)
+
+
+def test_equality_joins(spark):
+    """Scope rules by number and first segment, stars and double stars; frames by identity, the others as lists."""
+    from veil.operators import windows
+
+    rules = spark.createDataFrame([(i, "o", p) for i, p in enumerate(["/a/*", "/*/b", "/a/**", "/**", "/", "/a/b", "/b/**", "/*/**"])], "rule_id int, origin string, path_pattern string")
+    pages = spark.createDataFrame([(1, "o", "/a/b"), (2, "o", "/"), (3, "o", "/a/b/c"), (4, "p", "/a/b"), (5, "o", "/a")], "page_id int, origin string, path string")
+    found = {}
+    for r in windows.scope_join(pages, rules).collect():
+        found.setdefault(r.page_id, set()).add(r.rule_id)
+    from veil.functions.urls import matches_path
+
+    every = pages.crossJoin(rules.withColumnRenamed("origin", "o")).where("origin = o").where(matches_path(F.col("path_pattern"), F.col("path"))).collect()
+    want = {}
+    for r in every:
+        want.setdefault(r.page_id, set()).add(r.rule_id)
+    assert found == want and want[1] >= {0, 1, 2, 3, 5}
+    frames = spark.createDataFrame([(1, 0, "x"), (2, 1, "x"), (3, 1, "y")], "frame_id int, depth int, frame_hmac string")
+    asked = spark.createDataFrame([(7, 0, None), (8, 1, "x"), (9, 1, None)], "rule_id int, depth int, url_hmac string")
+    assert [(r.frame_id, r.rule_id) for r in windows.frame_join(frames, asked).collect()] == [(2, 8)]
+    assert {r.depth: r.rule_ids for r in windows.frame_rules(asked).collect()} == {0: [7], 1: [9]}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from ..functions.text import collapse, leaks, run_regex, tokens_of
+from ..functions.text import changed_run, collapse, leaks, run_regex, tokens_of
 
 #: Edits in one plan; more are applied in several passes.
 EDITS_MOST = 200
@@ -48,6 +50,19 @@ def mirror_attrs(attrs: Column, original: str, now: str) -> Column:
     return F.transform_values(attrs, one)
 
 
+_RUN = S.StructType([S.StructField("original", S.StringType()), S.StructField("now", S.StringType())])
+
+
+def changed_runs(before: Column | str, after: Column | str) -> Column:
+    """(original, now): what of a text changed in whole words, both null where only white space did; in Arrow batches."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [changed_run(x or "", y or "") or (None, None) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame(found, columns=["original", "now"])
+
+    return F.pandas_udf(run, _RUN)(before, after)
+
+
 def remaining(edited: DataFrame, original: str) -> DataFrame:
     """How many copies of an original are left."""
     return edited.agg(F.sum(F.regexp_count("edited", F.lit(run_regex(original)))).cast("long").alias("remaining"))
