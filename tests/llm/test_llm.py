@@ -547,6 +547,70 @@ def test_odd_rows(spark, rows):
         docs.count()
 
 
+def test_odd_rows_by_value(spark):
+    """What each operator gives for nulls, shared ids, repeated rows and a long word: rows count in the order of id (nulls first), then text."""
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    rows = sorted(((i is not None, i or 0, t or "") for i, t, *_ in ODD))
+    texts = [t for *_, t in rows]
+    same = lambda found, want: sorted(map(tuple, found), key=str) == sorted(map(tuple, want), key=str)
+    ids = [i if there else None for there, i, _ in rows]
+    found = token_counts.token_counts(docs).collect()
+    assert same([(r.doc_id, r.n_words) for r in found], [(i, len(brute.words(t))) for i, t in zip(ids, texts)]) and all((r.n_tokens > 0) == (r.n_words > 0) for r in found)
+    want = brute.windows_elsewhere(list(enumerate(texts)))
+    assert same(fm_dedup.fm_dedup(docs).collect(), [(ids[k], *v) for k, v in want.items()])
+    want = brute.strings_before(list(enumerate(texts)))
+    assert same(suffix_dedup.suffix_dedup(docs).collect(), [(ids[k], *v[:4]) for k, v in want.items()])
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokens = [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert same({(r.doc_id, r.doc_tokens) for r in packing.pack(docs).collect()}, set(zip(ids, tokens)))
+    classes = brute.jaccard_classes(list(enumerate(texts)))
+    found = ngram_join.ngram_join(docs).collect()
+    by_class = lambda pairs: sorted((len([1 for _, c in pairs if c == k])) for k in {c for _, c in pairs})
+    assert by_class([(r.key, r.class_key) for r in found]) == by_class([(k, v[0]) for k, v in classes.items()]) and all(r.n_links == 0 for r in found)
+    labels = spark.createDataFrame([(3, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    found = quality_rules.quality_rules(docs, labels).collect()
+    assert same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found], [(i, *brute.base_rules(t)) for i, t in zip(ids, texts)])
+    untrained = quality_rules.quality_rules(docs, labels.where("quality = 9")).collect()
+    assert all(r.kept == (not r.base_failed) for r in untrained)
+    found = edit_embedding.fingerprint_edits(docs).collect()
+    after = [*texts[1:], texts[0]]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, after)]
+    assert same([(r.doc_id, r.n_chars, r.edited_sha256) for r in found], [(i, len(t), brute.sha(e.encode())) for i, t, e in zip(ids, texts, edited)])
+    assert len({r.class_id for r in found}) == len(set(texts)) and len({r.fingerprint for r in found}) == len(set(texts))
+    assert same([(r.doc_id, r.size) for r in mixing.mix(docs).collect()], [(i, len(brute.words(t))) for i, t in zip(ids, texts)])
+    found = language_id.identify(docs).collect()
+    assert sum(r.lang_pred == "und" and r.score == 0 for r in found) == sum(not any(c.isalpha() for c in t) for t in texts)
+
+
+@pytest.mark.parametrize("module", [fm_dedup, suffix_dedup])
+def test_texts_above_a_slab(spark, module):
+    """A document longer than what is laid out for one round of vector work, with repeats across the seams."""
+    rng = random.Random(9)
+    words = [f"{rng.randrange(36**3):x}" for _ in range(560_000 if module is fm_dedup else 130_000)]
+    words[300_000 % len(words) : 300_000 % len(words) + 60] = words[100:160]
+    words[-80:] = words[524_200 % len(words) :][:80]
+    texts = [" ".join(words), " ".join(words[50:130])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    if module is fm_dedup:
+        want, found = brute.windows_elsewhere(list(enumerate(texts))), fm_dedup.fm_dedup(docs)
+    else:
+        want, found = {d: v[:4] for d, v in brute.strings_before(list(enumerate(texts))).items()}, suffix_dedup.suffix_dedup(docs)
+    assert len(texts[0]) > repeats.SLAB and {r.doc_id: tuple(r)[1:] for r in found.collect()} == want
+
+
+def test_walks_of_any_width(monkeypatch):
+    """Documents walked one by one, or many side by side, give the same."""
+    rng = random.Random(3)
+    texts = [edit_embedding._points("".join(rng.choice("abc de") for _ in range(n))) for n in (0, 1, 5, 300, 301, 2000)]
+    scores = [np.random.default_rng(n).normal(0, 3, (n, 3)).astype(np.float32) for n in (0, 1, 7, 40)]
+    wide = edit_embedding.Embedding().fingerprints(texts), [x.tolist() for x in language_id.viterbi(scores, 2.0)]
+    monkeypatch.setattr(edit_embedding, "MATRIX", 1)
+    monkeypatch.setattr(language_id, "MATRIX", 1)
+    assert (edit_embedding.Embedding().fingerprints(texts), [x.tolist() for x in language_id.viterbi(scores, 2.0)]) == wide
+
+
 def test_odd_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert chat_format.read_back(*chat_format.format_chats(empty)).count() == 0
