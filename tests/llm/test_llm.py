@@ -634,3 +634,55 @@ def test_pipeline(spark, texts, tmp_path):
     mixed = corpus_pipeline.mixing(spark, docs, "").groupBy("doc_id").count().collect()
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.taken}
     assert {r.doc_id: r["count"] for r in mixed if texts[r.doc_id].split()} == taken
+
+
+def plain_language(model, text, switch):
+    """Label and share of a text: words scored one by one, and a best path kept for each language."""
+    words = (text or "").encode().split()
+    letters = [sum(c.isalpha() for c in w.decode()) for w in words]
+    if not sum(letters):
+        return "und", 0.0
+    paths = None
+    for w in words:
+        own = model.scores(language_id.Words([w], model.buckets))[0].astype(float)
+        if paths is None:
+            paths = [(own[k], [k]) for k in range(len(own))]
+            continue
+        best = max(range(len(paths)), key=lambda k: paths[k][0])
+        paths = [(max(paths[k][0], paths[best][0] - switch) + own[k], (paths[k][1] if paths[k][0] >= paths[best][0] - switch else paths[best][1]) + [k]) for k in range(len(own))]
+    labels = max(paths, key=lambda p: p[0])[1]
+    by_lang = [sum(n for n, k in zip(letters, labels) if k == lang) for lang in range(len(model.langs))]
+    return model.langs[by_lang.index(max(by_lang))], max(by_lang) / sum(letters)
+
+
+def test_op9_plain_version(spark, docs, texts):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 1500")
+    model = language_id.fit(real.select("text", "lang"))
+    rows = {r.doc_id: r for r in language_id.language_spans(real.select("doc_id", "text"), model, ["doc_id"]).collect()}
+    for r in real.collect():
+        lang, share = plain_language(model, r.text, language_id.SWITCH)
+        assert rows[r.doc_id].lang_pred == lang and abs(rows[r.doc_id].score - share) < 1e-6
+        if rows[r.doc_id].spans:
+            assert rows[r.doc_id].spans[0].start == 0 and rows[r.doc_id].spans[-1].stop == len(r.text.split())
+
+
+def test_pipeline_from_end_to_end(spark, docs, texts, tmp_path):
+    """run() over a table against plain versions of its stages, one after another."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = sorted(r.doc_id for r in language_id.keep_identified(docs).collect())
+    classes = brute.jaccard_classes([(d, texts[d]) for d in kept])
+    kept = sorted({v[0] for v in classes.values()})
+    cut = {d: v[4].decode("utf-8", "ignore") for d, v in brute.strings_before([(d, texts[d]) for d in kept]).items()}
+    left = spark.createDataFrame([(d, t, f"s{d % 3}") for d, t in cut.items()], "doc_id long, text string, source string")
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for r in mixing.copies(mixing.sized(left)).collect():
+        ids = np.array([*tokenizer.encode(cut[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        for a in range(0, len(ids), packing.WINDOW):
+            want += [(r.doc_id, a, min(packing.WINDOW, len(ids) - a), zlib.crc32(ids[a : a + packing.WINDOW].tobytes()))] * r.copies
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
