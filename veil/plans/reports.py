@@ -12,7 +12,7 @@ from ..operators.teach import describe_units, derive_from_example, shape_of, str
 from ..operators.windows import token_hmacs
 from ..sources import readers
 from ..sources.readers import table
-from .detection import CARDS
+from .detection import CARDS, REDACTED
 from .registry import query
 from .texts import KEY, LINES
 
@@ -51,16 +51,18 @@ def a06_guarded_rows(spark, sf_dir):
     return stored.select("id", F.lit(True).alias("stored")).unionByName(dropped.select("id", F.lit(False).alias("stored")))
 
 
-@query("g01_redacted_is_clean", f"SELECT count(*) AS leaks FROM {LINES} WHERE false")
-def g01_redacted_is_clean(spark, sf_dir):
-    """How many redacted blocks still show something that looks like an identifier.
+# the leak patterns over the redacted text; this dialect's word boundary is that of ASCII, too
+_LEFT = rf"""(SELECT CASE WHEN regexp_matches(r, '\b[0-9]{{3}}[- ][0-9]{{2}}[- ][0-9]{{4}}\b') THEN 'ssn' WHEN regexp_matches(r, '\b[0-9]{{2}}-[0-9]{{7}}\b') THEN 'ein'
+    WHEN regexp_matches(r, '\b[0-9]{{9,}}\b') THEN 'long number' WHEN regexp_matches(r, '\b(?:[0-9][ -]?){{13,19}}\b') THEN 'card' END AS pattern FROM (SELECT {REDACTED} AS r FROM {LINES}))"""
+
 
-    The SQL states the aim, none; where redaction leaves any, this counts them and disagrees with it.
-    """
+@query("g01_redacted_is_clean", f"SELECT count(pattern) AS leaks FROM {_LEFT}")
+def g01_redacted_is_clean(spark, sf_dir):
+    """How many redacted blocks still show something that looks like an identifier: numbers that no detector accepts."""
     return redacted_leaks(readers.read_documents(spark, sf_dir)).agg(F.count("*").alias("leaks"))
 
 
-@query("g01_redacted_leaks")
+@query("g01_redacted_leaks", f"SELECT pattern, count(*) AS leaks FROM {_LEFT} WHERE pattern IS NOT NULL GROUP BY pattern")
 def g01_redacted_leaks(spark, sf_dir):
     """What redaction leaves, by leak pattern."""
     return redacted_leaks(readers.read_documents(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("leaks"))
