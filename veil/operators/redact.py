@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import WS
@@ -13,7 +13,7 @@ from .detectors import BUILTIN, YEAR, Detector
 from .matching import SPAN, merge_ranges
 
 BULLET = "•"
-ELEMENT_MOST = 2000
+ELEMENT_MOST, STICKERS_MOST = 2000, 200
 # Attributes that show text to a reader, and those that a token may stay in.
 SHOWN = ["title", "alt", "aria-label", "aria-description", "placeholder", "data-tooltip", "data-title"]
 IDENTITY = ["id", "class", "style", "name", "for", "type", "role", "href", "src", "tabindex", "data-key", "data-id", "data-row-id", "data-rowid", "data-uid", "data-record-id", "data-item-id", "key"]
@@ -54,6 +54,14 @@ def cover_ranges(text: Column, hits: Column) -> Column:
     return F.when(F.size(hits) == 0, F.array().cast(SPAN)).when(F.length(text) > ELEMENT_MOST, ranges_of(hits)).otherwise(all_of_it)
 
 
+def locked_cover(found: DataFrame, most: int = STICKERS_MOST) -> DataFrame:
+    """detect()'s rows with hits: how a locked page covers each, and whether it gets a record (the first ``most`` of a
+    document do; the rest is masked without one)."""
+    place = F.row_number().over(Window.partitionBy("doc_key").orderBy("block_id"))
+    cover = F.when(F.length("text") > ELEMENT_MOST, "range").otherwise("element")
+    return found.where(F.size("hits") > 0).select("doc_key", "block_id", cover.alias("cover"), (place <= most).alias("sticker"))
+
+
 def redact_detected(
     texts: DataFrame, sensitivity: str = "balanced", mode: str = "ranges", detectors: Iterable[Detector] = BUILTIN, as_of_year: int = YEAR
 ) -> DataFrame:

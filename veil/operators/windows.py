@@ -23,10 +23,16 @@ def small(df: DataFrame, most: int = SEND) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def newest(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
-    """The newest rows of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+def newest(df: DataFrame, keys: list[str], order: list[Column], most: int, place: str | None = None) -> DataFrame:
+    """The first ``most`` rows of each key in an order, such as the newest; place: a column for their number in it."""
+    name = place or "__place"
+    kept = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most)
+    return kept if place else kept.drop(name)
+
+
+def nearest(df: DataFrame, keys: list[str], far: Column, pick: str) -> DataFrame:
+    """(keys…, pick) of the row of each key that is least far, the lesser of equals: one aggregate, no sort."""
+    return df.groupBy(*keys).agg(F.min(F.struct(far.alias("far"), F.col(pick).alias(pick))).alias("x")).select(*keys, f"x.{pick}")
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str = "updated_at", removed: str = "removed") -> DataFrame:

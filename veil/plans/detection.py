@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import WS
 from ..operators import detectors as D
 from ..operators import redact as R
+from ..operators.audit import scan_stats
 from ..operators.detect import accepts, detect, exploded, find_matches, negatives, strength_points, suggestions, worth_scanning
 from ..operators.matching import SPAN, continues, match_all, merge_ranges
 from ..sources import readers
@@ -77,7 +77,7 @@ def d02_card_matches(spark, sf_dir):
     rf"SELECT doc_key, block_id, count(*) AS n FROM (SELECT doc_key, block_id, unnest(list_filter(string_split_regex(text, '[^0-9A-Za-z_-]+'), lambda t: regexp_matches(t, '^(?:0x)?[0-9a-f]{{8,}}$') AND regexp_matches(t, '[0-9]') AND regexp_matches(regexp_replace(t, '^0x', ''), '[a-f]'))) AS t FROM {LINES}) GROUP BY ALL",
 )
 def d03_hex_negatives(spark, sf_dir):
-    blocks = readers.read_documents(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
+    blocks = readers.read_documents(spark, sf_dir)
     negs = F.filter(negatives(), lambda n: n["name"] == "hex")
     return blocks.select("doc_key", "block_id", F.size(negs).cast("long").alias("n")).where("n > 0")
 
@@ -151,9 +151,9 @@ def d13_detect_blocks(spark, sf_dir):
 
 @query("d16_text_cap", f"SELECT doc_key, count(*) AS blocks, count(*) > 40 AS truncated, least(count(*), 40)::BIGINT AS scanned FROM {LINES} GROUP BY doc_key")
 def d16_text_cap(spark, sf_dir):
-    return readers.read_documents(spark, sf_dir).groupBy("doc_key").agg(
-        F.count("*").alias("blocks"), (F.count("*") > 40).alias("truncated"), F.least(F.count("*"), F.lit(40)).cast("long").alias("scanned")
-    )
+    blocks = readers.read_documents(spark, sf_dir)
+    stats = scan_stats(blocks, blocks.limit(0).select("doc_key"), cap=40)
+    return stats.select("doc_key", "blocks", "truncated", F.least("blocks", F.lit(40)).cast("long").alias("scanned"))
 
 
 _SUGGEST = hmac_sql("concat('suggest', chr(0), 'card|', doc_key, '/', block_id, '|')")
@@ -172,9 +172,7 @@ def d17_suggestions(spark, sf_dir):
 
 @query("d18_locked_cover", f"SELECT doc_key, block_id, CASE WHEN len(text) > 2000 THEN 'range' ELSE 'element' END AS cover, row_number() OVER (PARTITION BY doc_key ORDER BY block_id) <= 200 AS sticker FROM {LINES} WHERE len({CARDS}) > 0")
 def d18_locked_cover(spark, sf_dir):
-    found = detect(readers.read_documents(spark, sf_dir)).where(F.size("hits") > 0)
-    place = F.row_number().over(Window.partitionBy("doc_key").orderBy("block_id"))
-    return found.select("doc_key", "block_id", F.when(F.length("text") > R.ELEMENT_MOST, "range").otherwise("element").alias("cover"), (place <= 200).alias("sticker"))
+    return R.locked_cover(detect(readers.read_documents(spark, sf_dir)))
 
 
 @query("d19_switched_on", f"SELECT doc_key, block_id, 'email' AS pattern FROM {LINES} WHERE regexp_matches(text, '{_EMAIL}')")
@@ -186,9 +184,9 @@ def d19_switched_on(spark, sf_dir):
     return found.select("doc_key", "block_id", F.regexp_replace("pattern", "^catalog:", "").alias("pattern"))
 
 
-@query("d21_detector_of", f"SELECT doc_key, block_id, CASE WHEN len({CARDS}) > 0 THEN 'card' END AS pattern FROM {LINES} WHERE regexp_matches(text, '[0-9]')")
+@query("d21_detector_of", f"SELECT doc_key, block_id, CASE WHEN len({CARDS}) > 0 THEN 'card' END AS pattern FROM {LINES}")
 def d21_detector_of(spark, sf_dir):
-    found = find_matches(readers.read_documents(spark, sf_dir).where(F.col("text").rlike("[0-9]")), _HIGH)
+    found = find_matches(readers.read_documents(spark, sf_dir), _HIGH)
     return found.select("doc_key", "block_id", F.try_element_at("matches", F.lit(1))["pattern"].alias("pattern"))
 
 

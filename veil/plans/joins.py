@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -120,8 +119,7 @@ def j14_page_rects(spark, sf_dir):
 
 @query("w02_first_per_key", "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place FROM events) WHERE place <= 20")
 def w02_first_per_key(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", place.alias("place")).where("place <= 20")
+    return W.newest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 20, "place").select("user_id", "event_id", "place")
 
 
 @query("w03_newest_per_key", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
@@ -144,8 +142,7 @@ def w05_merge_intervals(spark, sf_dir):
 
 @query("w09_nearest", "SELECT l_orderkey, arg_min(l_linenumber, abs(l_partkey - l_suppkey) * 100 + l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
 def w09_nearest(spark, sf_dir):
-    nearest = F.min_by("l_linenumber", F.abs(F.col("l_partkey") - F.col("l_suppkey")) * 100 + F.col("l_linenumber"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(nearest.alias("l_linenumber"))
+    return W.nearest(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.abs(F.col("l_partkey") - F.col("l_suppkey")), "l_linenumber")
 
 
 @query("x02_minus", "SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")

@@ -35,15 +35,15 @@ def b02_block_text(spark, sf_dir):
 
 @query("b03_ranges_for")
 def b03_ranges_for(spark, sf_dir):
-    """The first twenty characters of every block as ranges of its text nodes."""
+    """Every block as ranges of its text nodes."""
     blocks = html.block_text(_pages(spark, sf_dir))
-    return blocks.select("page_id", "block_id", F.explode(P.ranges_for(F.col("segs"), F.lit(0), F.lit(20))).alias("r")).select("page_id", "block_id", "r.*")
+    return blocks.select("page_id", "block_id", F.explode(P.ranges_for(F.col("segs"), F.lit(0), F.length("text"))).alias("r")).select("page_id", "block_id", "r.*")
 
 
 @query("b04_target_for")
 def b04_target_for(spark, sf_dir):
     blocks = html.block_text(_pages(spark, sf_dir))
-    return blocks.select("page_id", "block_id", P.target_for(F.col("segs"), F.lit(0), F.lit(20), F.col("node_id")).alias("node_id"))
+    return blocks.select("page_id", "block_id", P.target_for(F.col("segs"), F.lit(0), F.length("text"), F.col("node_id")).alias("node_id"))
 
 
 @query("b07_identity_path")
