@@ -42,3 +42,18 @@ def test_records(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"v": 1, "origin": "https://a", "stickers": []}\n{"v": 2, "origin": "https://b"}\n')
     found = readers.read_records(spark, str(tmp_path / "r.json"))
     assert [r.origin for r in found.collect()] == ["https://a"] and found.select(F.size("stickers")).first()[0] == 0
+
+
+def test_fixed_letters_and_open_counts(spark):
+    """A format's own letters are quoted and bounded as words; a unit without an upper count is open."""
+    from veil.operators import teach
+
+    rows = [
+        ([("sep", "M", 1, 1), ("sep", "B", 1, 1), ("sep", "-", 1, 1), ("digit", None, 4, None)], r"\bMB-\d{4,}\b", '"MB", 4 or more digits'),
+        ([("upper", None, 1, None), ("sep", ".", 2, 2), ("sep", "7", 2, 2)], r"\b[A-Z]+(?:\.){2}7{2}\b", '1 or more letters, "77"'),
+        ([("any", None, 0, None), ("alnum", None, 2, 3)], r".*[A-Za-z0-9]{2,3}\b", "any number of characters, 2–3 letters or digits"),
+        ([("sep", "-", 1, 1)], "-", "separators only"),
+    ]
+    made = spark.createDataFrame([(u, r, d) for u, r, d in rows], f"units {teach.UNITS}, regex string, said string")
+    for r in made.select("regex", "said", teach.units_to_regex(made.units).alias("a"), teach.describe_units(made.units).alias("b")).collect():
+        assert (r.a, r.b) == (r.regex, r.said)

@@ -59,28 +59,51 @@ def _table(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def _literal(u: Column) -> Column:
+    """Is a unit a letter or digit that stands for itself, such as a format's fixed prefix?"""
+    return (u["cls"] == "sep") & u["lit"].rlike(r"^[\p{L}\p{N}]\z")
+
+
 def units_to_regex(units: Column) -> Column:
+    """Classes and literals with their counts; a unit without ``max`` is open. Word boundaries at alphanumeric ends."""
+
     def one(u: Column) -> Column:
         escaped = F.regexp_replace(u["lit"], r"([\\^$.*+?()\[\]{}|/])", r"\\$1")
-        lit = F.when(u["lit"] == " ", r"[  ]").when(u["lit"].rlike("[‐-―−]"), r"[-‐-―]").otherwise(escaped)
-        body = F.when(u["cls"] == "sep", lit).otherwise(_table(_CLASSES)[u["cls"]])
-        many = F.when((u["min"] == 1) & (u["max"] == 1), "").when(u["min"] == u["max"], F.concat(F.lit("{"), u["min"].cast("string"), F.lit("}")))
-        return F.concat(body, many.otherwise(F.concat(F.lit("{"), u["min"].cast("string"), F.lit(","), u["max"].cast("string"), F.lit("}"))))
-
-    edge = lambda u: F.when(u["cls"] != "sep", r"\b").otherwise("")
+        lit = F.when(u["lit"] == " ", r"[  ]").when(u["lit"].rlike("[‐-―−]"), r"[-‐-―]").otherwise(escaped)
+        once = (u["min"] == 1) & F.coalesce(u["max"] == 1, F.lit(False))
+        grouped = F.when(once | (F.length(lit) == 1) | lit.startswith("["), lit).otherwise(F.concat(F.lit("(?:"), lit, F.lit(")")))
+        body = F.when(u["cls"] == "sep", grouped).otherwise(_table(_CLASSES)[u["cls"]])
+        low, high = u["min"].cast("string"), u["max"].cast("string")
+        many = F.when(u["max"].isNull() & (u["min"] == 0), "*").when(u["max"].isNull() & (u["min"] == 1), "+").when(u["max"].isNull(), F.concat(F.lit("{"), low, F.lit(",}")))
+        many = many.when(once, "").when(u["min"] == u["max"], F.concat(F.lit("{"), low, F.lit("}")))
+        return F.concat(body, many.otherwise(F.concat(F.lit("{"), low, F.lit(","), high, F.lit("}"))))
+
+    edge = lambda u: F.when((~u["cls"].isin("sep", "any") | _literal(u)) & (u["min"] > 0), r"\b").otherwise("")
     whole = F.concat(edge(units[0]), F.array_join(F.transform(units, one), ""), edge(F.element_at(units, -1)))
     return F.when(F.size(units) > 0, whole).otherwise("")
 
 
 def describe_units(units: Column) -> Column:
-    def one(u: Column) -> Column:
+    """In words: counts of each class in order, fixed letters and digits in quotes."""
+
+    def counted(u: Column) -> Column:
         noun = _table(_NOUNS)[u["cls"]]
         many = F.when(u["cls"] == "alnum", "letters or digits").otherwise(F.concat(noun, F.lit("s")))
-        count = F.when(u["min"] == u["max"], u["min"].cast("string")).otherwise(F.concat(u["min"].cast("string"), F.lit("–"), u["max"].cast("string")))
-        return F.concat(count, F.lit(" "), F.when((u["min"] == 1) & (u["max"] == 1), noun).otherwise(many))
+        low, high = u["min"].cast("string"), u["max"].cast("string")
+        open_ = F.when(u["min"] == 0, F.concat(F.lit("any number of "), many)).otherwise(F.concat(low, F.lit(" or more "), many))
+        closed = F.when(u["min"] == u["max"], F.concat(low, F.lit(" "), F.when(u["min"] == 1, noun).otherwise(many)))
+        return F.when(u["max"].isNull(), open_).otherwise(closed.otherwise(F.concat(low, F.lit("–"), high, F.lit(" "), many)))
 
-    body = F.filter(units, lambda u: u["cls"] != "sep")
-    return F.when(F.size(body) > 0, F.array_join(F.transform(body, one), ", ")).otherwise("separators only")
+    def said(acc: Column) -> Column:
+        return F.when(acc["fixed"] != "", F.array_append(acc["parts"], F.concat(F.lit('"'), acc["fixed"], F.lit('"')))).otherwise(acc["parts"])
+
+    def step(acc: Column, u: Column) -> Column:
+        parts = F.when(_literal(u), acc["parts"]).when(u["cls"] == "sep", said(acc)).otherwise(F.array_append(said(acc), counted(u)))
+        fixed = F.when(_literal(u), F.concat(acc["fixed"], F.repeat(u["lit"], u["min"]))).otherwise("")
+        return F.struct(parts.alias("parts"), fixed.alias("fixed"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("fixed"))
+    return F.aggregate(units, start, step, lambda acc: F.when(F.size(said(acc)) > 0, F.array_join(said(acc), ", ")).otherwise("separators only"))
 
 
 def strength_of(units: Column) -> Column:
