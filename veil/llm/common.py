@@ -65,6 +65,19 @@ def range_of(key: Column, firsts: Column, n: int) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(firsts, at + s) <= key, at + s).otherwise(at))
 
 
+def join_copies(rows: DataFrame, groups: DataFrame, on: list[str], times: str) -> DataFrame:
+    """rows joined with their group: ``groups`` has one row for each key that occurs, and how many rows have it.
+
+    Groups of more than a partition's share of all rows are at most as many as there are partitions. They are
+    broadcast, so that no task gets all rows of one; the others are joined by a shuffle.
+    """
+    n = parts(rows.sparkSession)
+    share = max(1, (groups.agg(F.sum(times)).first()[0] or 0) // n)
+    hot = F.broadcast(groups.where(F.col(times) > share))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(times) <= share), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 #: Rows of one Arrow batch; texts are long, and a worker keeps the memory of its largest batch.
 BATCH_ROWS = 500
 

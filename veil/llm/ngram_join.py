@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import cut, flat, keyed, keyed_rows, parts, table
+from .common import cut, flat, join_copies, keyed, keyed_rows, parts, table
 from .components import components
 from .repeats import _whole, word_bounds, word_symbols
 
@@ -206,7 +206,7 @@ def join_keyed(keyed_docs: DataFrame, gram: int = GRAM, similarity: float = SIMI
     bands = bands_for(recall, similarity, rows)
     base = keyed_docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = cut(base.mapInArrow(partial(_signatures, gram, rows, bands), "key long, doc_id long, n long, d1 long, d2 long, bands array<long>"))
-    copies = cut(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("copy_key")))
+    copies = cut(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("copy_key"), F.count("*").alias("copies")))
     firsts = signed.join(copies.select(F.col("copy_key").alias("key")), "key", "left_semi").select("key", "n", "bands")
     banded = cut(firsts.select("key", "n", F.posexplode("bands").alias("band", "bucket")))
     # buckets with the same members as one of an earlier band bring nothing new
@@ -240,9 +240,13 @@ def join_keyed(keyed_docs: DataFrame, gram: int = GRAM, similarity: float = SIMI
     )
     links = met.groupBy("key").agg(F.sum("links").alias("n_links")).withColumnRenamed("key", "l_key")
     roots = components(met.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
-    found = signed.drop("bands").join(copies, ["d1", "d2", "n"], "left").withColumn("copy_key", F.coalesce("copy_key", "key"))
-    found = found.join(links, F.col("copy_key") == F.col("l_key"), "left").join(roots, F.col("copy_key") == F.col("node"), "left")
-    return found.select("key", "doc_id", F.coalesce("root", "copy_key").alias("class_key"), "copy_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # what is known of each set, one row for each; then every document gets that of its set
+    sets = cut(copies.join(links, F.col("copy_key") == F.col("l_key"), "left").join(roots, F.col("copy_key") == F.col("node"), "left"))
+    sets = sets.select("d1", "d2", "n", "copies", "copy_key", F.coalesce("root", "copy_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    columns = ["key", "doc_id", "class_key", "copy_key", "n_links"]
+    found = join_copies(signed.where("n > 0").drop("bands"), sets, ["d1", "d2", "n"], "copies").select(*columns)
+    alone = signed.where("n = 0").select("key", "doc_id", F.col("key").alias("class_key"), F.col("key").alias("copy_key"), F.lit(0).cast("long").alias("n_links"))
+    return found.unionByName(alone)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
