@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, parts, range_of, table
+from .common import cut, join_copies, keyed, parts, range_of, table
 from .components import components
 from .windows import mix
 
@@ -394,8 +394,8 @@ def near_classes(keyed_docs: DataFrame, near: float = NEAR) -> DataFrame:
     sides = dealt.join(prints.select("key", "level", "steps", "symbols"), "key").repartition(n, "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "key")
     edges = sides.mapInArrow(partial(_verify, near), "a long, b long")
     roots = components(edges)
-    members = prints.join(copies.where("copies > 1"), ["d1", "d2"], "left").select("key", F.coalesce("copy_key", "key").alias("copy_key"))
-    found = members.join(roots, F.col("copy_key") == F.col("node"), "left").select("key", F.coalesce("root", "copy_key").alias("class_key"))
+    texts = cut(copies.join(roots, F.col("copy_key") == F.col("node"), "left").select("d1", "d2", "copies", F.coalesce("root", "copy_key").alias("class_key")))
+    found = join_copies(prints.select("key", "d1", "d2"), texts, ["d1", "d2"], "copies").select("key", "class_key")
     return cut(found.where("key <> class_key"))
 
 
