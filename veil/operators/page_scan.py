@@ -53,12 +53,14 @@ def _graded(rows: DataFrame, detectors: list[Detector]) -> DataFrame:
     size = F.col("end") - F.col("start")
     whole = F.col("node_id") == F.col("block_node")
     own = F.when(whole, F.col("text")).otherwise(F.coalesce("el.content", "text"))
-    kinds = input_kinds(F.col("el.attrs"))
+    # most elements have no attributes: nothing is looked up in them then
+    dressed = F.size("el.attrs") > 0
+    kinds = F.when(dressed, input_kinds(F.col("el.attrs"))).otherwise(F.array().cast("array<string>"))
     said = rows.select(
         "*",
         F.when(F.length(own) <= 3 * size + 40, normalize_label(F.replace(own, F.col("match"), F.lit(" ")))).alias("own"),
         F.when(F.col("is_input"), F.array_union(kinds, label_kinds(F.col("el.label")))).otherwise(kinds).alias("kinds"),
-        F.transform(F.array(*map(F.lit, NAMING_ATTRIBUTES)), lambda a: normalize_label(F.try_element_at(F.col("el.attrs"), a))).alias("attributes"),
+        F.when(dressed, F.transform(F.array(*map(F.lit, NAMING_ATTRIBUTES)), lambda a: normalize_label(F.try_element_at(F.col("el.attrs"), a)))).otherwise(F.array().cast("array<string>")).alias("attributes"),
         normalize_label(F.col("el.label")).alias("own_label"),
         F.when(~whole, normalize_label(F.col("block_el.label"))).alias("block_label"),
         F.expr(label_sql(around("text", "start", "end"))).alias("beside"),

@@ -294,7 +294,10 @@ def _scanned(digits: bool):
 def scanned(pages: DataFrame, digits: bool = True) -> DataFrame:
     """pages (page_id, html) to SCANNED, by one parse."""
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
-    return spread(given).mapInArrow(_scanned(digits), SCANNED)
+    # the blocks of few pages are dealt out again, so that one large page does not keep a single core busy
+    dealt = spread(given)
+    rows = dealt.mapInArrow(_scanned(digits), SCANNED)
+    return rows if dealt is given else rows.repartition(given.sparkSession.sparkContext.defaultParallelism)
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
