@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing
+from . import chat_format, lexical_search, mixing
 from .chat_format import op10_chat_format
 from .edit_embedding import op7_edit_embedding
 from .fm_dedup import op2_fm_dedup
 from .language_id import op9_language_id
+from .lexical_search import op11_maxscore
 from .mixing import op8_mix
 from .ngram_join import op5_ngram_join
 from .packing import op4_pack
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_maxscore": op11_maxscore,
 }
 
 ORACLES = {
     "op8_mix": mixing.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "op11_maxscore": lexical_search.ORACLE_SQL,
 }
