@@ -15,6 +15,7 @@ from .prefix_trie import op13_prefix_trie
 from .quality_rules import op6_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op1_token_counts
+from .token_output import op12_wavelet_output
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
     "op11_maxscore": op11_maxscore,
+    "op12_wavelet_output": op12_wavelet_output,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
