@@ -46,24 +46,28 @@ def bands_for(recall: float = RECALL, similarity: float = SIMILARITY, rows: int
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int):
-    """Distinct hashed n-grams of each text, sorted: (hashes, offsets)."""
+def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, twice: bool = False):
+    """Distinct hashed n-grams of each text, sorted: (hashes, offsets); twice: and hashes of an independent family, in that order."""
     a, b, first, last = word_bounds(data, starts, ends)
-    symbols = word_symbols(data, a, b)
     n = last - first
     runs = np.where(n >= gram, n - gram + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), runs)
     at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs)
-    value = np.zeros(len(doc), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(gram):
-            inside = at + j < last[doc]
-            value[inside] = W.mix(value[inside] * np.uint64(0x100000001B3) + symbols[at[inside] + j])
+
+    def hashed(family: int) -> np.ndarray:
+        symbols, value = word_symbols(data, a, b, family), np.zeros(len(doc), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(gram):
+                inside = at + j < last[doc]
+                value[inside] = W.mix(value[inside] * np.uint64(0x100000001B3) + symbols[at[inside] + j])
+        return value
+
+    value = hashed(0)
     order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
-    new = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
-    value, doc = value[new], doc[new]
-    return value, np.searchsorted(doc, np.arange(len(n) + 1))
+    value, of = value[order], doc[order]
+    new = np.append(True, (value[1:] != value[:-1]) | (of[1:] != of[:-1]))[: len(of)]
+    offsets = np.searchsorted(of[new], np.arange(len(n) + 1))
+    return (value[new], offsets, hashed(1)[order][new]) if twice else (value[new], offsets)
 
 
 def _signatures(gram: int, rows: int, bands: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +79,7 @@ def _signatures(gram: int, rows: int, bands: int, batches: Iterator[pa.RecordBat
         data, starts, ends = flat(batch.column("text"))
         for group in _whole(starts, ends):
             lo, hi = starts[group[0]], ends[group[-1]]
-            value, offsets = shingle_sets(data[lo:hi], starts[group] - lo, ends[group] - lo, gram)
+            value, offsets, other = shingle_sets(data[lo:hi], starts[group] - lo, ends[group] - lo, gram, True)
             count = np.diff(offsets)
             full = np.flatnonzero(count)
             out = np.zeros((len(group), bands), np.uint64)
@@ -83,8 +87,8 @@ def _signatures(gram: int, rows: int, bands: int, batches: Iterator[pa.RecordBat
             if len(full):
                 at = offsets[:-1][full]
                 with np.errstate(over="ignore"):
-                    for k in range(2):
-                        digest[full, k] = np.add.reduceat(W.mix(value + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)), at)
+                    for k, hashes in enumerate((value, other)):
+                        digest[full, k] = np.add.reduceat(W.mix(hashes + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)), at)
                     for band in range(bands):
                         mixed = np.zeros(len(full), np.uint64)
                         for r in range(band * rows, (band + 1) * rows):

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,9 @@ _SLICE = "m long, key long, start long, runs int, content binary"
 _FLAG = "key long, start long, runs long"
 
 REPEAT, INDEX, HEAVY = 0, 1, 2
+#: Bytes of a word that is hashed as a polynomial, and the families' bases.
+LONG = 64
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Stands for the content of a super-window that is known to repeat.
 SETTLED = np.iinfo(np.int64).min
 
@@ -56,18 +60,28 @@ def word_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return a, b, np.searchsorted(a, starts), np.searchsorted(a, ends)
 
 
-def word_symbols(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
+def word_symbols(data: np.ndarray, a: np.ndarray, b: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, the same wherever the word stands; families 0 and 1 are independent.
+
+    Words of up to LONG bytes are polynomials modulo 2^64, which tell all words of that length apart but by chance; in longer words
+    they fail on self-similar ones, so these are digests.
+    """
     u = np.uint64
     with np.errstate(over="ignore"):
-        base = u(0x9E3779B97F4A7C15) | u(1)
+        base = u(_BASES[family])
         inverse = u(pow(int(base), -1, 1 << 64))
         n = len(data) + 1
         up, down = np.full(n, base), np.full(n, inverse)
         up[0] = down[0] = 1
         up, down = np.cumprod(up, dtype=u), np.cumprod(down, dtype=u)
-        total = np.concatenate([np.zeros(1, u), np.cumsum(W.byte_symbols(data) * up[:-1], dtype=u)])
-        return W.mix((total[b] - total[a]) * down[a] + (b - a).astype(u))
+        total = np.concatenate([np.zeros(1, u), np.cumsum(W.byte_symbols(data, family) * up[:-1], dtype=u)])
+        out = W.mix((total[b] - total[a]) * down[a] + (b - a).astype(u))
+    long = np.flatnonzero(b - a > LONG)
+    if len(long):
+        raw = data.tobytes()
+        digests = [hashlib.blake2b(raw[x:y], digest_size=8, person=bytes([family])).digest() for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(digests), "<u8")
+    return out
 
 
 def _anchors(unit: str, size: int, gram: int, first_too: bool):
@@ -76,7 +90,8 @@ def _anchors(unit: str, size: int, gram: int, first_too: bool):
     Of equal super-windows in a batch only the first goes to the shuffle by minimizer; the others are
     known repeats (content SETTLED), dealt by their document, so that no frequent content piles up.
     A batch may hold parts of documents, with their ``first`` place.  Where gram is size, every
-    window is its own super-window, and its content is hashed apart from its minimizer.
+    window is its own super-window.  Words' minimizers and contents are of independent families of hashes; so are those of bytes
+    where every window is its own super-window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +100,10 @@ def _anchors(unit: str, size: int, gram: int, first_too: bool):
             data, starts, ends = flat(batch.column("text"))
             begin = batch.column("first").to_numpy(zero_copy_only=False) if "first" in batch.schema.names else np.zeros(len(keys), np.int64)
             found = []
-            for which, symbols, s, e, shift in _pieces(unit, data, starts, ends, size):
-                doc, start, runs, m, h = W.super_windows(symbols, s, e, size, gram)
-                if gram == size:
-                    h = W.super_windows(W.mix(symbols ^ np.uint64(0xD1342543DE82EF95)), s, e, size, gram)[3]
+            for which, symbols, others, s, e, shift in _pieces(unit, data, starts, ends, size):
+                if others is None and gram == size:
+                    others = W.mix(symbols ^ np.uint64(0xD1342543DE82EF95))
+                doc, start, runs, m, h = W.super_windows(symbols, s, e, size, gram, others)
                 found.append((m, h, keys[which[doc]], W.pack(begin[which[doc]] + start + shift[doc], runs)))
             if not found:
                 continue
@@ -123,24 +138,25 @@ def _joined(key: np.ndarray, place: np.ndarray):
 
 
 def _pieces(unit: str, data, starts, ends, size):
-    """(document of each piece, symbols, starts, ends, symbols of the document before the piece)."""
+    """(document of each piece, symbols, those of another family for words, starts, ends, symbols of the document before the piece)."""
     if unit == "byte":
         for slab in slabs(starts, ends, SLAB, size - 1):
             which, a, b = (np.array(x) for x in zip(*slab, strict=True))
             length = b - a
             e = np.cumsum(length)
             symbols = W.byte_symbols(np.concatenate([data[x:y] for x, y in zip(a, b, strict=True)]))
-            yield which, symbols, e - length, e, a - starts[which]
+            yield which, symbols, None, e - length, e, a - starts[which]
         return
     for group in _whole(starts, ends):
         lo, hi = starts[group[0]], ends[group[-1]]
         a, b, first, last = word_bounds(data[lo:hi], starts[group] - lo, ends[group] - lo)
-        symbols = word_symbols(data[lo:hi], a, b)
+        families = [word_symbols(data[lo:hi], a, b, family) for family in (0, 1)]
         for slab in slabs(first, last, SLAB, size - 1):
             which, x, y = (np.array(v) for v in zip(*slab, strict=True))
             length = y - x
             e = np.cumsum(length)
-            yield group[which], np.concatenate([symbols[p:q] for p, q in zip(x, y, strict=True)]), e - length, e, x - first[which]
+            symbols, others = (np.concatenate([f[p:q] for p, q in zip(x, y, strict=True)]) for f in families)
+            yield group[which], symbols, others, e - length, e, x - first[which]
 
 
 def _whole(starts, ends):

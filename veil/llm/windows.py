@@ -60,10 +60,11 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def super_windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gram: int):
+def super_windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gram: int, contents: np.ndarray | None = None):
     """Cut the windows of some documents, laid end to end, into super-windows.
 
-    symbols: uint64 hash of each symbol; starts, ends: each document's range in it.
+    symbols: uint64 hash of each symbol, of which minimizers are made; starts, ends: each document's range in it;
+    contents: an independent hash of each symbol for the content hash, else the same.
     Returns arrays (document index, start within the document, number of windows, minimizer, content hash);
     documents shorter than ``size`` give none.
     """
@@ -72,11 +73,11 @@ def super_windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, siz
     if n < size:
         return none, none, none, none, none
     with np.errstate(over="ignore"):
-        h = _rolling(symbols, {gram, size})
+        h = _rolling(symbols, {gram, size} if contents is None else {gram})
         grams = mix(h[gram])
         least = _sliding_min(grams, size - gram + 1)
         m = n - size + 1
-        whole = h[size]
+        whole = h[size] if contents is None else _rolling(contents, {size})[size]
         doc = np.repeat(np.arange(len(starts)), ends - starts)[:m]
         valid = np.arange(m) + size <= ends[doc]
         new = np.empty(m, bool)
@@ -105,7 +106,7 @@ def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pos >> _RUN_BITS, pos & ((1 << _RUN_BITS) - 1)
 
 
-def byte_symbols(raw: np.ndarray) -> np.ndarray:
-    """A fixed random 64-bit value for each byte."""
+def byte_symbols(raw: np.ndarray, family: int = 0) -> np.ndarray:
+    """A fixed random 64-bit value for each byte, another in each family."""
     with np.errstate(over="ignore"):
-        return mix((np.arange(256, dtype=_U) + _U(1)) * _U(0xA0761D6478BD642F))[raw]
+        return mix((np.arange(256, dtype=_U) + _U(1 + 256 * family)) * _U(0xA0761D6478BD642F))[raw]
