@@ -1,12 +1,16 @@
 """Redaction, spans, edits and shapes on literal cases."""
 
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from veil.functions import text as T
 from veil.functions import urls as U
-from veil.operators import edits, redact, teach
+from veil.operators import edits, redact, teach, windows
 from veil.operators.detect import detect, exploded
-from veil.operators.matching import SPAN, match_all
+from veil.operators.matching import SPAN, match_all, merge_ranges
 from veil.plans import reports
 
 
@@ -104,3 +108,89 @@ def test_catalogue_matches_of_a_long_block(spark):
     assert "@" not in out["many"].redacted + out["far"].redacted
     bound = {r.doc_key: r.n for r in find_matches(df, email, limited=True).select("doc_key", F.size("matches").alias("n")).collect()}
     assert bound == {"many": 500, "far": 0}
+
+
+def _plain_merge(ranges, n):
+    out = []
+    for a, b in sorted((max(a, 0), min(b, n)) for a, b in ranges):
+        if a >= b:
+            continue
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def test_merging_and_redaction_as_plain(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(150):
+        text = "".join(rng.choice("ab 😀\n") for _ in range(rng.choice([0, 5, 60, 900])))
+        rows.append((text, [(a := rng.randint(-5, len(text) + 5), a + rng.randint(-2, 12)) for _ in range(rng.choice([0, 1, 4, 40]))]))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, r array<struct<start: int, end: int>>")
+    got = {x.i: x for x in df.select("i", merge_ranges(F.col("r"), F.length("text")).alias("m"), redact.redact_ranges(F.col("text"), F.col("r")).alias("t")).collect()}
+    for i, (text, ranges) in enumerate(rows):
+        want = _plain_merge(ranges, len(text))
+        assert [list(x) for x in got[i].m] == want
+        hidden = list(text)
+        for a, b in want:
+            hidden[a:b] = [c if c.isspace() else "•" for c in hidden[a:b]]
+        assert got[i].t == "".join(hidden)
+
+
+def test_snapping_as_plain(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(120):
+        text = "".join(rng.choice("abc  \n") for _ in range(rng.choice([1, 8, 60, 700])))
+        ranges = sorted((a := rng.randrange(len(text)), min(len(text), a + rng.randint(1, 6))) for _ in range(rng.choice([1, 3, 30])))
+        rows.append((text, ranges))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, r array<struct<start: int, end: int>>")
+    got = {x.i: [tuple(y) for y in x.s] for x in df.select("i", redact.snap_to_tokens(F.col("text"), F.col("r")).alias("s")).collect()}
+    for i, (text, ranges) in enumerate(rows):
+        grown = []
+        for a, b in ranges:
+            while a > 0 and not text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and not text[b].isspace():
+                b += 1
+            grown.append((a, b))
+        want = []
+        for a, b in sorted(grown):
+            if want and (a <= want[-1][1] or text[want[-1][1] : a].isspace()):
+                want[-1] = (want[-1][0], max(want[-1][1], b))
+            else:
+                want.append((a, b))
+        assert got[i] == want, (text, ranges)
+
+
+def test_locate_exact_as_plain(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("ab .\\E") for _ in range(rng.choice([3, 40, 300]))), "".join(rng.choice("ab.\\E") for _ in range(rng.randint(1, 3))), rng.randint(0, 80)) for i in range(200)]
+    rows += [(900, "aaaa", "aa", 2), (901, "abc", " ", 0), (902, "é😀é😀", "😀", 9), (903, "", "a", 0)]
+    got = {r.i: r["at"] for r in windows.locate_exact(spark.createDataFrame(rows, "i int, text string, needle string, near int"), ["i"]).collect()}
+    want = {}
+    for i, text, needle, near in rows:
+        bare, find = text.replace(" ", ""), needle.replace(" ", "")
+        at = [k for k in range(len(bare) - len(find) + 1) if find and bare.startswith(find, k)]
+        if at:
+            want[i] = min(at, key=lambda k: (abs(k - near), k))
+    assert got == want
+
+
+def _redacted_in(spark, n):
+    text = " ".join(f"tel 555-010-{1000 + i % 9000} card 4111 1111 1111 1111, SSN 123-45-{1000 + i % 9000}." for i in range(n))
+    df = spark.createDataFrame([("d", 0, text)], "doc_key string, block_id int, text string")
+    began = time.time()
+    row = redact.redact_detected(df).first()
+    return text, row, time.time() - began
+
+
+def test_long_blocks_take_time_in_proportion(spark):
+    """Ten thousand matches and look-alikes in one line: every one is right, and twice as many take about twice as long."""
+    _redacted_in(spark, 50)
+    _, _, once = _redacted_in(spark, 2500)
+    text, row, twice = _redacted_in(spark, 5000)
+    assert row.n_hits == 10_000 and row.redacted == re.sub(r"4111 1111 1111 1111|123-45-\d{4}", lambda m: re.sub(r"\S", "•", m[0]), text)
+    assert twice < 3 * once + 2

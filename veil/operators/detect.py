@@ -11,12 +11,14 @@ from ..functions import text as T
 from ..functions.dialect import let, quoted
 from ..functions.identity import identity
 from .detectors import BUILTIN, EXEMPT, NEGATIVES, YEAR, Detector
-from .matching import around, continues, matches_sql
+from .matching import around, continues, count_below, matches_sql, part, pieces
 
 POINTS = {"high": 3, "medium": 2, "low": 1}
 #: Where it is asked for, a user's pattern sees so much of a block and gives so many matches.
 TEXT_MOST, MATCHES_MOST = 50_000, 500
 SUGGESTIONS_MOST = 200
+#: Pairs of matches and look-alikes of a block that are compared one by one.
+PAIRS_MOST = 4096
 
 HITS = "array<struct<pattern: string, name: string, strength: string, bonus: int, score: int, ord: int, start: int, end: int>>"
 
@@ -87,20 +89,30 @@ def facts(detectors: list[Detector]) -> str:
 
 
 def standing(detectors: list[Detector], text: str = "text") -> Column:
-    """The column ``found`` without what goes on or is vetoed (``negs``). Catalogue's and users' are not vetoed by look-alikes."""
+    """The column ``found`` without what goes on or is vetoed (``negs``). Catalogue's and users' are not vetoed by look-alikes.
+
+    Look-alikes of one name never overlap one another, so where there are many the last that begins before a match's
+    end is searched, of each name.
+    """
     asked = [i for i, d in enumerate(detectors) if d.asked]
     catalog = [i for i, d in enumerate(detectors) if d.catalog]
-    tests = [f"not {continues(text, 'm.start', 'm.end')}"]
+    tests = [f"not {continues(text, 'm.start', 'm.end', 'p')}"]
     if catalog:
-        tests.append(f"(m.ord not in ({', '.join(map(str, catalog))}) or not {T.is_tracking('m.text', f'substring({text}, 1, m.start)')})")
+        tests.append(f"(m.ord not in ({', '.join(map(str, catalog))}) or not {T.is_tracking('m.text', part('p', 'greatest(m.start - 40, 0)', 'least(m.start, 40)'))})")
+    kept = f"filter(found, m -> {' and '.join(tests)})"
     if len(asked) < len(detectors):
-        veto = "n.start < m.end and n.end > m.start"
-        for name, ids in EXEMPT.items():
-            if places := [i for i, d in enumerate(detectors) if d.id in ids]:
-                veto += f" and not (n.name = '{name}' and m.ord in ({', '.join(map(str, places))}))"
         free = f"m.ord in ({', '.join(map(str, asked))}) or " if asked else ""
-        tests.append(f"({free}not exists(negs, n -> {veto}))")
-    return F.expr(f"filter(found, m -> {' and '.join(tests)})")
+        exempt = {name: ", ".join(str(i) for i, d in enumerate(detectors) if d.id in ids) for name, ids in EXEMPT.items()}
+        met = "n.start < m.end and n.end > m.start" + "".join(f" and not (n.name = '{name}' and m.ord in ({places}))" for name, places in exempt.items() if places)
+        plain = f"filter(kept, m -> {free}not exists(negs, n -> {met}))"
+        by_name = ", ".join(f"'{name}', filter(negs, n -> n.name = '{name}')" for name in NEGATIVES)
+        starts = ", ".join(f"'{name}', z.{name}.start" for name in NEGATIVES)
+        hit = lambda name: let(count_below(f"s.{name}", "m.end"), "k", f"k > 0 and z.{name}[k - 1].end > m.start")
+        of_name = lambda name: f"({hit(name)}{f' and m.ord not in ({exempt[name]})' if exempt.get(name) else ''})"
+        searched = f"filter(kept, m -> {free}not ({' or '.join(map(of_name, NEGATIVES))}))"
+        many = let(f"named_struct({by_name})", "z", let(f"named_struct({starts})", "s", searched))
+        kept = let(kept, "kept", f"if(size(kept) * size(negs) <= {PAIRS_MOST}, {plain}, {many})")
+    return F.expr(let(pieces(text), "p", kept))
 
 
 def with_matches(texts: DataFrame, detectors: list[Detector], enough: Column, as_of_year: int = YEAR, text: str = "text", limited: bool = False) -> DataFrame:
@@ -132,13 +144,13 @@ def hits_of(detectors: list[Detector], sensitivity: str) -> Column:
 
     Label evidence is 3 in a short block, 1 nearby, else 0.
     """
-    rest = "concat(substring(text, 1, m.start), ' ', substring(text, m.end + 1, length(text)))"
-    said = f"named_struct('own', if(length(text) <= 3 * (m.end - m.start) + 40, {T.label_sql(rest)}, null), 'near', {T.label_sql(around('text', 'm.start', 'm.end'))})"
+    rest = "concat(substring(text, 1, m.start), ' ', substring(text, m.end + 1, x.n))"
+    said = f"named_struct('own', if(x.n <= 3 * (m.end - m.start) + 40, {T.label_sql(rest)}, null), 'near', {T.label_sql(around('text', 'm.start', 'm.end', p='x.p'))})"
     bonus = by_detector(detectors, "m.ord", lambda d: f"case when {named(d, 's.own')} then 3 when {named(d, 's.near')} then 1 else 0 end" if d.naming else "0", "0")
     graded = f"transform(found, m -> named_struct('m', m, 'bonus', {let(said, 's', bonus)}, 'fact', {facts(detectors)}[m.ord]))"
     least = f"array({', '.join(str(least_bonus(d, sensitivity)) for d in detectors)})"
     hit = "named_struct('pattern', g.fact.pattern, 'name', g.fact.name, 'strength', g.fact.strength, 'bonus', g.bonus, 'score', g.bonus + g.fact.points, 'ord', g.m.ord, 'start', g.m.start, 'end', g.m.end)"
-    return F.expr(f"transform(filter({graded}, g -> g.bonus >= {least}[g.m.ord]), g -> {hit})")
+    return F.expr(let(f"named_struct('p', {pieces('text')}, 'n', length(text))", "x", f"transform(filter({graded}, g -> g.bonus >= {least}[g.m.ord]), g -> {hit})"))
 
 
 def detect(

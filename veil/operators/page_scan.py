@@ -7,13 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import quoted
+from ..functions.dialect import let, quoted
 from ..functions.text import NAMING_ATTRIBUTES, input_kinds, label_kinds, label_sql, normalize_label
 from ..functions.validators import digits
 from ..sources import html
 from .detect import by_detector, facts, least_bonus, named, with_matches, worth_scanning
 from .detectors import BUILTIN, HIGH_IDS, YEAR, Detector
-from .matching import around
+from .matching import around, pieces
 
 KEY_ATTRIBUTES = ["data-key", "data-id", "data-row-id", "data-rowid", "data-uid", "data-record-id", "data-item-id", "key"]
 
@@ -52,7 +52,7 @@ def _graded(rows: DataFrame, detectors: list[Detector]) -> DataFrame:
     """
     size = F.col("end") - F.col("start")
     whole = F.col("node_id") == F.col("block_node")
-    own = F.when(whole, F.col("text")).otherwise(F.coalesce("el.content", "text"))
+    own = F.when(whole, F.col("short")).otherwise(F.coalesce("el.content", "short"))
     # most elements have no attributes: nothing is looked up in them then
     dressed = F.size("el.attrs") > 0
     kinds = F.when(dressed, input_kinds(F.col("el.attrs"))).otherwise(F.array().cast("array<string>"))
@@ -63,7 +63,7 @@ def _graded(rows: DataFrame, detectors: list[Detector]) -> DataFrame:
         F.when(dressed, F.transform(F.array(*map(F.lit, NAMING_ATTRIBUTES)), lambda a: normalize_label(F.try_element_at(F.col("el.attrs"), a)))).otherwise(F.array().cast("array<string>")).alias("attributes"),
         normalize_label(F.col("el.label")).alias("own_label"),
         F.when(~whole, normalize_label(F.col("block_el.label"))).alias("block_label"),
-        F.expr(label_sql(around("text", "start", "end"))).alias("beside"),
+        F.expr(label_sql("around")).alias("beside"),
     )
 
     def evidence(d: Detector) -> str:
@@ -87,8 +87,12 @@ def hits_in(rows: DataFrame, sensitivity: str = "balanced", detectors: Iterable[
     others = [d for d in detectors if d.asked]
     enough = F.when(F.col("is_input"), worth_scanning(F.col("text"))).otherwise(worth_scanning(F.col("text"), others))
     found = with_matches(rows, detectors, F.coalesce(enough, F.lit(False)), as_of_year)
+    # a match takes along what is beside it and the text of a short block, so that no long text is copied for each
+    told = "named_struct('ord', m.ord, 'start', m.start, 'end', m.end, 'text', m.text, 'around', {}, 'short', if(x.n <= 3 * (m.end - m.start) + 40, text, null))".format(around("text", "m.start", "m.end", p="x.p"))
+    told = let(f"named_struct('p', {pieces('text')}, 'n', length(text))", "x", f"transform(found, m -> {told})")
+    found = found.withColumn("found", F.when(F.size("found") > 0, F.expr(told))).withColumn("trimmed", F.length(F.trim("text")))
     # an outer explode: a plain one makes the optimizer test the matches below it, which finds them twice
-    one = found.withColumn("m", F.explode_outer("found")).where("m is not null").select("page_id", "block_id", F.col("node_id").alias("block_node"), "is_input", "text", "segs", "near", "m.ord", "m.start", "m.end", F.col("m.text").alias("match"))
+    one = found.withColumn("m", F.explode_outer("found")).where("m is not null").select("page_id", "block_id", F.col("node_id").alias("block_node"), "is_input", "trimmed", "segs", "near", "m.ord", "m.start", "m.end", "m.around", "m.short", F.col("m.text").alias("match"))
     placed = one.withColumn("node_id", F.when(F.col("is_input"), F.col("block_node")).otherwise(target_for(F.col("segs"), F.col("start"), F.col("end"), F.col("block_node"))))
     element = lambda node: F.try_element_at(F.filter("near", lambda x: x["node_id"] == F.col(node)), F.lit(1))
     placed = placed.withColumn("el", element("node_id")).withColumn("block_el", F.get("near", F.lit(0))).drop("segs", "near")
@@ -98,7 +102,7 @@ def hits_in(rows: DataFrame, sensitivity: str = "balanced", detectors: Iterable[
     free = F.col("ord").isin([i for i, d in enumerate(detectors) if d.id in HIGH_IDS or d.asked])
     enough = F.col("bonus") >= F.get(least, F.col("ord"))
     good = enough & F.when(F.col("is_input"), (F.size("kinds") > 0) | free).otherwise(~in_href(F.col("el.href"), F.col("match")))
-    wide = ~F.col("is_input") & (F.col("node_id") == F.col("block_node")) & (F.length(F.trim("text")) >= 3 * (F.col("end") - F.col("start")))
+    wide = ~F.col("is_input") & (F.col("node_id") == F.col("block_node")) & (F.col("trimmed") >= 3 * (F.col("end") - F.col("start")))
     asked = F.col("ord").isin([i for i, d in enumerate(detectors) if d.asked])
     fact = F.get(known, F.col("ord"))
     slim = F.struct(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import WS
 from .detect import detect
 from .detectors import BUILTIN, YEAR, Detector
-from .matching import SPAN, merge_ranges
+from .matching import SPAN, count_below_of, match_all, merge_ranges, merged, once, part_of, pieces_of
 
 BULLET = "•"
 ELEMENT_MOST, STICKERS_MOST = 2000, 200
@@ -32,16 +32,15 @@ def mask_value(s: Column) -> Column:
 
 
 def redact_ranges(text: Column, ranges: Column) -> Column:
-    """Bullets inside the ranges, the rest as it was; the length stays."""
-    merged = merge_ranges(ranges, F.length(text))
+    """Bullets inside the ranges, the rest as it was; the length stays. One join of what stands before each range and its bullets."""
 
-    def step(acc: Column, r: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, r["start"] - acc["at"])
-        hidden = bullets(F.substring(text, r["start"] + 1, r["end"] - r["start"]))
-        return F.struct(r["end"].alias("at"), F.concat(acc["out"], gap, hidden).alias("out"))
+    def joined(x: Column) -> Column:
+        p, r = x["p"], x["r"]
+        stop = lambda i: F.when(i > 0, F.get(r, i - 1)["end"]).otherwise(0)
+        each = F.transform(r, lambda v, i: F.concat(part_of(p, stop(i), v["start"] - stop(i)), bullets(part_of(p, v["start"], v["end"] - v["start"]))))
+        return F.concat(F.array_join(each, ""), part_of(p, stop(F.size(r)), F.length(text) - stop(F.size(r))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(merged, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return once(F.struct(pieces_of(text).alias("p"), merge_ranges(ranges, F.length(text)).alias("r")), joined)
 
 
 def ranges_of(hits: Column) -> Column:
@@ -76,19 +75,20 @@ def redact_detected(
 
 
 def snap_to_tokens(text: Column, ranges: Column) -> Column:
-    """Sorted ranges grown to whole tokens; neighbouring hidden tokens take the white space between them."""
-    before = lambda r: F.length(F.regexp_extract(F.substring(text, F.lit(1), r["start"]), rf"([^{WS}]*)\z", 1))
-    after = lambda r: F.length(F.regexp_extract(F.substring(text, r["end"] + 1, F.length(text)), f"^([^{WS}]*)", 1))
-    grown = F.transform(ranges, lambda r: F.struct((r["start"] - before(r)).cast("int").alias("start"), (r["end"] + after(r)).cast("int").alias("end")))
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        between = F.substring(text, last["end"] + 1, t["start"] - last["end"])
-        near = (t["start"] <= last["end"]) | between.rlike(rf"^[{WS}]*\z")
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], t["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & near, longer).otherwise(F.concat(acc, F.array(t)))
-
-    return F.aggregate(grown, F.array().cast(SPAN), step)
+    """Sorted ranges grown to whole tokens; neighbouring hidden tokens take the white space between them.
+
+    Places are looked up among the text's tokens by binary search: two ranges stay apart if a token begins between them.
+    """
+
+    def snapped(x: Column) -> Column:
+        s, e, r = x["tokens"]["start"], x["tokens"]["end"], x["r"]
+        upto = lambda place: count_below_of(s, place)
+        # the token that ends in or after a place, if it begins before it
+        start = lambda v: once(upto(v), lambda k: F.when((k > 0) & (F.get(e, k - 1) >= v), F.get(s, k - 1)).otherwise(v))
+        stop = lambda v: once(upto(v + 1), lambda k: F.when((k > 0) & (F.get(e, k - 1) > v), F.get(e, k - 1)).otherwise(v))
+        return merged(F.transform(r, lambda v: start(v["start"])), F.transform(r, lambda v: stop(v["end"])), upto, upto)
+
+    return once(F.struct(match_all(text, f"[^{WS}]+").alias("tokens"), ranges.alias("r")), snapped)
 
 
 def restore(masked: DataFrame, originals: DataFrame, on: list[str]) -> DataFrame:

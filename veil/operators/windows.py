@@ -124,14 +124,23 @@ def view_match(docs: DataFrame, wanted: DataFrame, key: bytes) -> DataFrame:
 
 
 def locate_exact(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """texts (keys…, text, needle, near): where the needle stands nearest to ``near``, white space left out, first of equals."""
+    """texts (keys…, text, needle, near): where the needle stands nearest to ``near``, white space left out, first of equals.
+
+    The text is cut before each occurrence; one pass over the lengths of what is between keeps the best place.
+    """
     bare, needle = F.regexp_replace("text", f"[{WS}]", ""), F.regexp_replace("needle", f"[{WS}]", "")
-    n = F.length("needle_")
-    ready = texts.select(*keys, "near", bare.alias("text_"), needle.alias("needle_")).where(n > 0)
-    at = F.filter(F.sequence(F.lit(0), F.length("text_") - n), lambda i: F.substring(F.col("text_"), i + 1, n) == F.col("needle_"))
-    placed = ready.where(F.contains("text_", "needle_") & (F.length("text_") >= n)).withColumn("at", at)
-    best = F.array_min(F.transform("at", lambda i: F.struct(F.abs(i - F.col("near")).alias("far"), i.alias("at"))))["at"]
-    return placed.select(*keys, best.alias("at"))
+    ready = texts.select(*keys, "near", bare.alias("text_"), needle.alias("needle_")).where((F.length("needle_") > 0) & F.contains("text_", "needle_"))
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(F.col("needle_"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    lengths = F.transform(F.split("text_", literal, -1), F.length)
+    first = F.startswith("text_", "needle_")
+
+    def step(acc: Column, n: Column) -> Column:
+        far = F.abs(acc["at"] - F.col("near"))
+        better = ((acc["at"] > 0) | first) & (acc["far"].isNull() | (far < acc["far"]))
+        return F.struct((acc["at"] + n).alias("at"), F.when(better, far).otherwise(acc["far"]).cast("long").alias("far"), F.when(better, acc["at"]).otherwise(acc["best"]).cast("int").alias("best"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("long").alias("far"), F.lit(None).cast("int").alias("best"))
+    return ready.select(*keys, F.aggregate(lengths, start, step, lambda acc: acc["best"]).alias("at"))
 
 
 def locate_by_hash(texts: DataFrame, keys: list[str], wanted: DataFrame, key: bytes) -> DataFrame:
