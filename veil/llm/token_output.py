@@ -42,12 +42,10 @@ _WORKER: dict = {}
 FILES = "part int, first_key long, before long, n_docs long, n_tokens long, content binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-#: White space that is not one space or one line end between other characters.
-_ODD = re.compile(r"[ \n][ \n]|[^\S \n]")
 _LINE, _SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 # Latin letters between ASCII punctuation; an apostrophe may begin a suffix, so it is out.
 _PUNCTUATION = r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
-_PARTS = re.compile(f"( ?{_PUNCTUATION}+)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)({_PUNCTUATION}*)")
+_PARTS = re.compile(f"(\n?)( ?{_PUNCTUATION}+)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)({_PUNCTUATION}*)")
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -69,14 +67,12 @@ class PieceIds:
             said = json.load(file)
         before = said.get("pre_tokenizer") or {}
         self.by_pieces = said.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
-        control = [re.escape(t["content"]) for t in said.get("added_tokens") or []]
-        self.control = re.compile("|".join(control)) if control else None
+        self.control = [t["content"] for t in said.get("added_tokens") or []]
         self.line = self._ids(["\n"])[0]
         self.by_pieces = self.by_pieces and len(self.line) == 1
-        self.new_line = np.array(self.line, "<u4").tobytes()
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> PieceIds:
@@ -91,56 +87,59 @@ class PieceIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return [np.array(self._ids([t])[0], "<u4").tobytes() for t in texts]
-        lines = [None if self.control and self.control.search(t) else self._pieces(t) for t in texts]
-        first = {line[0] for split in lines if split for line in split}
-        others = set().union(*(line[1:] for split in lines if split for line in split))
-        self.plain = self._known(self.plain, first, "")
-        self.spaced = self._known(self.spaced, others, " ")
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        out = []
-        for text, split in zip(texts, lines, strict=True):
-            if split is None:
-                out.append(np.array(self._ids([text])[0], "<u4").tobytes())
+        split = [None if any(c in t for c in self.control) else self._pieces(t) for t in texts]
+        some = [p for p in split if p]
+        self.plain = self._known(self.plain, {p[0] for p in some}, "")
+        self.spaced = self._known(self.spaced, set().union(*some), " ")
+        plain, spaced, out = self.plain, self.spaced.__getitem__, []
+        for text, p in zip(texts, split, strict=True):
+            if p:
+                each = iter(p)
+                out.append(plain[next(each)] + b"".join(map(spaced, each)))
             else:
-                out.append(self.new_line.join([b"".join((plain(line[0]), *map(spaced, line[1:]))) for line in split]))
+                out.append(np.array(self._ids([text])[0], "<u4").tobytes())
         return out
 
     @staticmethod
-    def _pieces(text: str) -> list[list[str]]:
-        """Lines of pieces; a piece but the first of a line has one space before it, which is not in it."""
-        if _ODD.search(text) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
-            return [_SPACE.split(line) for line in _LINE.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
+    def _pieces(text: str) -> list[str]:
+        """The first piece, then those with one space before them, which is not in the piece, or one line end, which is."""
+        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+        # what is printable has no white space but spaces
+        if odd or not text.replace("\n", "").isprintable():
+            lines = [_SPACE.split(line) for line in _LINE.split(text)]
+            return lines[0] + [piece if i else f"\n{piece}" for line in lines[1:] for i, piece in enumerate(line)]
+        return text.replace("\n", " \n").split(" ")
 
     def _known(self, known: dict[str, bytes], asked: set[str], before: str) -> dict[str, bytes]:
         """The table with all these pieces."""
         if len(known) > KEEP_PIECES:
             known = {}
         if len(self.parts) > KEEP_PARTS:
-            self.parts = {}
-        fresh = list(asked.difference(known))
+            self.parts = {"": b""}
+        fresh, parts = list(asked.difference(known)), self.parts
         for a in range(0, len(fresh), 8192):
             some = fresh[a : a + 8192]
-            split = [m.groups() if (m := _PARTS.fullmatch(before + piece)) else (before + piece,) for piece in some]
-            new = list({p for piece in split for p in piece if p}.difference(self.parts))
-            self.parts.update(zip(new, self._look_up(new), strict=True))
-            parts = self.parts
-            known.update((piece, b"".join([parts[p] for p in of if p])) for piece, of in zip(some, split, strict=True))
+            # most pieces are words, which are one part
+            words = [piece for piece in some if piece.isalpha()]
+            others = [piece for piece in some if not piece.isalpha()] if len(words) < len(some) else []
+            texts = [before + piece for piece in words]
+            matched = [(m.groups("") if (m := _PARTS.fullmatch(t)) else (t, "", "", "")) for t in (piece if piece[:1] == "\n" else before + piece for piece in others)]
+            parts.update(self._look_up(list(set(texts).union(*matched).difference(parts))))
+            known.update(zip(words, map(parts.__getitem__, texts), strict=True))
+            known.update((piece, parts[w] + parts[x] + parts[y] + parts[z]) for piece, (w, x, y, z) in zip(others, matched, strict=True))
         return known
 
-    def _look_up(self, texts: list[str]) -> list[bytes]:
-        """Ids of each; those without odd white space in one call, a line each."""
-        plain = [t for t in texts if t and not t[-1].isspace() and "\n" not in t and not t[:2].isspace()]
-        found: dict[str, bytes] = {}
-        if plain:
-            ids = np.array(self._ids(["\n".join(plain)])[0], "<u4")
-            stops = np.flatnonzero(ids == self.line[0])
-            if len(stops) == len(plain) - 1:
+    def _look_up(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of each, in one call where none has odd white space: a line each."""
+        joined = "\n".join(texts)
+        odd = "\n\n" in joined or " \n" in joined or "\n  " in joined or joined[:1] == "\n" or joined[:2] == "  " or joined[-1:] in (" ", "\n")
+        if texts and not odd and joined.replace("\n", "").isprintable():
+            ids = np.array(self._ids([joined])[0], "<u4")
+            stops = 4 * np.flatnonzero(ids == self.line[0])
+            if len(stops) == len(texts) - 1:
                 raw = ids.tobytes()
-                found = {t: raw[a:b] for t, a, b in zip(plain, [0, *(4 * stops + 4).tolist()], [*(4 * stops).tolist(), len(raw)], strict=True)}
-        rest = [t for t in texts if t not in found]
-        found.update((t, np.array(ids, "<u4").tobytes()) for t, ids in zip(rest, self._ids(rest), strict=True))
-        return [found[t] for t in texts]
+                return {t: raw[a:b] for t, a, b in zip(texts, [0, *(stops + 4).tolist()], [*stops.tolist(), len(raw)], strict=True)}
+        return {t: np.array(ids, "<u4").tobytes() for t, ids in zip(texts, self._ids(texts), strict=True)}
 
 
 def _write(path: str, end_id: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,10 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> byte
         ones = np.cumsum([0, *(int(np.bitwise_count(b).sum()) for b in blocks)])
         pressed = [press.compress(b.tobytes()) for b in blocks]
         parts += [_WIDTH.pack(len(ids) - int(ones[-1])), ones[:-1].astype("<u4").tobytes(), np.cumsum(list(map(len, pressed))).astype("<u4").tobytes(), b"".join(pressed)]
-        current = np.concatenate([current[~one], current[one]])
+        # places are taken, as a mask costs a guess for each bit
+        current = np.concatenate([current.take(np.flatnonzero(~one)), current.take(np.flatnonzero(one))])
+        if level == 8:
+            current = current.astype(np.uint8)  # only lower bits are asked for from here
     body = b"".join(_WIDTH.pack(len(p)) + p for p in parts)
     return _HEAD.pack(MAGIC, len(ids), len(doc_ids), bits) + body
 
@@ -147,11 +150,11 @@ class TokenFile:
     def ids(self) -> np.ndarray:
         """All ids in order, from the last plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        value = np.zeros(self.n, kind)
+        value = np.zeros(self.n, np.uint8)
         for level, plane in enumerate(reversed(self.planes)):
             one = plane.whole()
-            above = np.empty_like(value)
-            above[~one] = value[: plane.zeros]
-            above[one] = value[plane.zeros :] | kind(1 << level)
+            above = np.empty(self.n, np.uint8 if level < 8 else kind)
+            above[np.flatnonzero(~one)] = value[: plane.zeros]
+            above[np.flatnonzero(one)] = value[plane.zeros :] | above.dtype.type(1 << level)
             value = above
         return self.symbols[value]
