@@ -13,21 +13,26 @@ from ..functions.validators import digits
 from ..sources import html
 from .detect import by_detector, facts, least_bonus, named, with_matches, worth_scanning
 from .detectors import BUILTIN, HIGH_IDS, YEAR, Detector
-from .matching import around, pieces
+from .matching import around, count_below_of, once, pieces
 
 KEY_ATTRIBUTES = ["data-key", "data-id", "data-row-id", "data-rowid", "data-uid", "data-record-id", "data-item-id", "key"]
 
 
+def touched(segs: Column, start: Column, end: Column) -> Column:
+    """The text nodes of a block that a match touches: a run of them, as they are in order, found by binary search."""
+    return once(count_below_of(segs["end"], start + 1), lambda first: F.slice(segs, first + 1, F.greatest(count_below_of(segs["start"], end) - first, F.lit(0))))
+
+
 def ranges_for(segs: Column, start: Column, end: Column) -> Column:
     """The text nodes that a match touches, and which characters of each."""
-    met = F.filter(segs, lambda s: (s["start"] < end) & (s["end"] > start))
+    met = touched(segs, start, end)
     cut = lambda s: F.struct(s["node_id"].alias("node_id"), (F.greatest(s["start"], start) - s["start"]).alias("start"), (F.least(s["end"], end) - s["start"]).alias("end"))
     return F.transform(met, cut)
 
 
 def target_for(segs: Column, start: Column, end: Column, block_node: Column) -> Column:
     """The deepest element that covers every node of the match: the common beginning of their paths."""
-    paths = F.transform(F.filter(segs, lambda s: (s["start"] < end) & (s["end"] > start)), lambda s: s["path"])
+    paths = F.transform(touched(segs, start, end), lambda s: s["path"])
 
     def common(a: Column, b: Column) -> Column:
         same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))

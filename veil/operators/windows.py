@@ -162,13 +162,39 @@ def locate_by_hash(texts: DataFrame, keys: list[str], wanted: DataFrame, key: by
     return found.withColumn("place", place).where("place = 1").select(*keys, "target", "at")
 
 
+def _level(w: Column, h: Column) -> Column:
+    """The least power of two that is no shorter than either side."""
+    return F.greatest(F.ceil(F.log2(F.greatest(w, h))), F.lit(-30)).cast("int")
+
+
+def _in_cells(boxes: DataFrame, x: str, y: str, w: str, h: str, levels: Column) -> DataFrame:
+    """boxes (…, level, and so on) once for each cell that they touch, of their own level and of those above it that occur."""
+    at = boxes.withColumn("levels", levels).withColumn("grid", F.explode(F.filter("levels", lambda v: v >= F.col("level")))).drop("levels")
+    size = F.pow(F.lit(2.0), F.col("grid"))
+    spans = lambda a, n: F.sequence(F.floor(F.col(a) / size), F.floor((F.col(a) + F.col(n)) / size))
+    return at.withColumn("cx", F.explode(spans(x, w))).withColumn("cy", F.explode(spans(y, h)))
+
+
 def page_rects(rects: DataFrame, pages: DataFrame) -> DataFrame:
-    """Rectangles (doc, rect_id, x, y, w, h) cut to the page boxes (doc, page, px, py, pw, ph, width, height) they meet, in points."""
-    met = rects.join(small(pages.where("pw > 0 and ph > 0")), "doc")
+    """Rectangles (doc, rect_id, x, y, w, h) cut to the page boxes (doc, page, px, py, pw, ph, width, height) they meet, in points.
+
+    Both sides are dealt to cells of grids: a box of a size lies in at most four cells of the grid of that size. A pair
+    meets by equality in the grid of the larger of the two, and counts in the cell where what they share begins. So a document with
+    many rectangles and boxes is many keys, and the work follows the pairs that lie close together.
+    """
+    found = rects.where("w > 0 and h > 0").withColumn("level", _level(F.col("w"), F.col("h")))
+    boxes = pages.where("pw > 0 and ph > 0").withColumn("level", _level(F.col("pw"), F.col("ph")))
+    # one row: the sizes that occur, powers of two
+    levels = found.select("level").unionByName(boxes.select("level")).agg(F.array_sort(F.collect_set("level"))).scalar()
+    left = _in_cells(found, "x", "y", "w", "h", levels).withColumnRenamed("level", "level_r")
+    right = _in_cells(boxes, "px", "py", "pw", "ph", levels).withColumnRenamed("level", "level_b")
+    met = left.join(right, ["doc", "grid", "cx", "cy"]).where(F.col("grid") == F.greatest("level_r", "level_b"))
     x0, y0 = F.greatest("x", "px"), F.greatest("y", "py")
     x1, y1 = F.least(F.col("x") + F.col("w"), F.col("px") + F.col("pw")), F.least(F.col("y") + F.col("h"), F.col("py") + F.col("ph"))
+    size = F.pow(F.lit(2.0), F.col("grid"))
+    here = (F.floor(x0 / size) == F.col("cx")) & (F.floor(y0 / size) == F.col("cy"))
     sx, sy = F.col("width") / F.col("pw"), F.col("height") / F.col("ph")
-    return met.where((x1 > x0) & (y1 > y0)).select(
+    return met.where(here & (x1 > x0) & (y1 > y0)).select(
         "doc", "rect_id", "page", ((x0 - F.col("px")) * sx).alias("x"), ((y0 - F.col("py")) * sy).alias("y"), ((x1 - x0) * sx).alias("w"), ((y1 - y0) * sy).alias("h")
     )
 

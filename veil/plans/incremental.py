@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import newest
 from ..sources import readers
 from ..sources.readers import table
-from ..streaming import jobs
+from ..streaming import jobs, lost
 from .detection import REDACTED
 from .registry import query
 from .reports import AUDIT, audit_log
@@ -64,3 +64,40 @@ def e06_lost_state(spark, sf_dir):
     events = changes(spark, sf_dir).select(F.col("page_id").alias("sticker"), "ts", "seq", (F.col("event_type") != "error").alias("attached"))
     lost = jobs.lost_spans(events)
     return lost.join(events.where("not attached"), (lost["sticker"] == events["sticker"]) & (lost["since"] == events["ts"])).select(lost["sticker"], "seq")
+
+
+#: The rules' seconds as hours, as the events are hours apart.
+HOURS = lost.Budget(30 * 3600, 5 * 3600, 5 * 3600, 2 * 3600)
+
+
+def anchors(spark, sf_dir):
+    """Events as those of stickers' anchors."""
+    kind = F.when(F.col("event_type") == "error", "gone").when(F.col("event_type") == "purchase", "found").when(F.col("event_type") == "signup", "load").otherwise("changed")
+    return changes(spark, sf_dir).select(F.col("page_id").alias("sticker"), "ts", "seq", kind.alias("kind"))
+
+
+_MOVES = f"""
+  WITH e AS (SELECT page_id AS sticker, epoch_ms(ts) AS ms, seq, CASE event_type WHEN 'error' THEN 'gone' WHEN 'purchase' THEN 'found' WHEN 'signup' THEN 'load' ELSE 'changed' END AS kind FROM {_CHANGES}),
+  w AS (SELECT *, row_number() OVER o AS n, min(CASE WHEN kind = 'load' THEN ms END) OVER (PARTITION BY sticker) AS loaded,
+      last_value(CASE WHEN kind IN ('found', 'gone') THEN kind END IGNORE NULLS) OVER (PARTITION BY sticker ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+      min(CASE WHEN kind = 'found' THEN ms END) OVER (PARTITION BY sticker ORDER BY ms, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until
+    FROM e WINDOW o AS (PARTITION BY sticker ORDER BY ms, seq)),
+  s AS (SELECT *, CASE WHEN n = 1 AND kind <> 'found' THEN least(ms + 108000000, CASE WHEN loaded IS NOT NULL THEN greatest(loaded, ms) + 18000000 END)
+      WHEN kind = 'gone' AND before = 'found' THEN CASE WHEN loaded + 18000000 > ms THEN least(ms, loaded) + 18000000 ELSE ms + 18000000 END END AS lost FROM w),
+  p AS (SELECT *, lost IS NOT NULL AS starts, last_value(lost IGNORE NULLS) OVER u AS at, last_value(CASE WHEN lost IS NOT NULL THEN coalesce(until, 9223372036854775807) END IGNORE NULLS) OVER u AS stop
+    FROM s WINDOW u AS (PARTITION BY sticker ORDER BY ms, seq ROWS UNBOUNDED PRECEDING)),
+  k AS (SELECT DISTINCT sticker, at + ((ms - at + 7199999) // 7200000) * 7200000 AS ms, stop FROM p WHERE kind = 'changed' AND ms > at AND ms < stop),
+  m AS (SELECT sticker, at AS ms, 'lost' AS state FROM p WHERE starts AND at < stop
+    UNION ALL SELECT sticker, ms, 'retry' FROM k WHERE ms < stop
+    UNION ALL SELECT sticker, stop, 'found' FROM p WHERE starts AND at < stop AND stop < 9223372036854775807)
+"""
+
+
+@query("e06_transitions", f"{_MOVES} SELECT sticker, ms, state FROM m")
+def e06_transitions(spark, sf_dir):
+    return lost.transitions(anchors(spark, sf_dir), HOURS).select("sticker", F.unix_millis("ts").alias("ms"), "state")
+
+
+@query("e06_backstops", f"{_MOVES} SELECT sticker, max(CASE WHEN state = 'lost' THEN ms END) AS since FROM m GROUP BY sticker HAVING max(ms * 4 + CASE state WHEN 'found' THEN 2 WHEN 'retry' THEN 1 ELSE 0 END) % 4 < 2")
+def e06_backstops(spark, sf_dir):
+    return lost.backstops(lost.transitions(anchors(spark, sf_dir), HOURS)).select("sticker", F.unix_millis("since").alias("since"))

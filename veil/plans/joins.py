@@ -117,6 +117,22 @@ def j14_page_rects(spark, sf_dir):
     return W.page_rects(rects, boxes)
 
 
+_MARKS = "SELECT l_suppkey % 10 AS doc, l_orderkey * 10 + l_linenumber AS rect_id, (l_partkey * 37 % 4000)::DOUBLE AS x, (l_orderkey * 53 % 4000)::DOUBLE AS y, l_quantity::DOUBLE AS w, CASE WHEN l_linenumber = 1 THEN 900 ELSE 8 END::DOUBLE AS h FROM lineitem"
+_TILES = "SELECT o_orderkey % 10 AS doc, o_orderkey AS page, (o_custkey * 91 % 4000)::DOUBLE AS px, (o_orderkey * 17 % 4000)::DOUBLE AS py, (5 + o_orderkey % 60)::DOUBLE AS pw, (5 + o_custkey % 90)::DOUBLE AS ph FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 10 < 3"
+
+
+@query(
+    "j14_many_boxes",
+    f"SELECT doc, rect_id, page, x0 - px AS x, y0 - py AS y, x1 - x0 AS w, y1 - y0 AS h FROM (SELECT *, greatest(x, px) AS x0, greatest(y, py) AS y0, least(x + w, px + pw) AS x1, least(y + h, py + ph) AS y1 FROM ({_MARKS}) JOIN ({_TILES}) USING (doc)) WHERE x1 > x0 AND y1 > y0",
+)
+def j14_many_boxes(spark, sf_dir):
+    """Ten documents with all line items as rectangles and hundreds of boxes of many sizes."""
+    double = lambda e: f"cast({e} as double)"
+    rects = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 10 as doc", "l_orderkey * 10 + l_linenumber as rect_id", f"{double('l_partkey * 37 % 4000')} as x", f"{double('l_orderkey * 53 % 4000')} as y", f"{double('l_quantity')} as w", f"{double('if(l_linenumber = 1, 900, 8)')} as h")
+    boxes = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0 or o_orderkey % 10 < 3").selectExpr("o_orderkey % 10 as doc", "o_orderkey as page", f"{double('o_custkey * 91 % 4000')} as px", f"{double('o_orderkey * 17 % 4000')} as py", f"{double('5 + o_orderkey % 60')} as pw", f"{double('5 + o_custkey % 90')} as ph")
+    return W.page_rects(rects, boxes.selectExpr("*", "pw as width", "ph as height"))
+
+
 @query("w02_first_per_key", "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place FROM events) WHERE place <= 20")
 def w02_first_per_key(spark, sf_dir):
     return W.newest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 20, "place").select("user_id", "event_id", "place")
