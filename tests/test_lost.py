@@ -71,7 +71,7 @@ def test_stream(spark, tmp_path):
         step = -(-len(given) // 4)
         for i in range(4):
             spark.createDataFrame(given[i * step : (i + 1) * step], anchors(spark, SF).schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-        far = spark.createDataFrame([(-1, 10**15, 0, "found")], "sticker long, ms long, seq long, kind string").select("sticker", F.timestamp_millis("ms").alias("ts"), "seq", "kind")
+        far = spark.createDataFrame([(-1, 4 * 10**12, 0, "found")], "sticker long, ms long, seq long, kind string").select("sticker", F.timestamp_millis("ms").alias("ts"), "seq", "kind")
         far.write.parquet(f"{tmp_path}/in/4")
         stream = spark.readStream.schema(anchors(spark, SF).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
         query = lost.stream_transitions(stream, HOURS).writeStream.format("memory").queryName("moves").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()

@@ -77,19 +77,19 @@ def anchors(spark, sf_dir):
 
 
 _MOVES = f"""
-  WITH e AS (SELECT page_id AS sticker, epoch_ms(ts) AS ms, seq, CASE event_type WHEN 'error' THEN 'gone' WHEN 'purchase' THEN 'found' WHEN 'signup' THEN 'load' ELSE 'changed' END AS kind FROM {_CHANGES}),
+  WITH e AS (SELECT page_id AS sticker, epoch_us(ts) // 1000 AS ms, seq, CASE event_type WHEN 'error' THEN 'gone' WHEN 'purchase' THEN 'found' WHEN 'signup' THEN 'load' ELSE 'changed' END AS kind FROM {_CHANGES}),
   w AS (SELECT *, row_number() OVER o AS n, min(CASE WHEN kind = 'load' THEN ms END) OVER (PARTITION BY sticker) AS loaded,
       last_value(CASE WHEN kind IN ('found', 'gone') THEN kind END IGNORE NULLS) OVER (PARTITION BY sticker ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
       min(CASE WHEN kind = 'found' THEN ms END) OVER (PARTITION BY sticker ORDER BY ms, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until
     FROM e WINDOW o AS (PARTITION BY sticker ORDER BY ms, seq)),
   s AS (SELECT *, CASE WHEN n = 1 AND kind <> 'found' THEN least(ms + 108000000, CASE WHEN loaded IS NOT NULL THEN greatest(loaded, ms) + 18000000 END)
       WHEN kind = 'gone' AND before = 'found' THEN CASE WHEN loaded + 18000000 > ms THEN least(ms, loaded) + 18000000 ELSE ms + 18000000 END END AS lost FROM w),
-  p AS (SELECT *, lost IS NOT NULL AS starts, last_value(lost IGNORE NULLS) OVER u AS at, last_value(CASE WHEN lost IS NOT NULL THEN coalesce(until, 9223372036854775807) END IGNORE NULLS) OVER u AS stop
+  p AS (SELECT *, lost IS NOT NULL AS starts, last_value(lost IGNORE NULLS) OVER u AS began, last_value(CASE WHEN lost IS NOT NULL THEN coalesce(until, 9223372036854775807) END IGNORE NULLS) OVER u AS stop
     FROM s WINDOW u AS (PARTITION BY sticker ORDER BY ms, seq ROWS UNBOUNDED PRECEDING)),
-  k AS (SELECT DISTINCT sticker, at + ((ms - at + 7199999) // 7200000) * 7200000 AS ms, stop FROM p WHERE kind = 'changed' AND ms > at AND ms < stop),
-  m AS (SELECT sticker, at AS ms, 'lost' AS state FROM p WHERE starts AND at < stop
+  k AS (SELECT DISTINCT sticker, began + ((ms - began + 7199999) // 7200000) * 7200000 AS ms, stop FROM p WHERE kind = 'changed' AND ms > began AND ms < stop),
+  m AS (SELECT sticker, began AS ms, 'lost' AS state FROM p WHERE starts AND began < stop
     UNION ALL SELECT sticker, ms, 'retry' FROM k WHERE ms < stop
-    UNION ALL SELECT sticker, stop, 'found' FROM p WHERE starts AND at < stop AND stop < 9223372036854775807)
+    UNION ALL SELECT sticker, stop, 'found' FROM p WHERE starts AND began < stop AND stop < 9223372036854775807)
 """
 
 
