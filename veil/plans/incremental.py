@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.windows import newest
-from ..sources import readers
+from ..sources import merged, readers
 from ..sources.readers import table
+from ..sources.store import shared_dir
 from ..streaming import jobs, lost
 from .detection import REDACTED
 from .registry import query
@@ -101,3 +104,25 @@ def e06_transitions(spark, sf_dir):
 @query("e06_backstops", f"{_MOVES} SELECT sticker, max(CASE WHEN state = 'lost' THEN ms END) AS since FROM m GROUP BY sticker HAVING max(ms * 4 + CASE state WHEN 'found' THEN 2 WHEN 'retry' THEN 1 ELSE 0 END) % 4 < 2")
 def e06_backstops(spark, sf_dir):
     return lost.backstops(lost.transitions(anchors(spark, sf_dir), HOURS)).select("sticker", F.unix_millis("since").alias("since"))
+
+
+@query("e05_audit_table", f"SELECT user_id, event_id, action, ts FROM {AUDIT} WHERE action IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200")
+def e05_audit_table(spark, sf_dir):
+    """The newest 200 of each user, from a table that three batches of all events are merged into; the second comes twice."""
+    log = audit_log(spark, sf_dir).where("action is not null").select("user_id", "event_id", "action", "ts")
+    target = merged.MergeTable(spark, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}", ["user_id"], log.schema, 8)
+    write = merged.keep_newest(target, [F.desc("ts"), F.desc("event_id")], 200)
+    for version in (0, 1, 1, 2):
+        write(log.where(F.col("event_id") % 3 == version), version)
+    return target.read()
+
+
+@query(
+    "e07_late_by_batch",
+    """WITH e AS (SELECT event_id, event_id // 1000 AS batch, epoch_us(ts) // 1000 AS ms FROM events), b AS (SELECT batch, max(ms) AS seen FROM e GROUP BY batch),
+    m AS (SELECT batch, max(seen) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 864000000 AS mark FROM b) SELECT event_id, coalesce(ms < mark, false) AS late FROM e JOIN m USING (batch)""",
+)
+def e07_late_by_batch(spark, sf_dir):
+    """All events as they would come in batches of 1,000 ids, with ten days of delay."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.floor(F.col("event_id") / 1000).alias("batch"))
+    return merged.late_in_batches(rows, "batch", 864_000_000).select("event_id", "late")

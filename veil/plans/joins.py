@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.dialect import WS
 from ..functions.identity import identity, view_prefix
 from ..operators import windows as W
-from ..sources import readers
+from ..sources import merged, readers
 from ..sources.readers import table
+from ..sources.store import shared_dir
 from .registry import query
 from .texts import HOST, KEY, PATH, SANITIZED, SEARCH, TURNS, hmac_sql
 
@@ -150,6 +153,18 @@ def w04_upsert(spark, sf_dir):
     return W.upsert(base, changes, ["c_custkey"])
 
 
+@query("w04_merge_table", "SELECT c_custkey, name, updated_at FROM (SELECT c_custkey, c_name AS name, 0::BIGINT AS updated_at, false AS removed, 0 AS fresh FROM customer UNION ALL SELECT o_custkey, 'order ' || o_orderkey, o_orderkey, o_orderkey % 11 = 0, 1 FROM orders) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY updated_at DESC, fresh DESC) = 1 AND NOT removed")
+def w04_merge_table(spark, sf_dir):
+    """w04_upsert by way of a table in buckets: all customers, then the orders of customers with odd numbers, then of the others."""
+    base = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name as name", "0L as updated_at")
+    changes = table(spark, sf_dir, "orders").selectExpr("o_custkey as c_custkey", "concat('order ', o_orderkey) as name", "cast(o_orderkey as bigint) as updated_at", "o_orderkey % 11 = 0 as removed")
+    target = merged.MergeTable(spark, f"{shared_dir(spark)}/records-{uuid.uuid4().hex}", ["c_custkey"], base.schema, 8)
+    merged.upsert_into(target, base.withColumn("removed", F.lit(False)), 0)
+    merged.upsert_into(target, changes.where("c_custkey % 2 = 1"), 1)
+    merged.upsert_into(target, changes.where("c_custkey % 2 = 0"), 2)
+    return target.read()
+
+
 @query("w05_merge_intervals", "WITH r AS (SELECT l_suppkey, l_partkey % 5000 AS s, l_partkey % 5000 + l_quantity::INT AS e FROM lineitem), o AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r), i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o) SELECT l_suppkey, min(s) AS start, max(e) AS \"end\" FROM i GROUP BY l_suppkey, island")
 def w05_merge_intervals(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "l_partkey % 5000 as start", "l_partkey % 5000 + cast(l_quantity as int) as end")
