@@ -87,7 +87,6 @@ EXEMPT = {"hex": ("iban",)}
 
 # Label words and street types, as users of these formats write them.
 _DL = ("dl", "dl number", "driver license", "drivers license", "driver licence", "drivers licence", "driving licence", "license number", "licence number", "license no", "lic")
-_DL_WORDS = ("driver license", "drivers license", "driving license", "license", "dl", "state id")
 _STREETS = "St|Street|Ave|Avenue|Rd|Road|Blvd|Boulevard|Dr|Drive|Ln|Lane|Ct|Court|Way|Pl|Place|Ter|Terrace|Pkwy|Parkway|Cir|Circle|Hwy|Highway|Sq|Square|Trl|Trail"
 _MONTH = f"(?:{V.MONTHS.replace(' ', '|')})[a-z]*"
 _LICENCES = {
@@ -104,58 +103,59 @@ _LICENCES = {
 }
 
 
-def _entry(id: str, name: str, strength: str, pattern: str, labels: tuple, synonyms: tuple, validate=None, dated: bool = False, need: str | None = None) -> Detector:
-    return Detector(id, name, strength, pattern, labels=labels, gated=strength == "low", validate=validate, dated=dated, catalog=True, synonyms=synonyms, need=need)
+def _entry(id: str, name: str, strength: str, pattern: str, labels: tuple, also: str, validate=None, dated: bool = False, need: str | None = None) -> Detector:
+    """A search finds an entry by its labels, its name and what it is ``also`` called, phrases set apart by commas."""
+    return Detector(id, name, strength, pattern, labels=labels, gated=strength == "low", validate=validate, dated=dated, catalog=True, synonyms=(*labels, *also.split(", ")), need=need)
 
 
-# The patterns and strengths of the catalogue.
+# The patterns, strengths and labels of the catalogue.
 CATALOG = (
-    _entry("phone-us", "Phone number (US)", "medium", _PHONE, ("phone", "tel", "telephone", "mobile", "cell", "fax", "contact"), ("phone", "phone number", "telephone", "mobile", "cell", "fax"), V.valid_phone_us),
+    _entry("phone-us", "American telephone number", "medium", _PHONE, ("phone", "tel", "telephone", "mobile", "cell", "fax", "contact"), "call, handset, landline", V.valid_phone_us),
     _entry(
-        "phone-intl", "Phone number (international)", "medium", r"(?<![A-Za-z0-9_+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![A-Za-z0-9_-])",
-        ("phone", "tel", "telephone", "mobile", "cell", "whatsapp"), ("phone", "international phone", "telephone", "mobile", "whatsapp"), V.digits_between(8, 15),
+        "phone-intl", "Telephone number with a country code", "medium", r"(?<![A-Za-z0-9_+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![A-Za-z0-9_-])",
+        ("phone", "tel", "telephone", "mobile", "cell", "whatsapp"), "foreign call, overseas, roaming", V.digits_between(8, 15),
     ),
     _entry(
-        "email", "Email address", "high", r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9_-])",
-        ("email", "e mail"), ("email", "e mail", "email address", "mail"), need="@",
+        "email", "Mail address on the internet", "high", r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9_-])",
+        ("email", "e mail"), "inbox, mailbox, correspondent", need="@",
     ),
     _entry(
-        "dob-any", "Date of birth (other formats)", "low",
+        "dob-any", "Birth date in words or any order", "low",
         r"(?i)(?<![A-Za-z0-9_/.-])(?:[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:[0-9]{4}|[0-9]{2})|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|" + _MONTH + r"\.? [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} " + _MONTH + r"\.? [0-9]{4})(?![A-Za-z0-9_/-])",
-        ("date of birth", "dob", "birth date", "birthdate", "birthday", "born", "bday"), ("date of birth", "dob", "birthday", "birth date", "born"), V.valid_birth_date, True,
+        ("date of birth", "dob", "birth date", "birthdate", "birthday", "born", "bday"), "age, nativity, year of life", V.valid_birth_date, True,
     ),
     _entry(
-        "address-us", "Street address (US)", "low",
+        "address-us", "House and street in America", "low",
         r"(?<![A-Za-z0-9_-])[0-9]{1,6} (?:[NSEW]\.? )?[A-Z][a-z]+(?: [A-Z][a-z]+){0,3} (?:" + _STREETS + ")" + B + r"\.?(?:,? (?:Apt|Suite|Ste|Unit|#) ?[A-Za-z0-9-]{1,6})?",
-        ("address", "street", "home address", "mailing address", "residence", "residential address"), ("address", "street address", "home address", "mailing address", "residence"),
+        ("address", "street", "home address", "mailing address", "residence", "residential address"), "home, house, where someone lives, delivery place",
     ),
-    _entry("zip4", "ZIP+4", "medium", _ZIP4, ("zip", "zip code", "postal", "postcode"), ("zip", "zip code", "postal code", "zip plus four")),
-    _entry("passport-us", "US passport", "low", whole("[A-Z][0-9]{8}|[0-9]{9}"), ("passport", "passport number", "passport no"), ("passport", "passport number", "travel document")),
-    *(_entry(f"dl-{s}", "Driver's licence", "low", whole(p), _DL, (*_DL_WORDS, n, s)) for s, (n, p) in _LICENCES.items()),
+    _entry("zip4", "Nine-digit delivery code", "medium", _ZIP4, ("zip", "zip code", "postal", "postcode"), "post office, mail route"),
+    _entry("passport-us", "American passport", "low", whole("[A-Z][0-9]{8}|[0-9]{9}"), ("passport", "passport number", "passport no"), "border, travel, visa page"),
+    *(_entry(f"dl-{s}", "Permit to drive", "low", whole(p), _DL, f"motorist, driving permit, {n}, {s}") for s, (n, p) in _LICENCES.items()),
     _entry(
-        "insurance", "Insurance policy, group and member numbers", "low", "(?i)" + whole("[A-Z0-9][A-Z0-9-]{4,18}[A-Z0-9]"),
+        "insurance", "Numbers of an insured person", "low", "(?i)" + whole("[A-Z0-9][A-Z0-9-]{4,18}[A-Z0-9]"),
         ("policy", "policy number", "group number", "group id", "member id", "member number", "subscriber id", "subscriber number", "insurance", "plan id", "certificate number"),
-        ("insurance", "policy", "policy number", "group number", "member id", "member number", "subscriber id", "health plan"), V.digits_between(3),
+        "cover, insured, underwriter, premium", V.digits_between(3),
     ),
     _entry(
-        "mrn", "Medical record number", "low", whole("[A-Z]{0,3}[0-9]{6,10}"),
-        ("mrn", "medical record", "medical record number", "patient id", "patient number", "chart number"), ("medical record", "mrn", "patient id", "chart number", "health record"),
+        "mrn", "Number of a patient's file", "low", whole("[A-Z]{0,3}[0-9]{6,10}"),
+        ("mrn", "medical record", "medical record number", "patient id", "patient number", "chart number"), "hospital, clinic, doctor",
     ),
     _entry(
-        "case", "Case, claim and docket numbers", "low", "(?i)" + whole("[A-Z0-9][A-Z0-9:/.-]{3,22}[A-Z0-9]"),
-        ("case", "case number", "case no", "claim", "claim number", "claim no", "docket", "docket number", "file number"), ("case number", "claim number", "docket", "case", "claim", "file number", "court"), V.digits_between(3),
+        "case", "Numbers of proceedings", "low", "(?i)" + whole("[A-Z0-9][A-Z0-9:/.-]{3,22}[A-Z0-9]"),
+        ("case", "case number", "case no", "claim", "claim number", "claim no", "docket", "docket number", "file number"), "lawsuit, tribunal, adjuster", V.digits_between(3),
     ),
-    _entry("vin", "Vehicle identification number (VIN)", "high", "(?i)" + whole("[A-HJ-NPR-Z0-9]{17}"), ("vin", "vehicle identification number", "vehicle"), ("vin", "vehicle identification", "vehicle id", "car", "vehicle"), V.valid_vin),
+    _entry("vin", "Chassis number", "high", "(?i)" + whole("[A-HJ-NPR-Z0-9]{17}"), ("vin", "vehicle identification number", "vehicle"), "automobile, truck, motor", V.valid_vin),
 )
 
-#: Catalogue entries that switch built-in detectors, with what people call them; all on by default.
+#: Catalogue entries that switch built-in detectors: a name, the detectors, and what people look for; all on by default.
 BUILTIN_ENTRIES = {
-    "ssn": ("SSN and ITIN", ("ssn", "itin", "ssn-raw"), ("ssn", "social security", "itin", "taxpayer id", "tax id", "tin")),
-    "ein": ("EIN", ("ein",), ("ein", "employer id", "fein", "tax id")),
-    "bank": ("Bank account and routing", ("routing", "account", "iban"), ("bank account", "account number", "routing number", "aba", "iban", "bank")),
-    "card": ("Credit card", ("card",), ("credit card", "debit card", "card number", "card", "visa", "mastercard", "amex")),
-    "dob": ("Date of birth (MM/DD/YYYY)", ("dob",), ("date of birth", "dob", "birthday", "birth date")),
-    "masked": ("Masked last four", ("maskedLast4",), ("last four", "last 4", "masked")),
+    "ssn": ("Social security and taxpayer numbers", ("ssn", "itin", "ssn-raw"), ("ssn", "itin", "pension", "taxes")),
+    "ein": ("Employer numbers", ("ein",), ("ein", "company", "firm taxes")),
+    "bank": ("Accounts at a bank", ("routing", "account", "iban"), ("iban", "routing", "deposit", "transfer", "wire")),
+    "card": ("Payment card numbers", ("card",), ("plastic", "issuer", "checkout")),
+    "dob": ("Birth date by month, day and year", ("dob",), ("dob", "age")),
+    "masked": ("What is left of a masked number", ("maskedLast4",), ("ending", "tail of a number")),
 }
 
 

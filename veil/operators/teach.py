@@ -214,18 +214,22 @@ def _stems(text: Column) -> Column:
     return F.transform(parts, stem)
 
 
-# Words that say nothing about a format.
-_STOP = "number no num id the a an my of and or for code"
+#: Words that stand in most names and tell none apart.
+STOP = "a an and at by for in of on or the to with number numbers id code someone"
+
+
+def catalog_words() -> list[tuple[int, str, str]]:
+    """(number, entry, phrase) of all that a search can find."""
+    names = [(e, [*words, name]) for e, (name, _, words) in BUILTIN_ENTRIES.items()] + [(d.id, [*d.synonyms, d.name]) for d in CATALOG]
+    return [(n, e, phrase) for n, (e, phrases) in enumerate(names) for phrase in phrases]
 
 
 def find_catalog(queries: DataFrame) -> DataFrame:
     """(query, entry, score, place): catalogue entries for free text, best first. The catalogue is of fixed size."""
     spark = queries.sparkSession
-    names = [(i, e, [*s, n]) for i, (e, (n, _, s)) in enumerate(BUILTIN_ENTRIES.items())]
-    names += [(len(names) + i, d.id, [*d.synonyms, d.name]) for i, d in enumerate(CATALOG)]
-    entries = spark.createDataFrame([(i, e, s) for i, e, syns in names for s in syns], "n int, entry string, synonym string")
-    stop = F.array(*map(F.lit, [re.sub("e$", "", re.sub("(?<!s)s$", "", w)) for w in _STOP.split()]))
-    words = entries.select("n", "entry", F.array_except(_stems(F.col("synonym")), stop).alias("means")).where(F.size("means") > 0)
+    entries = spark.createDataFrame(catalog_words(), "n int, entry string, synonym string")
+    stop = F.array(*map(F.lit, [re.sub("e$", "", re.sub("(?<!s)s$", "", w)) for w in STOP.split()]))
+    words = entries.select("n", "entry", F.array_sort(F.array_except(_stems(F.col("synonym")), stop)).alias("means")).where(F.size("means") > 0)
     asked = queries.select("query", _stems(F.col("query")).alias("q"))
     pairs = asked.select("query", "q", F.explode("q").alias("w")).distinct().join(F.broadcast(words.withColumn("w", F.explode("means"))), "w").select("query", "q", "n", "entry", "means").distinct()
     full = F.size(F.array_intersect("means", "q")) == F.size(F.array_distinct("means"))

@@ -205,12 +205,33 @@ def d09_user_matches(spark, sf_dir):
     )
 
 
-@query("d20_find_catalog")
+def _stems(text: str) -> str:
+    """SQL of the stems of a text's words."""
+    plain = f"regexp_replace(regexp_replace(lower({text}), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')"
+    stem = "regexp_replace(regexp_replace(regexp_replace(replace(w, 'licence', 'license'), 'ies$', 'y'), '([^s])s$', '\\1'), 'e$', '')"
+    return f"list_transform(list_filter(string_split({plain}, ' '), lambda w: w <> ''), lambda w: {stem})"
+
+
+def _catalog_sql() -> str:
+    from ..operators.teach import STOP, catalog_words
+
+    values = ", ".join(f"({n}, '{e}', '{w.replace(chr(39), chr(39) * 2)}')" for n, e, w in catalog_words())
+    return f"""
+      WITH asked AS (SELECT DISTINCT lower(c_mktsegment) || ' ' || lower(substr(o_orderpriority, 3)) || ' card for birth' AS query FROM orders JOIN customer ON o_custkey = c_custkey),
+      q AS (SELECT query, {_stems("query")} AS q FROM asked), s AS (SELECT {_stems(f"'{STOP}'")} AS stop), e(n, entry, said) AS (VALUES {values}),
+      m AS (SELECT n, entry, list_sort(list_distinct(list_filter(stems, lambda w: NOT list_contains(stop, w)))) AS means FROM (SELECT n, entry, {_stems("said")} AS stems FROM e), s),
+      p AS (SELECT DISTINCT query, n, entry, means, list_has_all(q, means) AS whole FROM q JOIN m ON list_has_any(q, means)),
+      r AS (SELECT query, n, entry, sum(CASE WHEN whole THEN 2 * len(means) ELSE 1 END)::BIGINT AS score FROM p GROUP BY query, n, entry)
+      SELECT query, entry, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, n)::INT AS place FROM r"""
+
+
+@query("d20_find_catalog", _catalog_sql())
 def d20_find_catalog(spark, sf_dir):
-    """Market segments, priorities and ship modes as queries against the catalogue."""
+    """What customers are in and how urgent their orders are, as queries against the catalogue."""
     from ..operators.teach import find_catalog
 
-    asked = table(spark, sf_dir, "orders").select(F.concat(F.lit("order "), F.lower(F.regexp_replace("o_orderpriority", "^[0-9]-", "")), F.lit(" card number license")).alias("query")).distinct()
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    asked = joined.select(F.concat(F.lower("c_mktsegment"), F.lit(" "), F.lower(F.substring("o_orderpriority", 3, 99)), F.lit(" card for birth")).alias("query")).distinct()
     return find_catalog(asked)
 
 
