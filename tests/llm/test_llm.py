@@ -495,13 +495,21 @@ def test_op10_round_trip(spark, dealt_to, n):
     # every node once; each tree is laid out depth-first without gaps, and ancestors are where the intervals say
     every = nodes.collect()
     assert len(every) == len(prefixes) == len({bytes(x.node) for x in every})
-    at, trees = {(bytes(x.root), x.offset): x for x in every}, {}
+    by_name, trees = {bytes(x.node): x for x in every}, {}
     for x in every:
         trees.setdefault(bytes(x.root), []).append(x)
-        assert x.position == sum(a.stop - a.start for a in x.attends) and len(x.attends) == x.depth
-        if x.attends:
-            above = at[bytes(x.root), x.attends[-1].start]
-            assert above.node == x.parent and above.attends == x.attends[:-1] and x.attends[-1].stop == above.offset + above.length
+        above, node = [], x
+        while node.depth:
+            node = by_name[bytes(node.parent)]
+            above.append(node)
+        # ancestors side by side are one interval
+        runs = []
+        for node in reversed(above):
+            if runs and runs[-1][1] == node.offset:
+                runs[-1][1] += node.length
+            else:
+                runs.append([node.offset, node.offset + node.length])
+        assert len(above) == x.depth and x.position == sum(n.length for n in above) and [[i.start, i.stop] for i in x.attends] == runs
     for found in trees.values():
         found.sort(key=lambda x: x.offset)
         assert found[0].offset == 0 and all(a.offset + a.length == b.offset for a, b in itertools.pairwise(found))
@@ -686,3 +694,18 @@ def test_pipeline_from_end_to_end(spark, docs, texts, tmp_path):
             want += [(r.doc_id, a, min(packing.WINDOW, len(ids) - a), zlib.crc32(ids[a : a + packing.WINDOW].tobytes()))] * r.copies
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
+
+
+def test_op10_long_conversation(spark):
+    """Twenty thousand turns in one conversation, and one that leaves it halfway: each node names a few runs of ancestors."""
+    import time
+
+    n = 20_000
+    rows = [(1, i, "user", "ok") for i in range(n)] + [(2, i, "user", "ok" if i < n // 2 else "no") for i in range(n // 2 + 2)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    nodes, ends = chat_format.format_chats(given)
+    found = {r.conv_id: (r.n_turns, r.formatted_chars) for r in chat_format.read_back(nodes, ends).collect()}
+    assert found == {1: (n, n * 15), 2: (n // 2 + 2, (n // 2 + 2) * 15)}
+    assert max(len(r.attends) for r in nodes.select("attends").collect()) == 2
+    assert time.time() - began < 60

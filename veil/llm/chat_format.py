@@ -5,7 +5,7 @@ control strings in a text are text and reading back is exact.  A turn is a tree
 turns up to it, so conversations that begin alike share nodes.  Each tree is emitted depth-first, every node
 once, with its place in the emitted sequence (``offset``), the position ids of its characters (``position`` on: what
 stands before it in the conversation, not in the sequence) and the intervals of its ancestors in the
-sequence, which with itself are all it may attend to.
+sequence, which with itself are all it may attend to; ancestors that stand side by side there are one interval.
 
 The *walk* of a conversation is the string of its nodes' hashes: walks in order are the tree depth-first, and
 the nodes that a conversation adds are those beyond what it shares with the one before.  Distinct
@@ -115,6 +115,31 @@ def _measure(before: dict[int, bytes]):
     return run
 
 
+class Path:
+    """Intervals of the nodes from the root to the one at hand, and of their maximal runs."""
+
+    def __init__(self, intervals: list[tuple[int, int]] = ()):
+        self.nodes, self.runs, self.length = [], [], 0
+        for a, b in intervals:
+            self.push(a, b)
+
+    def push(self, start: int, stop: int) -> None:
+        self.nodes.append((start, stop))
+        self.length += stop - start
+        if self.runs and self.runs[-1][1] == start:
+            self.runs[-1] = (self.runs[-1][0], stop)
+        else:
+            self.runs.append((start, stop))
+
+    def cut(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            start, stop = self.nodes.pop()
+            self.length -= stop - start
+            first, _ = self.runs.pop()
+            if first < start:
+                self.runs.append((first, start))
+
+
 def _emit(states: dict[int, tuple[int, bytes, list]]):
     """Over one range's (part, walk, turns) in order: the nodes that each conversation adds.
 
@@ -125,28 +150,26 @@ def _emit(states: dict[int, tuple[int, bytes, list]]):
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 5, interval, pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, at, stack = None, b"", 0, []
+        part, last, at, path = None, b"", 0, Path()
         for batch in batches:
             out: list[tuple] = []
             for part_, walk, turns in zip(*(batch.column(c).to_pylist() for c in ("part", "walk", "turns")), strict=True):
                 if part is None:
                     part = part_
-                    at, last, stack = states[part_]
-                    stack = list(stack)
-                del stack[shared(last, walk) :]
-                position = sum(b - a for a, b in stack)
-                for depth in range(len(stack), len(turns)):
+                    at, last, held = states[part_]
+                    path = Path(held)
+                path.cut(shared(last, walk))
+                for depth in range(len(path.nodes), len(turns)):
                     role = turns[depth]["role"]
                     head, body, close = formatted(role, turns[depth]["text"])
                     length = len(head) + len(body) + len(close)
-                    first = stack[0][0] if stack else at  # places count from the tree's root
+                    first = path.nodes[0][0] if path.nodes else at  # places count from the tree's root
                     node, parent = walk[depth * NODE : (depth + 1) * NODE], walk[max(depth - 1, 0) * NODE : depth * NODE]
                     loss = (len(head), len(head) + len(body)) if role == LEARNED else (0, 0)
-                    attends = [{"start": a - first, "stop": b - first} for a, b in stack]
-                    out.append((part, walk[:NODE], node, parent, depth, role, head + body + close, at - first, position, length, *loss, attends, depth == len(turns) - 1))
-                    stack.append((at, at + length))
+                    attends = [{"start": a - first, "stop": b - first} for a, b in path.runs]
+                    out.append((part, walk[:NODE], node, parent, depth, role, head + body + close, at - first, path.length, length, *loss, attends, depth == len(turns) - 1))
+                    path.push(at, at + length)
                     at += length
-                    position += length
                 last = walk
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -205,18 +228,21 @@ def format_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over one range's nodes in order, its guests first: what the path to each conversation's last node says."""
     stack: list[tuple] = []
+    path = Path()
     for batch in batches:
         out: list[tuple] = []
         names = ("node", "depth", "text", "offset", "loss_start", "loss_stop", "attends", "ends")
         for node, depth, text, offset, start, stop, attends, ends in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             del stack[depth:]
-            if [a["start"] for a in attends] != [x[0] for x in stack]:
+            path.cut(depth)
+            if [(a["start"], a["stop"]) for a in attends] != path.runs:
                 raise ValueError("a node's ancestors are not where it says")
-            stack.append((offset, text, start, stop))
+            stack.append((text, start, stop))
+            path.push(offset, offset + len(text))
             if not ends:
                 continue
-            whole = "".join(x[1] for x in stack)
-            learned = "".join(unescape(t[a:b]) for _, t, a, b in stack)
+            whole = "".join(x[0] for x in stack)
+            learned = "".join(unescape(t[a:b]) for t, a, b in stack)
             digest, turns, at = hashlib.sha256(), 0, 0
             for m in _TURN.finditer(whole):
                 if m.start() != at:
@@ -241,8 +267,9 @@ def read_back(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     nodes, ends = cut(nodes), cut(ends)
     n = (nodes.agg(F.max("part")).first()[0] or 0) + 1
     first = nodes.groupBy("part").agg(F.min_by(F.struct("root", "attends"), F.struct("root", "offset")).alias("f"))
-    asked = first.select(F.col("part").alias("to"), F.col("f.root").alias("root"), F.explode("f.attends").alias("a")).select("to", "root", F.col("a.start").alias("offset"))
-    guests = nodes.join(F.broadcast(asked), ["root", "offset"]).withColumn("ends", F.lit(False))
+    asked = first.select(F.col("part").alias("to"), F.col("f.root").alias("root"), F.explode("f.attends").alias("a")).select("to", "root", "a.start", "a.stop")
+    # a run of ancestors holds nothing else of its tree
+    guests = nodes.join(F.broadcast(asked), "root").where("offset >= start and offset < stop").withColumn("ends", F.lit(False))
     columns = ["to", "root", "node", "depth", "text", "offset", "loss_start", "loss_stop", "attends", "ends"]
     both = nodes.withColumn("to", F.col("part")).select(*columns).unionByName(guests.select(*columns))
     read = cut(both.repartitionById(n, "to").sortWithinPartitions("root", "offset").mapInArrow(_read, _READ))

@@ -12,6 +12,7 @@ are packed once each; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import parts, small_batches, table
 
 WINDOW = 2048
 END_ID = 1
-#: Vocabularies that split at white space and between letters and ASCII punctuation, and fold case: words have ids by themselves.
-BY_WORDS = {"word_bpe_49k.json"}
+#: Digests of the files of vocabularies that split at white space and between letters and ASCII punctuation, and fold case: words have ids by themselves.
+BY_WORDS = {"53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a"}
 #: Documents of one shard, on average; a shard leaves a few windows open.
 SHARD_DOCS = 4096
 #: Words, and parts of words, that a worker keeps.
@@ -64,7 +65,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_words = os.path.basename(path) in BY_WORDS
+        with open(path, "rb") as file:
+            self.by_words = hashlib.file_digest(file, "sha256").hexdigest() in BY_WORDS
         self.mark = self._ids([self.MARK])[0]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
@@ -205,7 +207,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(partial(_tokenise, tokenizer_path(path), window, end_id), _PIECE)
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "start", "ids_crc32")
+    # a task packs any number of shards one after the other
+    ordered = dealt.repartition(parts(docs.sparkSession), "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "start", "ids_crc32")
     return ordered.mapInArrow(partial(_pack, window), RESULT)
 
 

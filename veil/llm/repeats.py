@@ -32,6 +32,9 @@ SHARD = 1 << 19
 #: Symbols to index of one minimizer; above it its windows are dealt singly.
 MOST = {"word": 1 << 17, "byte": 3 << 18}
 
+#: Rows of a side that is sent to every task.
+SEND = 100_000
+
 _ANCHOR = "m long, h long, key long, pos long"
 _FOUND = "m long, key long, pos long, kind int"
 _SLICE = "m long, key long, start long, runs int, content binary"
@@ -377,18 +380,21 @@ def repeats(docs: DataFrame, unit: str, size: int, gram: int, first_too: bool, i
     weighed = _weighed(first_too, size, MOST[unit])
     found = cut(anchors.repartition(n, "m").sortWithinPartitions("m", "h", "key", "pos").mapInArrow(weighed, _FOUND))
     to_index = found.where(F.col("kind") == INDEX)
-    # at most one for every MOST symbols, so it may be broadcast
+    # at most one for every MOST symbols, which is broadcast up to a size; beyond it these joins shuffle
     heavy = found.where(F.col("kind") == HEAVY).select("m")
-    some_heavy = not heavy.isEmpty()
+    n_heavy = heavy.count()
+    some_heavy = n_heavy > 0
+    if some_heavy and n_heavy <= SEND:
+        heavy = F.broadcast(heavy)
     listed = F.collect_list(F.struct("m", "pos")).alias("wanted")
-    light = to_index.join(F.broadcast(heavy), "m", "left_anti") if some_heavy else to_index
+    light = to_index.join(heavy, "m", "left_anti") if some_heavy else to_index
     # the joins below read the documents by one exchange
     dealt = docs.repartition(n, "key")
     slices = dealt.join(light.groupBy("key").agg(listed), "key").select("key", "text", "wanted").mapInArrow(_slices(unit, size), _SLICE)
     indexed = slices.repartition(n, "m").sortWithinPartitions("m").mapInArrow(_shards(index, large), _FLAG)
     same = found.where(F.col("kind") == REPEAT)
     if some_heavy:
-        wanted = to_index.join(F.broadcast(heavy), "m", "left_semi").groupBy("key").agg(listed)
+        wanted = to_index.join(heavy, "m", "left_semi").groupBy("key").agg(listed)
         singles = dealt.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_singles(unit, size, first_too), _ANCHOR)
         grouped = singles.repartition(n, "m").sortWithinPartitions("m", "h", "key", "pos").mapInArrow(_groups(first_too), _FOUND)
         same = same.unionByName(grouped.where(F.col("kind") == REPEAT))
