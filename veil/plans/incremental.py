@@ -10,7 +10,7 @@ from ..operators.windows import newest
 from ..sources import merged, readers
 from ..sources.readers import table
 from ..sources.store import shared_dir
-from ..streaming import jobs, lost
+from ..streaming import jobs, lost, retract
 from .detection import REDACTED
 from .registry import query
 from .reports import AUDIT, audit_log
@@ -126,3 +126,30 @@ def e07_late_by_batch(spark, sf_dir):
     """All events as they would come in batches of 1,000 ids, with ten days of delay."""
     rows = table(spark, sf_dir, "events").select("event_id", "ts", F.floor(F.col("event_id") / 1000).alias("batch"))
     return merged.late_in_batches(rows, "batch", 864_000_000).select("event_id", "late")
+
+
+def rescans(spark, sf_dir):
+    """Events as changes of five blocks a user, with no, one or two numbers; some are removed or covered."""
+    op = F.when(F.col("event_type") == "view", "removed").when(F.col("event_type") == "error", "covered").otherwise("changed")
+    one = F.concat(F.lit("SSN 123-45-"), (1000 + F.col("event_id") % 9000).cast("string"))
+    text = F.when(F.col("event_id") % 3 == 0, one).when(F.col("event_id") % 3 == 1, "nothing to see").otherwise(F.concat(one, F.lit(" or SSN 219-46-7777")))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), (F.col("event_id") % 5).alias("block_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), op.alias("op"), text.alias("text"))
+
+
+_RESCANS = """
+  WITH e AS (SELECT user_id AS page_id, event_id % 5 AS block_id, ts, event_id AS seq,
+      CASE WHEN event_type IN ('view', 'error') OR event_id % 3 = 1 THEN [] WHEN event_id % 3 = 0 THEN [4] ELSE [4, 23] END AS found FROM events),
+  w AS (SELECT *, coalesce(lag(found) OVER (PARTITION BY page_id, block_id ORDER BY ts, seq), []) AS before FROM e),
+  m AS (SELECT page_id, block_id, ts, seq, 'add' AS move, unnest(list_filter(found, lambda x: NOT list_contains(before, x))) AS start FROM w
+    UNION ALL SELECT page_id, block_id, ts, seq, 'drop', unnest(list_filter(before, lambda x: NOT list_contains(found, x))) FROM w)
+"""
+
+
+@query("e02_rescan_moves", f"{_RESCANS} SELECT page_id, block_id, seq, move, 'ssn' AS pattern, start::INT AS start, (start + 11)::INT AS \"end\" FROM m")
+def e02_rescan_moves(spark, sf_dir):
+    return retract.rescan_moves(rescans(spark, sf_dir)).drop("ts")
+
+
+@query("e02_standing_hits", "SELECT page_id, block_id, 'ssn' AS pattern, start::INT AS start, (start + 11)::INT AS \"end\" FROM (SELECT page_id, block_id, unnest(found) AS start FROM (" + _RESCANS.replace("\n  m AS", "\n  m_ AS") + " SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY page_id, block_id ORDER BY ts DESC, seq DESC) = 1))")
+def e02_standing_hits(spark, sf_dir):
+    return retract.standing_hits(retract.rescan_moves(rescans(spark, sf_dir)))
