@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import WS
 from ..functions.text import normalize_label_words
+from .ambiguity import TooLarge, ambiguity, repeated_shapes
 from .detectors import BUILTIN_ENTRIES, CATALOG, Detector, custom
 
 EXAMPLE_MOST, RUN_MOST, REGEX_MOST, TEMPLATE_MOST = 64, 12, 200, 60
@@ -173,7 +174,7 @@ class Checked:
 
 
 def check_regex(source: str, flags: str = "") -> Checked:
-    """Static rules for users' patterns: they compile, cannot match nothing, and cannot blow up."""
+    """Static rules for users' patterns: they compile, cannot match nothing, hold no data, and read no text in too many ways (ambiguity)."""
     if not source or len(source) > REGEX_MOST:
         return Checked(False, "length")
     if not re.fullmatch("[iu]{0,2}", flags):
@@ -183,14 +184,16 @@ def check_regex(source: str, flags: str = "") -> Checked:
         return Checked(False, "backreference")
     if re.search(r"(?<![\\{,\d])\d{4,}", re.sub(r"\{\d+(?:,\d*)?\}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}", "", bare)):
         return Checked(False, "literal digits")
-    if re.search(r"\((?:[^()\\]|\\.)*(?<!\\)[*+}](?:[^()\\]|\\.)*\)\s*[*+{]", bare):
-        return Checked(False, "nested quantifier")
-    if re.search(r"\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)\s*(?:[*+]|\{\d*,\d*\})", bare):
-        return Checked(False, "repeated alternation")
     try:
         compiled = re.compile(source, re.ASCII)
+        if shape := repeated_shapes(source):
+            return Checked(False, shape)
+        if slow := ambiguity(source, "i" in flags):
+            return Checked(False, f"{slow} time")
     except re.error:
         return Checked(False, "syntax")
+    except TooLarge:
+        return Checked(False, "size")
     return Checked(False, "empty match") if compiled.match("") else Checked(True)
 
 
