@@ -144,3 +144,28 @@ def test_equality_joins(spark):
     asked = spark.createDataFrame([(7, 0, None), (8, 1, "x"), (9, 1, None)], "rule_id int, depth int, url_hmac string")
     assert [(r.frame_id, r.rule_id) for r in windows.frame_join(frames, asked).collect()] == [(2, 8)]
     assert {r.depth: r.rule_ids for r in windows.frame_rules(asked).collect()} == {0: [7], 1: [9]}
+
+
+def test_names_are_raw_only_if_a_developer_gave_them(spark):
+    from veil.operators.page_scan import identifier_like, keyword
+
+    values = ["email", "ssn-input", "_row", "user-jdoe@x", "row-123456789", "a b", "", "x" * 42, "é", "n123", "n1234"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", identifier_like(F.col("v")).alias("i"), keyword(F.col("v")).alias("k")).collect()
+    assert [r.v for r in rows if r.i] == ["email", "ssn-input", "_row", "n123"] and [r.v for r in rows if r.k] == ["email", "ssn-input"]
+
+
+def test_same_view_counts_after_an_identity(spark):
+    from veil.operators import link
+
+    page = '<p id="1234-a">one</p><p id="5678-b">one</p>'
+    elements = html.html_elements(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    seen = elements.withColumn("view", F.when(F.col("node_id") % 2 == 1, "left").otherwise("right"))
+    prints = link.fingerprint(seen, b"k" * 32)
+    first = prints.where("id_ref is not null").orderBy("node_id").first()
+    assert len(first.id_ref) == 64  # data is stored as a keyed hash
+    sticker = prints.where(F.col("node_id") == first.node_id).withColumn("sticker_id", F.lit("s"))
+    scored = {r.node_id: r.score for r in link.score(link.candidates(sticker, prints), sticker, prints).collect()}
+    plain = link.fingerprint(elements, b"k" * 32)
+    sticker = plain.where(F.col("node_id") == first.node_id).withColumn("sticker_id", F.lit("s"))
+    without = {r.node_id: r.score for r in link.score(link.candidates(sticker, plain), sticker, plain).collect()}
+    assert scored[first.node_id] == without[first.node_id] + 15 and all(scored[n] == without[n] for n in scored if n != first.node_id and n % 2 != first.node_id % 2)

@@ -158,6 +158,25 @@ def stable_class(value: Column) -> Column:
     return value.rlike(r"^[a-z][a-z0-9]*(?:[-_]{1,2}[a-z0-9]+)*\z") & ~value.rlike("[0-9]{3,}|^css-|^sc-|^jss|__[A-Za-z0-9]{5,}")
 
 
+def identifier_like(value: Column) -> Column:
+    """A name that a developer gave, which may be stored as it is; data, such as a number or an address, is not."""
+    return value.rlike(r"^[A-Za-z_][A-Za-z0-9_-]{0,40}\z") & ~value.rlike("[0-9]{4,}")
+
+
+def keyword(value: Column) -> Column:
+    """A short word, as types and roles are."""
+    return value.rlike(r"^[A-Za-z][A-Za-z-]{0,23}\z")
+
+
+def xpath(elements: DataFrame) -> DataFrame:
+    """(page_id, node_id, xpath): every step from the root down, by its place among the siblings of its tag."""
+    step = F.concat(F.lower("tag"), F.lit("["), F.col("nth_of_type").cast("string"), F.lit("]"))
+    steps = elements.select("page_id", F.col("node_id").alias("step"), step.alias("segment"))
+    climbed = elements.select("page_id", "node_id", F.posexplode("path").alias("down", "step")).join(steps, ["page_id", "step"])
+    listed = climbed.groupBy("page_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("down", "segment"))), lambda x: x["segment"]).alias("s"))
+    return listed.select("page_id", "node_id", F.concat(F.lit("/"), F.array_join("s", "/")).alias("xpath"))
+
+
 def identity_path(elements: DataFrame) -> DataFrame:
     """(page_id, node_id, identity_path): up to twelve tag:nth steps from an element up, to the nearest stable id."""
     own = F.when(stable_id(F.coalesce(F.try_element_at("attrs", F.lit("id")), F.lit(""))), F.concat(F.lit("#"), F.try_element_at("attrs", F.lit("id")))).otherwise(F.concat_ws(":", F.lower("tag"), "nth_of_type"))

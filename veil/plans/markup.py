@@ -128,6 +128,34 @@ def b08_css_path_of_orders(spark, sf_dir):
     return P.css_path(_elements(spark, sf_dir))
 
 
+_XPATHS = [(n, "/" + "/".join(f"{t}[{i}]" for t, i in (step.split(":") for step in x[5].split("/")))) for n, x in _NODES.items()]
+
+
+@query("b08_xpath_of_orders", _rows("node_id INT, xpath VARCHAR", _XPATHS))
+def b08_xpath_of_orders(spark, sf_dir):
+    return P.xpath(_elements(spark, sf_dir))
+
+
+# below a form with an id an identity path begins there, a positional one does not
+_FROM_FORM = [(n, x[5].replace("html:1/body:1/form:1", "#entry"), dict(_XPATHS)[n]) for n, x in _NODES.items()]
+
+
+@query("b08_paths_below_an_id", _rows("node_id INT, identity_path VARCHAR, xpath VARCHAR", _FROM_FORM))
+def b08_paths_below_an_id(spark, sf_dir):
+    pages = made_pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<form>"), F.lit('<form id="entry">')))
+    elements = written(html.html_elements(pages))
+    return P.identity_path(elements).join(P.xpath(elements), ["page_id", "node_id"])
+
+
+_REFS = "CASE n WHEN 6 THEN 'ssn' WHEN 7 THEN 'note' END"
+
+
+@query("l01_names_of_orders", f"SELECT o_orderkey AS page_id, n::INT AS node_id, CASE WHEN n = 6 THEN 'f' END AS id_ref, {_REFS} AS name_ref FROM orders CROSS JOIN (SELECT unnest(range(1, 19)) AS n)")
+def l01_names_of_orders(spark, sf_dir):
+    """Ids and names that a developer gave are stored as they are."""
+    return L.fingerprint(written(_elements(spark, sf_dir)), KEY).select("page_id", "node_id", "id_ref", "name_ref")
+
+
 _LABELLED = [(n, x[7], x[8]) for n, x in _NODES.items() if x[7]]
 
 
