@@ -32,8 +32,8 @@ END_ID = 1
 BY_WORDS = {"53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a"}
 #: Documents of one shard, on average; a shard leaves a few windows open.
 SHARD_DOCS = 4096
-#: Words, and parts of words, that a worker keeps.
-KEEP_WORDS, KEEP_PARTS = 1_200_000, 800_000
+#: Words that a worker keeps, and two thirds as many parts of words: about 340 bytes each, both together.
+KEEP_WORDS = 1_200_000
 _WORKER: dict = {}
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -61,10 +61,10 @@ class WordIds:
 
     MARK = "\x01"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         with open(path, "rb") as file:
             self.by_words = hashlib.file_digest(file, "sha256").hexdigest() in BY_WORDS
         self.mark = self._ids([self.MARK])[0]
@@ -72,11 +72,11 @@ class WordIds:
         self.parts: dict[str, bytes] = {"": b""}
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
-        if path not in _WORKER:
+    def of(cls, path: str, keep: int = KEEP_WORDS) -> WordIds:
+        if (path, keep) not in _WORKER:
             _WORKER.clear()
-            _WORKER[path] = cls(path)
-        return _WORKER[path]
+            _WORKER[path, keep] = cls(path, keep)
+        return _WORKER[path, keep]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,7 +86,7 @@ class WordIds:
 
     def table(self, split: list[list[bytes]]) -> dict[bytes, bytes]:
         """The ids of all these words, and others."""
-        if len(self.words) > KEEP_WORDS:
+        if len(self.words) > self.keep:
             self.words = {}
         fresh = list(set().union(*split).difference(self.words))
         for a in range(0, len(fresh), 4096):
@@ -98,7 +98,7 @@ class WordIds:
         """A word of letters between punctuation is three parts that the tokenizer never joins: parts are looked up once."""
         texts = [w.decode() for w in words]
         split = [m.groups() if m else None for m in map(_PARTS.fullmatch, texts)]
-        if len(self.parts) > KEEP_PARTS:
+        if len(self.parts) > self.keep * 2 // 3:
             self.parts = {"": b""}
         parts = [(p[0], p[1].lower(), p[2]) if p else (t,) for p, t in zip(split, texts, strict=True)]
         fresh = list({p for word in parts for p in word}.difference(self.parts))
@@ -117,9 +117,9 @@ class WordIds:
         return [np.array(ids, "<u4").tobytes() for ids in self._ids(texts)]
 
 
-def _tokenise(path: str, window: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokenise(path: str, window: int, end_id: int, keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    word_ids = WordIds.of(path)
+    word_ids = WordIds.of(path, keep)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -200,12 +200,12 @@ def _pack(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], RESULT.replace(" long", "").split(", "))
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document with their window and place in it, as RESULT."""
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, keep: int = KEEP_WORDS) -> DataFrame:
+    """The pieces of every document with their window and place in it, as RESULT. keep: words that a worker holds."""
     small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(partial(_tokenise, tokenizer_path(path), window, end_id), _PIECE)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(partial(_tokenise, tokenizer_path(path), window, end_id, keep), _PIECE)
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
     # a task packs any number of shards one after the other
     ordered = dealt.repartition(parts(docs.sparkSession), "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "start", "ids_crc32")
