@@ -40,8 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become pieces of training sequences."""
-    return pack(docs)
+    """Documents become pieces of training sequences; workers that other stages have used keep fewer words."""
+    return pack(docs, keep=200_000)
 
 
 STAGES = [
