@@ -121,10 +121,26 @@ def scan_stats(blocks: DataFrame, hits: DataFrame, cap: int = 20_000) -> DataFra
     return by_doc.join(found, "doc_key", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
 
 
-def hit_report(hits: DataFrame) -> DataFrame:
-    """Hits by source, pattern and strength with all subtotals."""
-    report = hits.cube("source", "pattern", "strength").agg(F.count("*").alias("n"), F.countDistinct("doc_key").alias("docs"), F.grouping_id().alias("level"))
-    return report.select("source", "pattern", "strength", "n", "docs", F.col("level").cast("long").alias("level"))
+def hit_report(hits: DataFrame, log_k: int | None = None) -> DataFrame:
+    """Hits (source, pattern, strength, doc_key) by source, pattern and strength with all subtotals, in one pass over hits.
+
+    n counts hits and docs different documents (a null doc_key is none). A document has few leaves, whatever its hits:
+    these are counted first and the subtotals are made from the leaves, so no hit is copied for a subtotal. log_k: docs from
+    sketches of 2^log_k registers, one for each leaf, merged for the subtotals; the estimate's standard error is about
+    0.83 / sqrt(2^log_k) (1.3 % at 12), and documents are not shuffled at all. No hits give no rows.
+    """
+    keys = ["source", "pattern", "strength"]
+    if log_k is None:
+        leaves = hits.groupBy("doc_key", *keys).agg(F.count("*").alias("n"))
+        sets = [["doc_key", *(k for i, k in enumerate(keys) if kept >> i & 1)] for kept in range(8)]
+        cells = leaves.groupingSets(sets, "doc_key", *keys).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+        report = cells.groupBy(*keys, "level").agg(F.sum("n").alias("n"), F.count("doc_key").alias("docs"))
+    else:
+        doc = F.when(F.col("doc_key").isNotNull(), F.xxhash64("doc_key"))  # a sketch leaves empty strings out
+        leaves = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.hll_sketch_agg(doc, log_k).alias("docs"))
+        docs = F.hll_sketch_estimate(F.hll_union_agg("docs"))
+        report = leaves.cube(*keys).agg(F.sum("n").alias("n"), docs.alias("docs"), F.grouping_id().alias("level"))
+    return report.select(*keys, "n", "docs", F.col("level").cast("long").alias("level"))
 
 
 def coverage_report(states: DataFrame) -> DataFrame:

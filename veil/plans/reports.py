@@ -85,15 +85,19 @@ def g03_scan_stats(spark, sf_dir):
     return A.scan_stats(blocks, exploded(detect(blocks)))
 
 
+_BY_LINE = LINES.replace("SELECT CAST(doc_id", "SELECT source, CAST(doc_id").replace("SELECT doc_id, string_split", "SELECT source, doc_id, string_split")
+
+
 @query(
     "g04_hit_report",
-    f"WITH h AS (SELECT source, doc_key, 'card' AS pattern, 'high' AS strength FROM {LINES} JOIN documents ON doc_key = CAST(doc_id AS VARCHAR) WHERE len({CARDS.replace('text', 'l.text') if False else CARDS.replace('text,', 'ltext,')}) > 0 UNION ALL SELECT source, doc_key, 'catalog:email', 'high' FROM {LINES} JOIN documents ON doc_key = CAST(doc_id AS VARCHAR) WHERE regexp_matches(ltext, '{_EMAIL}')) SELECT source, pattern, strength, count(*) AS n, count(DISTINCT doc_key) AS docs, grouping_id(source, pattern, strength)::BIGINT AS level FROM h GROUP BY CUBE (source, pattern, strength)".replace("unnest(l) AS text", "unnest(l) AS ltext"),
+    f"WITH h AS (SELECT source, doc_key, 'card' AS pattern, unnest({CARDS}) AS value FROM {_BY_LINE} UNION ALL SELECT source, doc_key, 'catalog:email', unnest(regexp_extract_all(text, '{_EMAIL}')) FROM {_BY_LINE}) SELECT source, pattern, strength, count(*) AS n, count(DISTINCT doc_key) AS docs, grouping_id(source, pattern, strength)::BIGINT AS level FROM (SELECT *, 'high' AS strength FROM h) GROUP BY CUBE (source, pattern, strength)",
 )
 def g04_hit_report(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    """Hits of all built-in detectors and of the catalogue's for emails, in all documents."""
+    docs = readers.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     blocks = docs.select(F.col("doc_id").cast("string").alias("doc_key"), "source", F.posexplode(F.split("text", "\n")).alias("block_id", "text"))
-    one_each = [detect(blocks, detectors=[d]).select("doc_key", "source", F.explode("hits").alias("h")) for d in _WITH_EMAIL if d.id in ("card", "email")]
-    return A.hit_report(one_each[0].unionByName(one_each[1]).select("doc_key", "source", "h.pattern", "h.strength"))
+    found = detect(blocks, detectors=_WITH_EMAIL, keep="all").select("doc_key", "source", F.explode_outer("hits").alias("h"))
+    return A.hit_report(found.where("h is not null").select("doc_key", "source", "h.pattern", "h.strength"))
 
 
 @query("g05_coverage_report", "SELECT page_id, count(*) FILTER (state = 'lost') AS lost, count(*) FILTER (state = 'attached') AS attached, count(*) FILTER (state = 'backstop') AS backstop, min(sticker_id) FILTER (state = 'lost') AS first_lost FROM (SELECT l_orderkey AS page_id, l_linenumber AS sticker_id, (['lost', 'attached', 'backstop'])[l_partkey % 3 + 1] AS state FROM lineitem) GROUP BY page_id")
