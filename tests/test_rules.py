@@ -57,3 +57,11 @@ def test_fixed_letters_and_open_counts(spark):
     made = spark.createDataFrame([(u, r, d) for u, r, d in rows], f"units {teach.UNITS}, regex string, said string")
     for r in made.select("regex", "said", teach.units_to_regex(made.units).alias("a"), teach.describe_units(made.units).alias("b")).collect():
         assert (r.a, r.b) == (r.regex, r.said)
+
+
+def test_toggles_keep_good_keys_with_values(spark):
+    rows = spark.createDataFrame([({"email": True, "vin": False, "none": None, "Bad Key": True, "": True, "x" * 41: True, "x" * 40: False},), ({},), (None,)], "toggles map<string, boolean>")
+    from veil.operators.audit import clean_toggles
+
+    found = [r[0] for r in rows.select(clean_toggles(rows.toggles)).collect()]
+    assert found == [{"email": True, "vin": False, "x" * 40: False}, {}, None]

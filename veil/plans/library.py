@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, incremental, joins, made, markup, pages, reports, texts, values  # noqa: F401
+from . import detection, incremental, joins, made, markup, pages, records, reports, texts, values  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
