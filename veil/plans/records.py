@@ -127,7 +127,7 @@ def exploded_spans(found):
 
 def _taught(spark, sf_dir):
     """A detector for each nation as users teach them: a good one for even numbers, for odd ones a pattern that is refused."""
-    bad = "element_at(array('(a+)+b', 'NB0[0-9]*[0-9]*-', '(NB)-\\1', 'NB1234'), cast(n_nationkey div 2 % 4 as int) + 1)"
+    bad = r"element_at(array('(a+)+b', 'NB0[0-9]*[0-9]*-', '(NB)-\\1', 'NB1234'), cast(n_nationkey div 2 % 4 as int) + 1)"
     regex = rf"if(n_nationkey % 2 = 0, concat('\\bNA', lpad(cast(n_nationkey as string), 2, '0'), '-[0-9]{{10}}\\b'), {bad})"
     return table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.expr(regex).alias("regex"), F.lit(None).cast("string").alias("flags"), F.array(F.lit("invoice")).alias("labels"), F.lit("low").alias("strength"))
 
