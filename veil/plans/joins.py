@@ -94,6 +94,20 @@ def j12_locate_exact(spark, sf_dir):
     return W.locate_exact(asked, ["doc_key"])
 
 
+_LAST_WORD = f"regexp_extract(text, '([^{WS}]+)[{WS}]*$', 1)"
+
+
+@query(
+    "j12_locate_last_words",
+    f"WITH b AS (SELECT doc_key, regexp_replace(text, '[{WS}]', '', 'g') AS t, {_LAST_WORD} AS w, len(text) % 40 AS near FROM {TURNS}), h AS (SELECT doc_key, t, w, near, unnest(range(0, len(t))) AS pos FROM b WHERE w <> '') SELECT doc_key, arg_min(pos, abs(pos - near) * 100000 + pos)::INT AS \"at\" FROM h WHERE substr(t, pos + 1, len(w)) = w GROUP BY doc_key",
+)
+def j12_locate_last_words(spark, sf_dir):
+    """Each turn's last word, where it stands nearest to a place that depends on the turn."""
+    turns = readers.read_turns(spark, sf_dir)
+    asked = turns.withColumn("needle", F.regexp_extract("text", rf"([^{WS}]+)[{WS}]*\z", 1)).withColumn("near", (F.length("text") % 40).cast("int"))
+    return W.locate_exact(asked, ["doc_key"])
+
+
 @query(
     "j13_locate_by_hash",
     f"WITH w AS (SELECT doc_key, substr(text, 6, 12) AS v FROM {TURNS} WHERE len(text) >= 17), t AS (SELECT doc_key, text, unnest(range(0, len(text) - 11)) AS pos FROM {TURNS} WHERE len(text) >= 17) SELECT t.doc_key, 'covered' AS target, arg_min(pos, abs(pos - 7) * 1000 + pos)::INT AS \"at\" FROM t JOIN w USING (doc_key) WHERE substr(t.text, pos + 1, 12) = w.v GROUP BY t.doc_key",
