@@ -26,6 +26,40 @@ def test_ids_as_the_library_says():
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == want[a : a + 400]
 
 
+class Asked:
+    """A tokenizer that counts the characters it gets."""
+
+    def __init__(self, inner):
+        self.inner, self.n = inner, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.n += sum(map(len, texts))
+        return self.inner.encode_batch_fast(texts, **how)
+
+
+def test_a_full_table_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(T, "KEEP_PIECES", 100, raising=False)
+    monkeypatch.setattr(T, "KEEP_PARTS", 100)
+    ids = T.PieceIds(T.tokenizer_path())
+    texts = ["often used words, été (here)\nand there " + " ".join(chr(97 + i % 26) * (i // 26 + 1) for i in range(a, a + 300)) for a in (0, 300)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(T.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    assert [ids([t])[0] for t in texts] == want
+    counts = [Asked(found) for found in (ids.tokenizer, getattr(ids, "model", None))]
+    ids.tokenizer, ids.model = counts
+    assert [ids([texts[1]])[0] for _ in range(3)] == want[1:] * 3
+    assert sum(c.n for c in counts) == 0
+
+
+def test_parts_of_latin_letters_as_the_library_says(monkeypatch):
+    monkeypatch.setattr(T, "KEEP_PARTS", 50)
+    rng, path = random.Random(2), T.tokenizer_path()
+    letters = [*map(chr, range(192, 256)), *"aeionstrAEß_ÿĀªºµ"]
+    texts = [" ".join(rng.choice(["", "", "(", "\"", "_"]) + "".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", ",", "...", "\n", "\x00", "'s", "<|endoftext|>"]) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    want, ids = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)], T.PieceIds(path)
+    for a in range(0, len(texts), 250):
+        assert [np.frombuffer(f, "<u4").tolist() for f in ids(texts[a : a + 250])] == want[a : a + 250]
+
+
 def test_other_vocabularies_read_whole_texts():
     import public_tokenizers
 
@@ -97,6 +131,27 @@ def test_op12(spark, odd):
     assert counts[token] == len(want) and counts[0] >= len(rows)
 
 
+@pytest.mark.parametrize("chunk, most", [(1, 1), (1, 400), (1 << 30, 1), (1 << 30, 400), (2000, 1 << 20)])
+def test_files_end_with_the_document_that_fills_them(monkeypatch, chunk, most):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "CHUNK", chunk, raising=False)
+    rng = random.Random(9)
+    texts = [random_text(rng, rng.choice([0, 3, 90, 400])) for _ in range(60)]
+    own = [[*e.ids, 0] for e in Tokenizer.from_file(T.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    batches = [pa.RecordBatch.from_pydict({"key": pa.array(range(a, a + 7), pa.int64())[: len(texts[a : a + 7])], "doc_id": pa.array([None] * len(texts[a : a + 7]), pa.int64()), "text": texts[a : a + 7]}) for a in range(0, 60, 7)]
+    found, at, before = [b.to_pylist()[0] for b in T._write(T.tokenizer_path(), 0, most, iter(batches))], 0, 0
+    for row in found:
+        mine = own[at : at + row["n_docs"]]
+        file = wavelet.TokenFile(row["content"])
+        assert file.ids().tolist() == [x for d in mine for x in d] and file.doc_ids == [None] * len(mine)
+        assert file.ends.tolist() == np.cumsum([len(d) for d in mine]).tolist()
+        assert (row["first_key"], row["before"], row["n_tokens"]) == (at, before, file.n)
+        assert file.n - len(mine[-1]) < most and (file.n >= most or row is found[-1])
+        at, before = at + len(mine), before + file.n
+    assert at == len(texts)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.read_tokens(T.write_tokens(docs)).collect() == []

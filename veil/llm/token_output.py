@@ -6,9 +6,10 @@ A row is (part, first_key, before, n_docs, n_tokens, content); ``before`` counts
 document starts in the whole corpus follows from one sum for each part.
 
 A vocabulary that splits at white space without any normalising (its file says so) gives ids by pieces: text is cut at
-single spaces and line ends between other characters, where such a vocabulary always begins a new pre-token; pieces are
-looked up in bounded tables that a worker keeps, and only new ones go to the library, many to a call.  Texts with
-control strings of the vocabulary, and vocabularies of other kinds, go to the library whole.
+single spaces and line ends between other characters, where such a vocabulary always begins a new pre-token.  The distinct
+pieces of some megabytes of text are cut into parts; parts are looked up in a bounded table that a worker keeps, and only new
+ones go to the library, many to a call.  A part of Latin letters or of punctuation is one pre-token, so it goes to the file's model at once.
+Texts with control strings of the vocabulary or with CUT, and vocabularies of other kinds, go to the library whole.
 
 Cases: null and empty texts are one end id; rows that share a doc_id are separate documents, in the order of text; a
 null doc_id comes first; a document longer than a shard is one file; an empty table gives no files and an empty result; other
@@ -21,11 +22,12 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,25 @@ from .wavelet import TokenFile, encode
 END_ID = 0
 #: Ids of one file, about.
 SHARD_TOKENS = 1 << 20
-#: Pieces, and parts of pieces, that a worker keeps.
-KEEP_PIECES, KEEP_PARTS = 1_000_000, 1_000_000
+#: Parts of pieces that a worker keeps.
+KEEP_PARTS = 500_000
+#: Bytes of the texts that a worker takes together, about.
+CHUNK = 8 << 20
 _WORKER: dict = {}
 
 FILES = "part int, first_key long, before long, n_docs long, n_tokens long, content binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _LINE, _SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+#: Where a text is cut; texts that hold this character go to the library whole.
+CUT = "\x00"
+#: The letter of byte 255, which is in no text: it ends a pre-token that goes to the model.
+MARK = "ÿ"
+
 # Latin letters between ASCII punctuation; an apostrophe may begin a suffix, so it is out.
 _PUNCTUATION = r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
-_PARTS = re.compile(f"(\n?)( ?{_PUNCTUATION}+)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)({_PUNCTUATION}*)")
+_PARTS = f"\\A(?P<a>\n?)(?P<b> ?{_PUNCTUATION}+)?(?P<c> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<d>{_PUNCTUATION}*)\\z"
+_EMPTY = pa.scalar("", pa.large_string())
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -70,9 +80,9 @@ class PieceIds:
         self.control = [t["content"] for t in said.get("added_tokens") or []]
         self.line = self._ids(["\n"])[0]
         self.by_pieces = self.by_pieces and len(self.line) == 1
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.model = self._split_before(said["model"]) if self.by_pieces else None
+        # parts with ids: their texts, all ids one after the other, how many each has
+        self.kept = pa.array(["", "\n"], pa.large_string()), np.array(self.line, "<u4"), np.array([0, len(self.line)])
 
     @classmethod
     def of(cls, path: str) -> PieceIds:
@@ -84,62 +94,152 @@ class PieceIds:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _split_before(self, said: dict):
+        """The file's model behind a split at line ends, for pre-tokens in the letters of bytes; none where it may join MARK to others."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = said.get("type") == "BPE" and not any(said.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if not plain or [t for t in said["vocab"] if MARK in t] != [MARK]:
+            return None
+        self.mark = said["vocab"][MARK]
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(ord("À"), 256)}
+        found = Tokenizer(self.tokenizer.model)
+        found.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        return found
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_pieces:
-            return [np.array(self._ids([t])[0], "<u4").tobytes() for t in texts]
-        split = [None if any(c in t for c in self.control) else self._pieces(t) for t in texts]
-        some = [p for p in split if p]
-        self.plain = self._known(self.plain, {p[0] for p in some}, "")
-        self.spaced = self._known(self.spaced, set().union(*some), " ")
-        plain, spaced, out = self.plain, self.spaced.__getitem__, []
-        for text, p in zip(texts, split, strict=True):
-            if p:
-                each = iter(p)
-                out.append(plain[next(each)] + b"".join(map(spaced, each)))
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        column = column.cast(pa.large_string())
+        plain, odd, whole, pieces, given = [], [], [], [], []
+        for i, text in enumerate(column.to_pylist()):
+            if not self.by_pieces or CUT in text or any(c in text for c in self.control):
+                whole.append(i)
+                given += self._ids([text])
+            elif _odd(text):
+                odd.append(i)
+                pieces.append(_pieces(text))
             else:
-                out.append(np.array(self._ids([text])[0], "<u4").tobytes())
+                plain.append(i)
+        some = column if len(plain) == len(column) else column.take(pa.array(plain, pa.int64()))
+        for c in " \n":
+            some = pc.replace_substring(some, c, CUT + c)
+        split = pc.split_pattern(some, CUT)
+        distinct = pa.concat_arrays([split.flatten(), _strings(x for p in pieces for x in p)]).dictionary_encode()
+        ids, lengths = self._of_pieces(distinct.dictionary)
+        # a whole text is one piece by itself
+        codes = np.concatenate([distinct.indices.to_numpy(), len(lengths) + np.arange(len(whole))])
+        sizes = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(p) for p in pieces], np.int64), np.ones(len(whole), np.int64)])
+        if odd or whole:
+            place = np.argsort(plain + odd + whole)
+            codes, sizes = _gather(codes, sizes, place), sizes[place]
+            ids = np.concatenate([ids, *(np.array(g, "<u4") for g in given)])
+            lengths = np.concatenate([lengths, np.array([len(g) for g in given], np.int64)])
+        return _gather(ids, lengths, codes), np.add.reduceat(lengths[codes], np.cumsum(sizes) - sizes) if len(sizes) else sizes
+
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct pieces, from those of their parts, of which only new ones go to the library."""
+        if not len(pieces):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        parts = pc.extract_regex(pieces, _PARTS)
+        columns = [pc.coalesce(c, pieces if i == 2 else _EMPTY) for i, c in enumerate(parts.flatten())]
+        kept, ids, lengths = self.kept
+        found = pa.concat_arrays([kept, *columns]).dictionary_encode()
+        texts, codes = found.dictionary, found.indices.to_numpy()[len(kept) :]
+        each, single = codes.reshape(4, len(pieces)), np.zeros(len(texts), bool)
+        single[each[:, parts.is_valid().to_numpy(zero_copy_only=False)]] = True
+        more, their = self._look_up(texts[len(kept) :], single[len(kept) :])
+        ids, lengths = np.concatenate([ids, more]), np.concatenate([lengths, their])
+        out = _gather(ids, lengths, each.T.ravel()), lengths[each].sum(0)
+        if len(texts) > KEEP_PARTS:
+            stay = np.unique(np.concatenate([np.arange(2), codes]))
+            texts, ids, lengths = texts.take(pa.array(stay)), _gather(ids, lengths, stay), lengths[stay]
+        self.kept = texts, ids, lengths
+        return out
+
+    def _look_up(self, texts: pa.Array, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of each part by the library. single: which are one pre-token of ASCII or of Latin letters; they go to the model in the letters of their bytes."""
+        single, ascii_ = single & (self.model is not None), pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)
+        order, ids, lengths = [], [], []
+        for mask in (single & ascii_, single & ~ascii_):
+            which = np.flatnonzero(mask)
+            if not len(which):
+                continue
+            lists = pa.ListArray.from_arrays(pa.array([*range(0, len(which), 4096), len(which)], pa.int32()), texts.take(pa.array(which)))
+            lines = pc.binary_join(lists, pa.scalar("\n", pa.large_string())).to_pylist()
+            marked = [(x if x.isascii() else x.translate(self.letters)).replace(" ", "Ġ").replace("\n", f"{MARK}\n") + MARK for x in lines]
+            found = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(marked, add_special_tokens=False)])
+            is_mark = found == self.mark
+            stops = np.flatnonzero(is_mark)
+            if len(stops) != len(which):
+                single = single & ~mask
+                continue
+            order.append(which)
+            ids.append(found[~is_mark])
+            lengths.append(np.diff(stops, prepend=-1) - 1)
+        order.append(np.flatnonzero(~single))
+        rest = self._by_lines(texts.take(pa.array(order[-1])).to_pylist())
+        ids += [np.array(r, "<u4") for r in rest]
+        lengths.append(np.array([len(r) for r in rest], np.int64))
+        place = np.argsort(np.concatenate(order))
+        ids, lengths = np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate(lengths)
+        return _gather(ids, lengths, place), lengths[place]
+
+    def _by_lines(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each, in few calls where none has odd white space: a line each."""
+        out: list[list[int]] = []
+        for a in range(0, len(texts), 8192):
+            some = texts[a : a + 8192]
+            joined = "\n".join(some)
+            odd = "\n\n" in joined or " \n" in joined or "\n  " in joined or joined[:1] == "\n" or joined[:2] == "  " or joined[-1:] in (" ", "\n")
+            if not odd and joined.replace("\n", "").isprintable():
+                ids = self._ids([joined])[0]
+                stops = [i for i, x in enumerate(ids) if x == self.line[0]]
+                if len(stops) == len(some) - 1:
+                    out += [ids[a:b] for a, b in zip([0, *(s + 1 for s in stops)], [*stops, len(ids)], strict=True)]
+                    continue
+            out += self._ids(some)
         return out
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """The first piece, then those with one space before them, which is not in the piece, or one line end, which is."""
-        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
-        # what is printable has no white space but spaces
-        if odd or not text.replace("\n", "").isprintable():
-            lines = [_SPACE.split(line) for line in _LINE.split(text)]
-            return lines[0] + [piece if i else f"\n{piece}" for line in lines[1:] for i, piece in enumerate(line)]
-        return text.replace("\n", " \n").split(" ")
-
-    def _known(self, known: dict[str, bytes], asked: set[str], before: str) -> dict[str, bytes]:
-        """The table with all these pieces."""
-        if len(known) > KEEP_PIECES:
-            known = {}
-        if len(self.parts) > KEEP_PARTS:
-            self.parts = {"": b""}
-        fresh, parts = list(asked.difference(known)), self.parts
-        for a in range(0, len(fresh), 8192):
-            some = fresh[a : a + 8192]
-            # most pieces are words, which are one part
-            words = [piece for piece in some if piece.isalpha()]
-            others = [piece for piece in some if not piece.isalpha()] if len(words) < len(some) else []
-            texts = [before + piece for piece in words]
-            matched = [(m.groups("") if (m := _PARTS.fullmatch(t)) else (t, "", "", "")) for t in (piece if piece[:1] == "\n" else before + piece for piece in others)]
-            parts.update(self._look_up(list(set(texts).union(*matched).difference(parts))))
-            known.update(zip(words, map(parts.__getitem__, texts), strict=True))
-            known.update((piece, parts[w] + parts[x] + parts[y] + parts[z]) for piece, (w, x, y, z) in zip(others, matched, strict=True))
-        return known
-
-    def _look_up(self, texts: list[str]) -> dict[str, bytes]:
-        """Ids of each, in one call where none has odd white space: a line each."""
-        joined = "\n".join(texts)
-        odd = "\n\n" in joined or " \n" in joined or "\n  " in joined or joined[:1] == "\n" or joined[:2] == "  " or joined[-1:] in (" ", "\n")
-        if texts and not odd and joined.replace("\n", "").isprintable():
-            ids = np.array(self._ids([joined])[0], "<u4")
-            stops = 4 * np.flatnonzero(ids == self.line[0])
-            if len(stops) == len(texts) - 1:
-                raw = ids.tobytes()
-                return {t: raw[a:b] for t, a, b in zip(texts, [0, *(stops + 4).tolist()], [*stops.tolist(), len(raw)], strict=True)}
-        return {t: np.array(ids, "<u4").tobytes() for t, ids in zip(texts, self._ids(texts), strict=True)}
+
+def _strings(texts: Iterable[str]) -> pa.Array:
+    return pa.array(list(texts), pa.large_string())
+
+
+def _gather(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of values laid end to end by groups of these lengths, the groups ``codes``, one after the other."""
+    starts, each = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
+    return values[np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+
+
+def _odd(text: str) -> bool:
+    """Whether there is other white space than single spaces and line ends between other characters."""
+    # what is printable has no white space but spaces
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or not text.replace("\n", "").isprintable()
+
+
+def _pieces(text: str) -> list[str]:
+    """The first piece, then those that begin at one space or one line end between other characters."""
+    lines = [_SPACE.split(line) for line in _LINE.split(text)]
+    return [f"{' ' if j else chr(10) if i else ''}{piece}" for i, line in enumerate(lines) for j, piece in enumerate(line)]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about CHUNK bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _write(path: str, end_id: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,28 +247,36 @@ def _write(path: str, end_id: int, most: int, batches: Iterator[pa.RecordBatch])
     from pyspark import TaskContext
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    ids_of, end = PieceIds.of(path), np.array([end_id], "<u4").tobytes()
+    ids_of = PieceIds.of(path)
     context = TaskContext.get()
     part, before = context.partitionId() if context else 0, 0
-    first, doc_ids, held, size = None, [], [], 0
+    first, doc_ids, held, counts, size = None, [], [], [], 0
     kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary())
 
     def done():
-        ends = np.cumsum([len(x) // 4 for x in held])
-        content = encode(np.frombuffer(b"".join(held), "<u4"), doc_ids, ends)
+        content = encode(np.concatenate(held), doc_ids, np.cumsum(np.concatenate(counts)))
         row = (part, first, before, len(doc_ids), size, content)
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in FILES.split(", ")])
 
-    for batch in batches:
-        for key, doc_id, ids in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist()), strict=True):
-            first = key if first is None else first
-            doc_ids.append(doc_id)
-            held.append(ids + end)
-            size += len(ids) // 4 + 1
+    for batch in _chunks(batches):
+        keys, theirs = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
+        ids, each = ids_of.flat(batch.column("text"))
+        ids, each = np.insert(ids, np.cumsum(each), end_id), each + 1
+        ends, at = np.cumsum(each), 0
+        while at < len(ends):
+            begin = int(ends[at - 1]) if at else 0
+            # up to the document that fills the file
+            to = min(int(np.searchsorted(ends, begin + most - size)) + 1, len(ends))
+            first = keys[at] if first is None else first
+            doc_ids += theirs[at:to]
+            held.append(ids[begin : ends[to - 1]])
+            counts.append(each[at:to])
+            size += int(ends[to - 1]) - begin
+            at = to
             if size >= most:
                 yield done()
                 before += size
-                first, doc_ids, held, size = None, [], [], 0
+                first, doc_ids, held, counts, size = None, [], [], [], 0
     if doc_ids:
         yield done()
 
