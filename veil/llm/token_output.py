@@ -131,12 +131,13 @@ class PieceIds:
             some = pc.replace_substring(some, c, CUT + c)
         split = pc.split_pattern(some, CUT)
         distinct = pa.concat_arrays([split.flatten(), _strings(x for p in pieces for x in p)]).dictionary_encode()
-        ids, lengths = self._of_pieces(distinct.dictionary)
-        # a whole text is one piece by itself
-        codes = np.concatenate([distinct.indices.to_numpy(), len(lengths) + np.arange(len(whole))])
         sizes = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(p) for p in pieces], np.int64), np.ones(len(whole), np.int64)])
+        del column, some, split, pieces  # they are as large as the texts
+        ids, lengths = self._of_pieces(distinct.dictionary)
+        codes = distinct.indices.to_numpy()
         if odd or whole:
-            place = np.argsort(plain + odd + whole)
+            # a whole text is one piece by itself
+            place, codes = np.argsort(plain + odd + whole), np.concatenate([codes, len(lengths) + np.arange(len(whole))])
             codes, sizes = _gather(codes, sizes, place), sizes[place]
             ids = np.concatenate([ids, *(np.array(g, "<u4") for g in given)])
             lengths = np.concatenate([lengths, np.array([len(g) for g in given], np.int64)])
@@ -213,8 +214,13 @@ def _strings(texts: Iterable[str]) -> pa.Array:
 
 def _gather(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Of values laid end to end by groups of these lengths, the groups ``codes``, one after the other."""
-    starts, each = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
-    return values[np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+    starts, out = np.cumsum(lengths) - lengths, [values[:0]]
+    for a in range(0, len(codes), 1 << 16):  # what is between stays in the processor's cache
+        some = codes[a : a + (1 << 16)]
+        each = lengths[some]
+        ends = np.cumsum(each)
+        out.append(values[np.repeat(starts[some] - ends + each, each) + np.arange(ends[-1])])
+    return np.concatenate(out)
 
 
 def _odd(text: str) -> bool:

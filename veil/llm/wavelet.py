@@ -35,14 +35,18 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> byte
     sections = [np.array([d or 0 for d in doc_ids], "<i8"), np.packbits(np.array([d is None for d in doc_ids], bool)), np.asarray(ends, "<u4"), symbols.astype("<u4")]
     parts = [x.tobytes() for x in sections]
     for level in range(bits - 1, -1, -1):
-        one = (current & current.dtype.type(1 << level)).astype(bool)
-        packed = np.packbits(one, bitorder="little")
-        blocks = [packed[a : a + BLOCK // 8] for a in range(0, len(packed), BLOCK // 8)]
-        ones = np.cumsum([0, *(int(np.bitwise_count(b).sum()) for b in blocks)])
-        pressed = [press.compress(b.tobytes()) for b in blocks]
-        parts += [_WIDTH.pack(len(ids) - int(ones[-1])), ones[:-1].astype("<u4").tobytes(), np.cumsum(list(map(len, pressed))).astype("<u4").tobytes(), b"".join(pressed)]
-        # places are taken, as a mask costs a guess for each bit
-        current = np.concatenate([current.take(np.flatnonzero(~one)), current.take(np.flatnonzero(one))])
+        zeros, ones, counts, pressed = [], [], [0], []
+        for a in range(0, len(current), BLOCK):
+            some = current[a : a + BLOCK]
+            one = (some & some.dtype.type(1 << level)).astype(bool)
+            pressed.append(press.compress(np.packbits(one, bitorder="little").tobytes()))
+            # places are taken, as a mask costs a guess for each bit
+            zeros.append(some.take(np.flatnonzero(~one)))
+            ones.append(some.take(np.flatnonzero(one)))
+            counts.append(len(ones[-1]))
+        before = np.cumsum(counts)
+        parts += [_WIDTH.pack(len(ids) - int(before[-1])), before[:-1].astype("<u4").tobytes(), np.cumsum(list(map(len, pressed))).astype("<u4").tobytes(), b"".join(pressed)]
+        current = np.concatenate([current[:0], *zeros, *ones])
         if level == 8:
             current = current.astype(np.uint8)  # only lower bits are asked for from here
     body = b"".join(_WIDTH.pack(len(p)) + p for p in parts)
@@ -152,9 +156,14 @@ class TokenFile:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         value = np.zeros(self.n, np.uint8)
         for level, plane in enumerate(reversed(self.planes)):
-            one = plane.whole()
             above = np.empty(self.n, np.uint8 if level < 8 else kind)
-            above[np.flatnonzero(~one)] = value[: plane.zeros]
-            above[np.flatnonzero(one)] = value[plane.zeros :] | above.dtype.type(1 << level)
+            zero, one = 0, plane.zeros
+            for i in range(len(plane.stops)):
+                some = above[i * BLOCK : (i + 1) * BLOCK]
+                bits = np.unpackbits(plane.block(i), count=len(some), bitorder="little").view(bool)
+                zeros, ones = np.flatnonzero(~bits), np.flatnonzero(bits)
+                some[zeros] = value[zero : zero + len(zeros)]
+                some[ones] = value[one : one + len(ones)] | above.dtype.type(1 << level)
+                zero, one = zero + len(zeros), one + len(ones)
             value = above
         return self.symbols[value]
