@@ -79,3 +79,9 @@ def test_pages_are_linked_in_one_pass(spark, monkeypatch, most):
     got, want = link.scored(before, after), link.score(link.candidates(before, after), before, after)
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(map(tuple, want.collect())) and any(r[0] == "alone" for r in rows)
+
+
+def test_fingerprints_need_only_the_columns_of_what_is_wanted(spark):
+    elements = html.html_elements(spark.createDataFrame([(1, PLAIN[0])], "page_id long, html string"), "page_id", "node_id", "attrs")
+    rows = link.fingerprint(elements, b"k" * 32, "node_id", "id_ref").collect()
+    assert [(r.node_id, r.id_ref) for r in rows if r.id_ref] == [(6, "f")]
