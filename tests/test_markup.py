@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veil.operators import link, page_scan
+from veil.functions.identity import hmac
+from veil.operators import link, page_scan, rules, windows
 from veil.plans import markup
 from veil.plans.library import QUERIES
 from veil.sources import html
@@ -85,3 +86,29 @@ def test_fingerprints_need_only_the_columns_of_what_is_wanted(spark):
     elements = html.html_elements(spark.createDataFrame([(1, PLAIN[0])], "page_id long, html string"), "page_id", "node_id", "attrs")
     rows = link.fingerprint(elements, b"k" * 32, "node_id", "id_ref").collect()
     assert [(r.node_id, r.id_ref) for r in rows if r.id_ref] == [(6, "f")]
+
+
+def test_fields_alone_are_read(spark):
+    pages = spark.createDataFrame([(1, "<p>call 555 123 4567</p><input value='123-45-6789'>")], "page_id long, html string")
+    assert [r.text for r in html.scanned(pages, blocks=False).collect()] == ["123-45-6789"]
+    assert [r.text for r in html.scanned(pages, fields=False).collect()] == ["call 555 123 4567"]
+
+
+def test_detectors_of_sites_are_not_made_distinct_after_the_join(spark):
+    pages = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, None)], "page_id long, origin string")
+    custom = spark.createDataFrame([("g", "global", None), ("s", "site", "a"), ("s", "site", "b"), ("g", "site", "a"), ("t", "site", "b")], "id string, scope string, origin string")
+    toggles = spark.createDataFrame([("a", "email", True), ("b", "email", True), ("b", "vin", False)], "origin string, entry string, on boolean")
+    found = rules.detectors_for_site(pages, custom, toggles)
+    assert sorted(map(tuple, found.collect())) == [(1, "catalog:email"), (1, "g"), (1, "s"), (1, "t"), (2, "catalog:email"), (2, "g"), (2, "s"), (3, "g")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_windows_are_found_in_their_row(spark):
+    """Two targets of one text, the nearest place of each; no window is sent to a join."""
+    key = b"k" * 32
+    texts = spark.createDataFrame([("a", "xabcabcab"), ("b", "abc"), ("c", "none")], "doc string, text string")
+    asked = spark.createDataFrame([("a", "one", 3, 5, "abc"), ("a", "two", 2, 9, "ab"), ("b", "none", 9, 0, "abc"), ("b", "one", 3, 7, "abc"), ("c", "one", 3, 0, "abc")], "doc string, target string, length int, near int, said string")
+    wanted = asked.select("doc", "target", "length", "near", hmac(F.concat(F.lit("cover\0"), "said"), key).alias("hmac"))
+    found = windows.locate_by_hash(texts, ["doc"], wanted, key)
+    assert sorted(map(tuple, found.select("doc", "target", "at").collect())) == [("a", "one", 4), ("a", "two", 7), ("b", "one", 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
